@@ -11,8 +11,8 @@ i AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS s
   FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(p) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT k FROM win),
-at AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(p)),
-hits AS (SELECT at.doc_id, at.p, at.k, win.item_id FROM at JOIN win ON at.k = win.k AND at.s = win.s),
+spot AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(p)),
+hits AS (SELECT spot.doc_id, spot.p, spot.k, win.item_id FROM spot JOIN win ON spot.k = win.k AND spot.s = win.s),
 words AS (SELECT doc_id, count(DISTINCT q) AS n FROM hits, unnest(range(p, p + k)) AS t(q) GROUP BY doc_id),
 names AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(names.n, 0) AS BIGINT) AS n_items,
@@ -22,8 +22,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 
 OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-at AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS t(p)),
-late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM at) WHERE r > 1),
+spot AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS t(p)),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM spot) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, q FROM late, unnest(range(p, p + 20)) AS t(q)),
 kept AS (SELECT d.doc_id, string_agg(d.w[q], ' ' ORDER BY q) AS s, count(*) AS n
   FROM d, unnest(range(1, len(d.w) + 1)) AS t(q) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = d.doc_id AND gone.q = t.q) GROUP BY d.doc_id)
