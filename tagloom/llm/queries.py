@@ -23,6 +23,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import contract
+
+    return contract(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -38,6 +46,7 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op4_decontaminate": op4_decontaminate,
+    "op5_pieces": op5_pieces,
     "op7_minhash": op7_minhash,
     "op10_windows": op10_windows,
 }
