@@ -27,7 +27,9 @@ from .scratch import estimated_bytes, shuffle_partitions
 
 #: Input bytes (as stored) behind one counting bucket.
 BUCKET_BYTES = 8 << 20
-_PACK = "bucket int, docs binary, many binary, starts binary, hashes binary"
+#: Windows that a map task holds before it hands them on.
+HOLD = 1 << 20
+_PACK = "bucket int, docs binary, many binary, steps binary, far binary, hashes binary"
 
 
 def _u(x, kind) -> bytes:
@@ -41,8 +43,8 @@ def _hasher(window: int, buckets: int):
             order = np.argsort(batch.column(0).to_numpy(), kind="stable")
             batch = batch.take(pa.array(order))
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            hs, rs, ps = [], [], []
-            for lo, _, data, offs in tk.chunks(*tk.string_buffer(batch.column(2))):
+            hs, rs, ps, held = [], [], [], 0
+            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(2))):
                 words = tk.Words(data, offs, table)
                 at = tk.window_starts(words.ptr, window, words.n)
                 if len(at):
@@ -50,58 +52,80 @@ def _hasher(window: int, buckets: int):
                     hs.append(tk.rolling(words.hashes(), window)[at])
                     rs.append((row + lo).astype(np.int32))
                     ps.append((at - words.ptr[row]).astype(np.uint32))
-            if not hs:
-                continue
-            h, r, p = np.concatenate(hs), np.concatenate(rs), np.concatenate(ps)
-            del hs, rs, ps
-            by = np.argsort(h, kind="stable")
-            same = h[by][1:] == h[by][:-1]
-            late = by[1:][same]  # has the same words earlier in this batch
-            first = np.ones(len(h), bool)
-            first[late] = False
-            # a repeated row is no earlier occurrence: it goes on to the buckets with its twin
-            twin = np.zeros(len(batch), bool)
-            twin[1:] = (ids[1:] == ids[:-1])
-            first |= twin[r]
-            late = np.flatnonzero(~first)
-            yield from _packed(np.full(len(late), -1), ids, keys, r[late], p[late], None)
-            at = np.flatnonzero(first)
-            yield from _packed((h[at] % np.uint64(buckets)).astype(np.int64), ids, keys, r[at], p[at], h[at])
+                    held += len(at)
+                if held and (held >= HOLD or hi == len(batch)):
+                    yield from _known_and_open(np.concatenate(hs), np.concatenate(rs), np.concatenate(ps), ids, keys, buckets)
+                    hs, rs, ps, held = [], [], [], 0
 
     return run
 
 
+def _known_and_open(h, r, p, ids, keys, buckets):
+    """Late occurrences known from these rows alone, then the rest by bucket; rows are in identifier order."""
+    by = np.argsort(h, kind="stable")
+    same = h[by][1:] == h[by][:-1]
+    first = np.ones(len(h), bool)
+    first[by[1:][same]] = False
+    # a repeated row is no earlier occurrence: it goes on to the buckets with its twin
+    twin = np.zeros(len(ids), bool)
+    twin[1:] = ids[1:] == ids[:-1]
+    first |= twin[r]
+    at = np.flatnonzero(~first)
+    yield from _packed(np.full(len(at), -1), ids, keys, r[at], p[at], None)
+    at = np.flatnonzero(first)
+    yield from _packed((h[at] % np.uint64(buckets)).astype(np.int64), ids, keys, r[at], p[at], h[at])
+
+
 def _packed(bucket, ids, keys, r, p, h):
-    """Rows of one bucket each; within a row, windows are grouped by document."""
+    """Rows of one bucket each; within a row, windows are grouped by document and their starts stored as steps."""
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
-    bucket, r, p = bucket[order], r[order], p[order]
+    bucket, r, p = bucket[order], r[order], p[order].astype(np.int64)
     h = None if h is None else h[order]
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    cols: list[list] = [[], [], [], [], []]
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        docs = np.concatenate([[lo], np.flatnonzero(np.diff(r[lo:hi])) + 1 + lo])
-        own = r[docs]
-        for c, v in zip(cols, (int(bucket[lo]), _u(np.stack([ids[own], keys[own]], 1), np.int64), _u(np.diff(np.append(docs, hi)), np.uint32), _u(p[lo:hi], np.uint32), b"" if h is None else _u(h[lo:hi], np.uint64)), strict=True):
+    lead = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (r[1:] != r[:-1])])
+    step = np.where(lead, p, p - np.concatenate([[0], p[:-1]]))
+    small = np.minimum(step, 255).astype(np.uint8)
+    docs = np.flatnonzero(lead)
+    table = np.stack([ids[r[docs]], keys[r[docs]]], 1)
+    many = np.diff(np.append(docs, len(p)))
+    at = np.searchsorted(docs, cut)
+    cols: list[list] = [[], [], [], [], [], []]
+    for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        far = step[lo:hi][small[lo:hi] == 255]
+        own = slice(at[k], at[k + 1])
+        for c, v in zip(cols, (int(bucket[lo]), _u(table[own], np.int64), _u(many[own], np.uint32), _u(small[lo:hi], np.uint8), _u(far, np.uint32), b"" if h is None else _u(h[lo:hi], np.uint64)), strict=True):
             c.append(v)
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "many", "starts", "hashes"])
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "many", "steps", "far", "hashes"])
 
 
 def _unpacked(table):
-    docs, many, starts, hashes = (b"".join(table.column(c).to_pylist()) for c in ("docs", "many", "starts", "hashes"))
+    docs, many, steps, far, hashes = (b"".join(table.column(c).to_pylist()) for c in ("docs", "many", "steps", "far", "hashes"))
     docs, many = np.frombuffer(docs, np.int64).reshape(-1, 2), np.frombuffer(many, np.uint32)
-    return docs, np.repeat(np.arange(len(docs)), many), np.frombuffer(starts, np.uint32), np.frombuffer(hashes, np.uint64)
+    step = np.frombuffer(steps, np.uint8).astype(np.int64)
+    step[step == 255] = np.frombuffer(far, np.uint32)
+    total = np.cumsum(step)
+    begin = np.cumsum(many) - many
+    d = np.repeat(np.arange(len(docs), dtype=np.int32), many)
+    starts = total - (total[begin] - step[begin])[d] if len(total) else total
+    return docs, d, starts.astype(np.uint32), np.frombuffer(hashes, np.uint64)
 
 
 def _counter(table: pa.Table) -> pa.Table:
     """Every occurrence but the first of each hash, as rows (document, window starts)."""
     docs, d, p, h = _unpacked(table)
     if len(h):
-        order = np.lexsort((p, docs[d, 0], h))
-        h = h[order]
-        lead = np.concatenate([[True], h[1:] != h[:-1]])
-        head = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        again = np.zeros(len(h), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        order = order[again]
+        order = order[np.lexsort((p[order], docs[d[order], 0], h[order]))]
+        lead = np.ones(len(order), bool)
+        lead[1:] = h[order][1:] != h[order][:-1]
+        head = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(order) else order
         late = (docs[d[order], 0] != docs[d[head], 0]) | (p[order] != p[head])
         at = np.sort(order[late])
         d, p = d[at], p[at]
