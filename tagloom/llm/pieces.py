@@ -194,14 +194,15 @@ def load_pieces(model_file: str) -> tuple[list[str], list[float], list[str]]:
     return [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _coder(sent):
+def _coder(sent, model_file: str):
     def run(batches):
-        enc = _encoders.get(sent.id)
+        enc = _encoders.get(model_file)
         if enc is None:
-            enc = _encoders[sent.id] = Encoder(*sent.value)
+            _encoders.clear()  # a worker keeps the tables of one model
+            enc = _encoders[model_file] = Encoder(*sent.value)
         for batch in batches:
             lo, size, ids, texts = 0, 0, [], []
             for i in range(len(batch)):
@@ -221,7 +222,7 @@ def _coder(sent):
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit), ``decoded``."""
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
-    out = keyed(docs, id_col, text_col).mapInArrow(_coder(sent), "_id long, n_tokens long, ids binary, decoded string")
+    out = keyed(docs, id_col, text_col).mapInArrow(_coder(sent, model_file), "_id long, n_tokens long, ids binary, decoded string")
     return out.select(plain_id(), "n_tokens", "ids", "decoded")
 
 
