@@ -19,6 +19,18 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import contract
+
+    return contract(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import contract
+
+    return contract(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contract
 
@@ -47,6 +59,8 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_pieces": op5_pieces,
     "op7_minhash": op7_minhash,
