@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,10 @@ HOLD = 1 << 20
 _PACK = "bucket int, docs binary, many binary, steps binary, far binary, hashes binary"
 
 
+_NAMES = ["docs", "many", "steps", "far"]
+_NOTHING = pa.table({"to": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in _NAMES}})
+
+
 def _u(x, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
@@ -112,8 +116,8 @@ def _unpacked(table):
     return docs, d, starts.astype(np.uint32), np.frombuffer(hashes, np.uint64)
 
 
-def _counter(table: pa.Table) -> pa.Table:
-    """Every occurrence but the first of each hash, as rows (document, window starts)."""
+def _late(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every occurrence but the first of each hash: documents, and the document and start of each window."""
     docs, d, p, h = _unpacked(table)
     if len(h):
         order = np.argsort(h, kind="stable")
@@ -129,9 +133,34 @@ def _counter(table: pa.Table) -> pa.Table:
         late = (docs[d[order], 0] != docs[d[head], 0]) | (p[order] != p[head])
         at = np.sort(order[late])
         d, p = d[at], p[at]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1]) if len(d) else np.zeros(0, np.int64)
-    own = docs[d[cut]]
-    return pa.table({"_id": own[:, 0], "_h": own[:, 1], "starts": pa.array([_u(x, np.uint32) for x in np.split(p, cut[1:])] if len(cut) else [], pa.binary())})
+    return docs, d, p
+
+
+def _counter(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Late occurrences, packed once for each group of documents that they go to."""
+        known = pa.array([len(x.as_py()) == 0 for x in table.column("hashes")])
+        own, (docs, d, p) = _unpacked(table.filter(known)), _late(table.filter(pc.invert(known)))
+        ids = np.concatenate([own[0][:, 0], docs[:, 0]])
+        keys = np.concatenate([own[0][:, 1], docs[:, 1]])
+        r = np.concatenate([own[1], d + np.int32(len(own[0]))])
+        p = np.concatenate([own[2], p])
+        to = (tk.mix(ids.view(np.uint64) ^ (keys.view(np.uint64) * np.uint64(3))) % np.uint64(groups)).astype(np.int64)
+        out = list(_packed(to[r], ids, keys, r, p, None))
+        return pa.Table.from_batches(out).drop_columns(["hashes"]).rename_columns(["to", *_NAMES]) if out else _NOTHING
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a group: its window starts from all buckets."""
+    docs, d, p, _ = _unpacked(table.append_column("hashes", pa.array([b""] * len(table), pa.binary())))
+    name, back = np.unique(docs, axis=0, return_inverse=True)
+    row = back.ravel()[d]
+    order = np.lexsort((p, row))
+    row, p = row[order], p[order]
+    cut = np.searchsorted(row, np.arange(1, len(name)))
+    return pa.table({"_id": name[:, 0], "_h": name[:, 1], "starts": pa.array([_u(x, np.uint32) for x in np.split(p, cut)], pa.binary())})
 
 
 def _remover(window: int):
@@ -147,7 +176,7 @@ def _remover(window: int):
                 for i in range(hi - lo):
                     a, b = words.ptr[i], words.ptr[i + 1]
                     own = starts[lo + i].as_py()
-                    runs = tk.union_length(np.unique(np.frombuffer(b"".join(own), np.uint32)).astype(np.int64), window) if own else np.zeros((0, 2), np.int64)
+                    runs = tk.union_length(np.unique(np.frombuffer(own, np.uint32)).astype(np.int64), window) if own else np.zeros((0, 2), np.int64)
                     keep = np.ones(b - a, bool)
                     for x, y in runs:
                         keep[x:y] = False
@@ -173,17 +202,12 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     packed = rows.mapInArrow(_hasher(window, buckets), _PACK)
     # occurrences known to be late already (bucket -1) are spread over the buckets and pass through
     packed = packed.withColumn("bucket", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    late = packed.groupBy("bucket").applyInArrow(_split_counter, "_id long, _h long, starts binary")
-    late = late.groupBy("_id", "_h").agg(F.collect_list("starts").alias("starts"))
+    late = packed.groupBy("bucket").applyInArrow(_counter(buckets), "to int, docs binary, many binary, steps binary, far binary")
+    late = late.groupBy("to").applyInArrow(_gather, "_id long, _h long, starts binary")
     joined = rows.join(late, ["_id", "_h"], "left").select("_id", "_text", "starts")
     return joined.mapInArrow(_remover(window), "_id long, n_words long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept string").select(plain_id(), "n_words", "n_removed", "spans", "kept")
 
 
-def _split_counter(table: pa.Table) -> pa.Table:
-    known = pa.array([len(x.as_py()) == 0 for x in table.column("hashes")])
-    return pa.concat_tables([_counter(table.filter(known)), _counter(table.filter(pa.compute.invert(known)))])
-
-
 def contract(docs: DataFrame) -> DataFrame:
     """The digest columns of ``op10``."""
     return repeated_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
