@@ -54,4 +54,16 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, part.component_
 FROM d JOIN part USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_embeddings": OP1, "op7_minhash": OP7, "op4_decontaminate": OP4, "op10_windows": OP10}
+OP8 = r"""
+WITH l AS (SELECT doc_id, p, string_split(text, chr(10))[p] AS s FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(p)),
+f AS (SELECT s, length(s) AS n, min(doc_id * 1000000000 + p) AS first FROM l WHERE length(s) >= 20 GROUP BY s),
+late AS (SELECT DISTINCT b.s FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first AND levenshtein(a.s, b.s) <= 2),
+kept AS (SELECT l.doc_id, l.p, l.s FROM l LEFT JOIN f ON l.s = f.s LEFT JOIN late ON l.s = late.s
+  WHERE f.s IS NULL OR (late.s IS NULL AND l.doc_id * 1000000000 + l.p = f.first)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(s, chr(10) ORDER BY p) AS s FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_embeddings": OP1, "op7_minhash": OP7, "op8_lines": OP8, "op4_decontaminate": OP4, "op10_windows": OP10}

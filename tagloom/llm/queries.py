@@ -51,6 +51,18 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import contract
+
+    return contract(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import contract
+
+    return contract(_table(spark, sf_dir, "documents"))
+
+
 def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .windows import contract
 
@@ -64,5 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_pieces": op5_pieces,
     "op7_minhash": op7_minhash,
+    "op8_lines": op8_lines,
+    "op9_pii": op9_pii,
     "op10_windows": op10_windows,
 }
