@@ -45,6 +45,12 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import contract
+
+    return contract(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_pieces": op5_pieces,
+    "op6_suffixes": op6_suffixes,
     "op7_minhash": op7_minhash,
     "op8_lines": op8_lines,
     "op9_pii": op9_pii,
