@@ -3,11 +3,11 @@
 Documents are sets of distinct word shingles. Equal sets collapse first (by a
 128-bit set hash), so copies cost one row each. Of the different sets, those
 that share a band meet in a bucket; every bucket links its members to its
-smallest one, those pairs are verified on the full sets, and components are
-taken. A second round takes the buckets whose members still lie in several
-components and compares members across components, dropping pairs whose
-signature sketches are too far apart for the threshold (six standard
-deviations), again verified on full sets. So no link between different
+centre, the member that meets most others over all its bands. Those pairs are
+verified on the full sets, and components are taken. A second round takes the
+buckets whose members still lie in several components and compares members
+across components, dropping pairs whose signatures are too far apart for the
+threshold (4.5 standard deviations), again verified on full sets. So no link between different
 components that shares a band is left out, and a group of near copies costs a
 row per member and band instead of all its pairs.
 
@@ -34,8 +34,14 @@ from .rows import NULL_ID, keyed, plain_id
 from .scratch import Scratch
 
 BANDS, ROWS = 32, 4
-#: Members verified against one copy of their bucket's smallest member.
+#: Members verified against one copy of their bucket's centre.
 FAN = 128
+#: Two bits of every minimum: k0 and k1 hold the first ones, k2 and k3 the second ones.
+SKETCH = ("k0", "k1", "k2", "k3")
+#: Numbers that the broadcast filter of candidate documents holds, at most.
+FILTER = 1 << 20
+#: Standard deviations that a sketch may fall short of the threshold's expectation.
+SLACK = 4.5
 _GEN = np.random.Generator(np.random.PCG64(77))
 _MULT = _GEN.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _GEN.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -79,13 +85,13 @@ def _signer(size: int):
                 band = np.zeros((len(n), BANDS), np.uint64)
                 for r in range(ROWS):
                     band = tk.mix(band * np.uint64(31) + sig[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x1000003))
-                bits = (tk.mix(sig) & np.uint64(1)).reshape(len(n), 2, 64)
+                bits = np.stack([tk.mix(sig) & np.uint64(1), tk.mix(sig) >> np.uint64(1) & np.uint64(1)], 1).reshape(len(n), 4, 64)
                 sketch = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 many = np.where(n > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(band[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (s1, s2, sketch[:, 0], sketch[:, 1])), lists],
-                    ["_id", "n", "s1", "s2", "k0", "k1", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (s1, s2, *sketch.T)), lists],
+                    ["_id", "n", "s1", "s2", *SKETCH, "bands"],
                 )
 
     return run
@@ -139,7 +145,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch, size: int, pe
     tagged = pairs.join(hub, "low").select(F.col("rep").alias("id"), "low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
     heads = hub.select(F.col("low").alias("id"), "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     goals = scratch.put(tagged.union(heads).groupBy("id").agg(F.collect_list(F.struct("low", "salt")).alias("goals")), "goals")
-    sets = rows.join(goals, rows["_id"] == goals["id"]).select("_id", "_text", "goals").mapInArrow(_sender(size), "low long, salt int, id long, set binary")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int").alias("f")
+    near = rows.select("*", place("_id")).join(F.broadcast(goals.select(place("id")).distinct()), "f", "left_semi")
+    sets = near.hint("merge").join(goals, near["_id"] == goals["id"]).select("_id", "_text", "goals").mapInArrow(_sender(size), "low long, salt int, id long, set binary")
     edges = scratch.put(sets.groupBy("low", "salt").applyInArrow(_verifier(percent), "a long, b long"), "links")
     scratch.drop(hub)
     scratch.drop(goals)
@@ -151,13 +159,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = keyed(docs, id_col, text_col)
-    feats = scratch.put(rows.mapInArrow(_signer(size), "_id long, n long, s1 long, s2 long, k0 long, k1 long, bands array<long>"), "signatures")
+    feats = scratch.put(rows.mapInArrow(_signer(size), "_id long, n long, s1 long, s2 long, k0 long, k1 long, k2 long, k3 long, bands array<long>"), "signatures")
     some = feats.where("n > 0")
     sets = scratch.put(some.groupBy("s1", "s2").agg(F.min("_id").alias("rep")), "sets")
-    reps = scratch.put(some.join(sets, ["s1", "s2"]).where("_id = rep").select("rep", "k0", "k1", "bands"), "reps")
+    reps = scratch.put(some.join(sets, ["s1", "s2"]).where("_id = rep").select("rep", *SKETCH, "bands"), "reps")
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    low = scratch.put(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low <> top").select("key", "low"), "buckets")
-    pairs = scratch.put(keys.join(low, "key").where("rep <> low").select("low", "rep").distinct(), "pairs")
+    # a bucket's centre is its member that meets most others over all its bands: of a group of near copies, the original
+    count = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    crowd = scratch.put(keys.hint("merge").join(count, "key"), "crowd")
+    score = scratch.put(crowd.groupBy("rep").agg(F.sum("n").alias("score")), "scores")
+    ranked = crowd.hint("merge").join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", F.bitwise_not("rep"))).alias("low"))
+    low = scratch.put(ranked, "buckets")
+    pairs = scratch.put(crowd.hint("merge").join(low, "key").where("rep <> low").select("low", "rep").distinct(), "pairs")
     links = _verified(rows, pairs, scratch, size, percent)
     # an identifier whose rows have different texts stands for several sets: they are one document
     same = feats.where("n > 0").join(sets, ["s1", "s2"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
@@ -166,21 +179,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     links = scratch.put(links.union(same), "links")
     first = scratch.put(connected_components(links, scratch), "first")
 
-    labelled = scratch.put(reps.join(first, reps["rep"] == first["node"], "left").select("rep", "k0", "k1", F.coalesce("component", "rep").alias("label"), "bands"), "labels")
+    labelled = scratch.put(reps.join(first, reps["rep"] == first["node"], "left").select("rep", *SKETCH, F.coalesce("component", "rep").alias("label"), "bands"), "labels")
     scratch.drop(reps)
-    inside = labelled.select("rep", "k0", "k1", "label", F.explode("bands").alias("key"))
+    inside = labelled.select("rep", *SKETCH, "label", F.explode("bands").alias("key"))
     mixed = scratch.put(inside.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
     rest = scratch.put(inside.join(mixed, "key"), "rest")
     final = first
     if not rest.isEmpty():
         a, b = rest.alias("a"), rest.alias("b")
-        # expected agreement is 64 + 64 * similarity of 128 bits; six deviations below the threshold's
-        p = 0.5 + percent / 200
-        least = int(128 * p - 6 * (128 * p * (1 - p)) ** 0.5)
-        agree = F.lit(128) - F.bit_count(F.col("a.k0").bitwiseXOR(F.col("b.k0"))) - F.bit_count(F.col("a.k1").bitwiseXOR(F.col("b.k1")))
-        more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (agree >= least))
+        p = 0.25 + 0.75 * percent / 100  # two bits agree by chance in a quarter of the minima that differ
+        least = int(128 * p - SLACK * (128 * p * (1 - p)) ** 0.5)
+        differ = sum((F.bit_count(F.col(f"a.k{i}").bitwiseXOR(F.col(f"b.k{i}")).bitwiseOR(F.col(f"a.k{i + 2}").bitwiseXOR(F.col(f"b.k{i + 2}")))) for i in (0, 1)), F.lit(0))
+        more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (differ <= 128 - least))
         more = more.select(F.least("a.rep", "b.rep").alias("low"), F.greatest("a.rep", "b.rep").alias("rep")).distinct()
-        more = scratch.put(more.join(pairs, ["low", "rep"], "left_anti"), "more")
+        tried = pairs.select(F.least("low", "rep").alias("low"), F.greatest("low", "rep").alias("rep"))
+        more = scratch.put(more.join(tried, ["low", "rep"], "left_anti"), "more")
         if not more.isEmpty():
             found = _verified(rows, more, scratch, size, percent)
             if not found.isEmpty():
