@@ -21,6 +21,8 @@ and extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ from .rows import keyed, plain_id
 
 MARK = "▁"
 #: Words held in each of the two cache generations of a worker.
-CACHE = 200_000
+CACHE = 300_000
 #: Characters encoded before a batch of results is handed on.
 CHUNK = 1 << 21
 
@@ -62,8 +64,9 @@ class Encoder:
             at = self.trie
             for ch in reversed(p):
                 at = at.setdefault(ch, {})
-            at[""] = p
-        self.fits: dict[tuple[str, str], bool] = {}
+            # the piece, and the tokens known to stand before it or not
+            at[None] = (p, {})
+        self.known = 0
         self.whole: dict[str, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -85,15 +88,21 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: str, right: str, fits: dict[str, bool]) -> bool:
         """Whether two neighbouring tokens stay as they are; characters outside the vocabulary merge with nothing."""
-        known = self.fits.get((left, right))
-        if known is None:
-            known = left not in self.ids or right not in self.ids or self.merged(left + right) == [left, right]
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            self.fits[left, right] = known
-        return known
+        self.known += 1
+        if self.known > 2_000_000:
+            self._forget(self.trie)
+            self.known = 0
+        out = fits[left] = self.stands(right) and (left not in self.ids or self.merged(left + right) == [left, right])
+        return out
+
+    def _forget(self, at: dict) -> None:
+        for key, below in at.items():
+            if key is None:
+                below[1].clear()
+            else:
+                self._forget(below)
 
     def stands(self, piece: str) -> bool:
         known = self.whole.get(piece)
@@ -104,17 +113,28 @@ class Encoder:
     def word(self, text: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a text that holds the space mark at its start only."""
         last: list[str] = []
+        trie = self.trie
         for i, ch in enumerate(text):
-            at = self.trie.get(ch)
-            choice = ch if at is None or "" not in at else None
+            at = trie.get(ch)
+            choice = ch
             j = i
             while at is not None:
-                piece = at.get("")
-                if piece is not None and self.stands(piece) and (j == 0 or self.compatible(last[j - 1], piece)):
-                    choice = piece
+                entry = at.get(None)
+                if entry is not None:
+                    piece, fits = entry
+                    if j:
+                        left = last[j - 1]
+                        ok = fits.get(left)
+                        if ok or ok is None and self.compatible(left, piece, fits):
+                            choice = piece
+                            break
+                    elif self.stands(piece):
+                        choice = piece
+                        break
+                if not j:
                     break
                 j -= 1
-                at = at.get(text[j]) if j >= 0 else None
+                at = at.get(text[j])
             last.append(choice)
         ids: list[int] = []
         i = len(text)
@@ -122,11 +142,12 @@ class Encoder:
             piece = last[i - 1]
             own = self.ids.get(piece)
             if own is None:
-                ids.extend(self.bytes_id[b] for b in reversed(piece.encode("utf-8", "replace")))
+                ids.extend([self.bytes_id[b] for b in reversed(piece.encode("utf-8", "replace"))])
             else:
                 ids.append(own)
             i -= len(piece)
-        return np.array(ids[::-1], "<u4").tobytes()
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def cached(self, word: str) -> bytes:
         found = self.old.get(word)
