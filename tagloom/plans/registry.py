@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import markup, trees
+
+QUERIES: dict = {**markup.Q, **trees.Q}
+ORACLES: dict[str, str] = {**markup.O, **trees.O}
