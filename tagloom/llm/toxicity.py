@@ -81,12 +81,37 @@ class Lexicon:
             out |= 1 << (b & 63)
         return out
 
-    def candidates(self, masks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Words whose byte set and length do not rule out every term."""
-        ok = np.zeros(len(masks), bool)
-        for m, s, k in zip(self.masks, self.sizes, self.slack, strict=True):
-            ok |= (np.abs(sizes - s) <= 2 * k) & (np.bitwise_count(masks ^ m) <= 4 * k)
-        return ok
+    def candidates(self, words: tk.Words) -> np.ndarray:
+        """Words that an equal first letter, length and set of bytes leave for some term.
+
+        An edit takes at most one byte of the term away and adds one, or up to
+        four for a letter beyond ASCII.
+        """
+        size = words.end - words.start
+        codes = words.codes
+        first = codes[words.start] - 1
+        most = int(self.sizes.max() + 4 * self.slack.max()) if len(self.sizes) else 0
+        initial = np.zeros(256, bool)
+        initial[[t.encode()[0] for t in self.terms]] = True
+        at = np.flatnonzero((size >= 3) & (size <= most))
+        at = at[initial[first[at]]]
+        masks, high = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+        live = np.arange(len(at))
+        for k in range(most):
+            live = live[size[at[live]] > k]
+            if not len(live):
+                break
+            byte = codes[words.start[at[live]] + k] - 1
+            masks[live] |= np.uint64(1) << (byte & 63).astype(np.uint64)
+            high[live] |= byte >> 7
+        ok = np.zeros(len(at), bool)
+        letters = first[at]
+        own = size[at]
+        for t, m, s, k in zip(self.terms, self.masks, self.sizes, self.slack, strict=True):
+            some = np.flatnonzero(letters == t.encode()[0])
+            wide = high[some] * 3 * k
+            ok[some] |= (np.abs(own[some] - s) <= k + wide) & (np.bitwise_count(masks[some] ^ m) <= 2 * k + wide)
+        return at[ok]
 
     def best(self, word: str) -> tuple[int, str] | None:
         """The nearest term within its allowance (smallest distance, then first in order), the first letter being equal."""
@@ -138,17 +163,8 @@ def _features(lexicon: Lexicon, data: np.ndarray, offs: np.ndarray, cache: dict)
     hits: list[list] = [[] for _ in range(len(offs) - 1)]
     if not words.n:
         return out, hits
-    size = words.end - words.start
-    short = np.flatnonzero((size >= 3) & (size <= 24))
-    masks = np.zeros(len(short), np.uint64)
+    maybe = lexicon.candidates(words)
     codes = words.codes
-    for k in range(24):
-        live = size[short] > k
-        if not live.any():
-            break
-        at = short[live]
-        masks[live] |= np.uint64(1) << (codes[words.start[at] + k] - 1 & 63).astype(np.uint64)
-    maybe = short[lexicon.candidates(masks, size[short])]
     rows = words.row_of()
     raw = None
     for i in maybe.tolist():
