@@ -32,13 +32,14 @@ DAYS = 73_049
 #: Steps of cycle walking; a day is still outside after them with probability 1e-36.
 WALK = 64
 
-MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# starts at the start of a token only and gives nothing back, so a long token costs its length once
+MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 ISO = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SLASH = r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\d)"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-CARD = r"(?<![\d])\d(?:[ \-]?\d){12,18}(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
 HEX = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
 KINDS = {"mail": MAIL, "hex": HEX, "date": f"{ISO}|{SLASH}", "ssn": SSN, "phone": PHONE, "ipv4": IPV4, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())

@@ -232,6 +232,7 @@ def test_pii(spark):
     rows = [
         (0, None), (1, ""), (2, "card 4111 1111 1111 1111, no card 4111111111111112"), (3, "again 4111-1111-1111-1111."), (4, "+1 (017) 555-7713 and 123-45-6789"),
         (5, "on 12/31/1999, 31/12/1999 and 1999-12-31; not 1999-02-30 nor 2150-01-01"), (6, "ip 97.51.17.173, not 300.1.1.1 or 1.2.3.4.5"), (7, "a.b@mail7.example.com x"), (8, "4111 1111 1111 1111"),
+        (9, "4111111111111111 12 apples, 4111111111111111 4111111111111111"), (10, "a" * 200_000 + " 1" * 50_000),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = by_id(pii.pseudonymize(df))
@@ -243,6 +244,8 @@ def test_pii(spark):
     us, eu, iso = re.search(r"on (\S+), (\S+) and (\S+);", got[5].text).groups()
     assert (iso, eu) == (f"{us[6:]}-{us[:2]}-{us[3:5]}", f"{us[3:5]}/{us[:2]}/{us[6:]}") and us != "12/31/1999" and "1999-02-30" in got[5].text and "2150-01-01" in got[5].text
     assert "97.51.17.173" not in got[6].text and "not 300.1.1.1 or 1.2.3.4.5" in got[6].text and "mail7" not in got[7].text
+    whole = card.replace(" ", "")
+    assert got[9].text == f"{whole} 12 apples, {whole} {whole}" and got[10].text == rows[10][1]
     other = by_id(pii.pseudonymize(df, key="another"))
     assert other[8].text != got[8].text
 
