@@ -2,7 +2,8 @@
 
 A line of at least ``LEAST`` characters is removed where an earlier line
 (smaller document, or earlier in the same one) is at most ``EDITS`` edits away;
-lines are judged on the input, not on what is left. Equal lines collapse first.
+lines are judged on the input, not on what is left. Equal lines, by a 64-bit
+hash, collapse first.
 Each different line is split into ``EDITS`` + 1 segments; two lines within the
 threshold share a segment at nearly the same place, so a line probes the
 segment index of each admissible length with its substrings at the positions
@@ -86,10 +87,9 @@ def _marked(docs: DataFrame, scratch: Scratch, least: int, edits: int, id_col: s
     """(_id, _h, lines to keep among the long ones) of documents that lose lines, and the filter of their identifiers."""
     rows = keyed(docs, id_col, text_col)
     each = rows.where("_text is not null").select("_id", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("no", "line")).where(F.length("line") >= least)
-    lines = (
-        each.groupBy(F.xxhash64("line").alias("k"), F.length("line").alias("n"))
-        .agg(F.min(F.struct("_id", "no", "_h")).alias("first"), F.first("line").alias("line"))
-    )
+    # one aggregate by one key, so that every later use reads the same shuffle and joins on k need no other
+    lines = each.groupBy(F.xxhash64("line").alias("k")).agg(F.min(F.struct("_id", "no", "_h", "line")).alias("top"))
+    lines = lines.select("k", F.length("top.line").alias("n"), F.struct("top._id", "top.no", "top._h").alias("first"), F.col("top.line").alias("line"))
     late = late_lines(lines, edits)
     stays = scratch.put(lines.select("k", "first").join(late, "k", "left_anti").select("first.*"), "stays")
     kept = scratch.put(stays.groupBy("_id", "_h").agg(F.collect_list("no").alias("stay")), "kept")
