@@ -41,6 +41,22 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, part.
 FROM embeddings e JOIN part USING (vec_id)
 """
 
+OP6 = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+spot AS (SELECT doc_id, p, hash(b[p:p + 399]) AS h FROM d, unnest(range(1, n - 398)) AS t(p)),
+again AS (SELECT h FROM spot GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 400 THEN 0 ELSE 1 END AS fresh FROM spot JOIN again USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+run AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit),
+span AS (SELECT doc_id, r, min(p) AS lo, max(p) + 399 AS hi FROM run GROUP BY doc_id, r),
+cut AS (SELECT doc_id, count(*) AS k, sum(hi - lo + 1) AS gone FROM span GROUP BY doc_id),
+part AS (SELECT doc_id, r, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY r), 0) + 1 AS a, lo - 1 AS z FROM span
+  UNION ALL SELECT doc_id, 1000000000, max(hi) + 1, 1000000000 FROM span GROUP BY doc_id),
+kept AS (SELECT part.doc_id, string_agg(hex(d.b[a:least(z, d.n)]), '' ORDER BY r) AS x FROM part JOIN d ON d.doc_id = part.doc_id GROUP BY part.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(cut.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(cut.k, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN cut.k IS NULL THEN d.b ELSE unhex(kept.x) END) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 OP7 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p:p + least(len(w), 5) - 1], ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0),
@@ -66,4 +82,4 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_embeddings": OP1, "op7_minhash": OP7, "op8_lines": OP8, "op4_decontaminate": OP4, "op10_windows": OP10}
+ORACLES: dict[str, str] = {"op1_embeddings": OP1, "op6_suffixes": OP6, "op7_minhash": OP7, "op8_lines": OP8, "op4_decontaminate": OP4, "op10_windows": OP10}
