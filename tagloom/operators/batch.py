@@ -117,7 +117,7 @@ def convert_documents(documents: DataFrame, task: str, files: DataFrame | None =
                 try:
                     text, notes = CONVERTERS[task](content or "", uri, sent.value, options)
                     log = [m for _, _, m in notes.rows]
-                except (ValueError, StopIteration) as e:
+                except (ValueError, StopIteration, RecursionError) as e:  # markup nested too deeply is that document's error
                     error = str(e) or type(e).__name__
                 for c, v in zip((ids, texts, errors, logs), (doc_id, text, error, log), strict=True):
                     c.append(v)

@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from ..sources.tree import ATT, COM, DOC, ELT, ITS, ITSX, NS, PI, TXT, XHTML, XLIFF, XML, Node, element, parse, parse_html, parse_xml, to_html, to_xml
-from .match import Match, literal_xpath, match_all, merged, text_of
+from ..sources.tree import ATT, COM, DOC, ELT, ITS, ITSX, NS, PI, TXT, XHTML, XLIFF, XML, Node, element, parse_html, parse_xml, to_html, to_xml
+from .match import Match, literal_xpath, match_all, merged
 from .paths import path, shown
 from .rules import Container, Diagnostics, containers, html_containers
 
@@ -113,7 +113,7 @@ class _ToHtml:
             return path(target)
         return f"id('{self.identify(new)}')" if new.kind == ELT else path(new)
 
-    def skeleton(self, top: Node, html_rules: bool = True) -> Node:
+    def skeleton(self, top: Node) -> Node:
         doc = Node(DOC, "#document")
         html = doc.add(element("html", XHTML))
         head = html.add(element("head", XHTML))
@@ -203,7 +203,7 @@ class XmlToHtml(_ToHtml):
         self.add_rules(doc, [element("its:withinTextRule", ITS, {"selector": "//h:span", "withinText": "no"})])
         return to_html(doc)
 
-    def _element(self, old: Node, in_bdo: bool) -> Node | None:
+    def _element(self, old: Node, in_bdo: bool, at: int | None = None) -> Node | None:
         is_span = old.ns == ITS and old.local == "span"
         if old.ns == ITS and not is_span:
             if old.local != "rules":
@@ -214,9 +214,9 @@ class XmlToHtml(_ToHtml):
         name, saved = self._attributes(old, new, is_span)
         new.set("title", old.name)
         holds_div = False
-        for c in old.children:
+        for i, c in enumerate(old.children):
             if c.kind == ELT:
-                child = self._element(c, name == "bdo")
+                child = self._element(c, name == "bdo", i)
                 if child is not None:
                     new.add(child)
                     holds_div |= child.name == "div"
@@ -228,7 +228,7 @@ class XmlToHtml(_ToHtml):
                     self.notes.warn("span_to_div", f"{shown(old)} holds a division and becomes one")
                 name = "div"
             else:
-                name = "span" if is_span or in_bdo or not old.block() else "div"
+                name = "span" if is_span or in_bdo or not old.block(at) else "div"
         new.name = name
         for a in sorted(saved, key=lambda a: (a.name, a.pre)):
             self.synthesize(a, new, a.value, a.name, ATT_CLASS, True)
@@ -263,13 +263,14 @@ class XliffToHtml(_ToHtml):
     def __init__(self, title: str, labels: bool = False):
         super().__init__(title)
         self.labels = labels
+        self.infos: list[tuple[str, Node]] = []
 
     def convert(self, text: str, uri: str = "", files: Mapping[str, str] | None = None) -> str:
         self.prepare(text, uri, files or {})
         top = self._element(self.root)
         if top is None:
             raise ConversionError("the document holds standoff markup only")
-        for info, host in getattr(self, "infos", []):
+        for info, host in self.infos:
             div = element("div", XHTML, {"title": "termInfo"}, info)
             top.add(div)
             host.set("its-term-info-ref", f"#{self.identify(div)}")
@@ -341,7 +342,7 @@ class XliffToHtml(_ToHtml):
                 if a.local in ("domains", "externalResourceRef"):
                     saved.append(a)
                 elif a.local == "termInfo":
-                    self.__dict__.setdefault("infos", []).append((a.value, new))
+                    self.infos.append((a.value, new))
                 else:
                     new.set(camel_to_dash(a.local), a.value)
             elif not a.ns and a.local == "translate":
@@ -357,11 +358,9 @@ class XliffToHtml(_ToHtml):
 
     def _label(self, top: Node) -> None:
         meta: dict[int, dict[str, str]] = {}
-        by_new = {id(new): old for old, new in self.new.items()}
         for old, its in merged(self.matches).items():
             if old in self.new:
                 meta[id(self.new[old])] = its
-        del by_new
         units = [n for n in top.walk() if n.kind == ELT and n.att("title") is not None and n.att("title").rpartition(":")[2] == "trans-unit"]
         for unit in units:
             pick = lambda name: next((c for c in unit.elements() if (c.att("title") or "").rpartition(":")[2] == name), None)  # noqa: B023, E731
@@ -662,6 +661,3 @@ def _script(box: Container) -> Node:
         script.set("id", box.element.att("id", XML))
     script.add(rules)
     return script
-
-
-__all__ = ["ConversionError", "camel_to_dash", "reduce_html", "xliff_to_html", "xml_to_html", "xml_to_xliff", "parse", "text_of"]

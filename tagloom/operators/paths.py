@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from ..sources.tree import ATT, COM, DOC, ELT, NS, PI, TXT, Node
 
 
+def _sort_of(node: Node) -> str:
+    """What a step calls the node; siblings of one sort are told apart by number."""
+    if node.kind == ELT:
+        return "*" if node.ns else node.name
+    return {TXT: "text()", COM: "comment()"}.get(node.kind) or f"processing-instruction('{node.name}')"
+
+
+def child_steps(children: list[Node]) -> list[str]:
+    """The last step of each child's path, in one pass over the children."""
+    names, total = [_sort_of(c) for c in children], Counter()
+    for c, name in zip(children, names, strict=True):
+        total[name] += 1
+        if c.kind == ELT and name != "*":
+            total["*"] += 1
+    seen: Counter = Counter()
+    out = []
+    for c, name in zip(children, names, strict=True):
+        if c.kind == ELT and name != "*":
+            seen["*"] += 1
+        seen[name] += 1
+        out.append(name if total[name] == 1 else f"{name}[{seen[name]}]")
+    return out
+
+
 def _step(node: Node) -> str:
     if node.kind == ATT:
         return f"@{node.name}"
     if node.kind == NS:
         return f"namespace::{node.name}"
-    same = {
-        TXT: lambda c: c.kind == TXT, COM: lambda c: c.kind == COM, PI: lambda c: c.kind == PI and c.name == node.name,
-        ELT: (lambda c: c.kind == ELT) if node.ns else (lambda c: c.kind == ELT and not c.ns and c.name == node.name),
-    }[node.kind]
-    name = {TXT: "text()", COM: "comment()", PI: f"processing-instruction('{node.name}')"}.get(node.kind) or ("*" if node.ns else node.name)
-    beside = [c for c in node.parent.children if same(c)] if node.parent else [node]
-    return name if len(beside) == 1 else f"{name}[{next(i for i, c in enumerate(beside, 1) if c is node)}]"
+    if node.parent is None:
+        return _sort_of(node)
+    at = next(i for i, c in enumerate(node.parent.children) if c is node)
+    return child_steps(node.parent.children)[at]
 
 
 def path(node: Node) -> str:

@@ -6,7 +6,7 @@ import posixpath
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from ..sources.tree import ELT, ITS, XHTML, XLINK, XML, Node, ParseError, parse_xml
+from ..sources.tree import ELT, ITS, XHTML, XLINK, Node, ParseError, parse_xml
 
 
 @dataclass
@@ -144,8 +144,4 @@ def containers(doc: Node, kind: str, uri: str = "", files: Mapping[str, str] | N
     """Containers in application order; a separate rules document replaces the document's own rules."""
     if rules_doc is not None:
         return xml_containers(rules_doc, uri, files, notes=notes)
-    return (html_containers if kind == "html" else lambda *a, **k: xml_containers(a[0], a[1], a[2], notes=k.get("notes")))(doc, uri, files, notes=notes)
-
-
-def xml_id(node: Node) -> str | None:
-    return node.att("id", XML)
+    return html_containers(doc, uri, files, notes) if kind == "html" else xml_containers(doc, uri, files, notes=notes)

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.paths import path
-from .tree import ATT, ELT, XML, Node, ParseError, parse
+from ..operators.paths import child_steps
+from .tree import ATT, ELT, XHTML, XML, Node, ParseError, parse
 
 NODES = "doc_id long, pre long, post long, size long, level int, parent long, sib_ord int, kind string, qname string, prefix string, local_name string, ns_uri string, value string, xml_id string, block boolean, path string"
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
@@ -26,34 +26,33 @@ BATCH = 20_000
 def node_rows(doc: Node) -> list[tuple]:
     """Rows of one numbered tree without the identifier, in ``pre`` order."""
     out: list[list] = []
-    count = 0
-
-    def visit(node: Node, level: int, parent: int | None, order: int, is_html: bool) -> int:
-        nonlocal count
-        own_id = (node.att("id") if is_html else node.att("id", XML)) if node.kind == ELT else None
-        row = [node.pre, 0, 0, level, parent, order, node.kind, node.name, node.prefix if node.kind in (ELT, ATT) else "", node.local if node.kind in (ELT, ATT) else node.name, node.ns, node.value, own_id, node.block() if node.kind == ELT else None, path(node)]
-        out.append(row)
-        return len(out) - 1
-
-    # an explicit stack: documents may be deeply nested
-    stack: list[tuple] = [(doc, 0, None, 0, None)]
-    open_rows: list[int] = []
+    closed = 0
+
+    def opened(node: Node, level: int, parent: int | None, order: int, where: str) -> None:
+        named = node.kind in (ELT, ATT)
+        own_id = (node.att("id") if node.ns == XHTML else node.att("id", XML)) if node.kind == ELT else None
+        out.append([node.pre, None, None, level, parent, order, node.kind, node.name, node.prefix if named else "", node.local if named else node.name, node.ns, node.value, own_id, node.block(order) if node.kind == ELT else None, where or "/"])
+
+    def close(at: int) -> None:
+        nonlocal closed
+        out[at][1], out[at][2] = closed, out[-1][0] - out[at][0] + 1
+        closed += 1
+
+    # an explicit stack, as documents may be nested deeply; a number closes the row that it stands for
+    stack: list = [(doc, 0, None, 0, "")]
     while stack:
-        node, level, parent, order, close = stack.pop()
-        if close is not None:
-            out[close][1] = count
-            count += 1
-            out[close][2] = (out[-1][0] - out[close][0]) + 1
+        top = stack.pop()
+        if isinstance(top, int):
+            close(top)
             continue
-        at = visit(node, level, parent, order, node.ns == "http://www.w3.org/1999/xhtml")
+        node, level, parent, order, where = top
+        opened(node, level, parent, order, where)
+        stack.append(len(out) - 1)
         for i, a in enumerate(node.attrs):
-            visit(a, level + 1, node.pre, i, False)
-            out[-1][1], out[-1][2] = count, 1
-            count += 1
-        stack.append((node, level, parent, order, at))
-        for i in range(len(node.children) - 1, -1, -1):
-            stack.append((node.children[i], level + 1, node.pre, i, None))
-    del open_rows
+            opened(a, level + 1, node.pre, i, f"{where}/@{a.name}")
+            close(len(out) - 1)
+        steps = child_steps(node.children)
+        stack.extend((node.children[i], level + 1, node.pre, i, f"{where}/{steps[i]}") for i in reversed(range(len(node.children))))
     return [tuple(r) for r in out]
 
 

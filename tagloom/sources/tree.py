@@ -95,11 +95,12 @@ class Node:
             out |= d
         return {p: u for p, u in out.items() if u}
 
-    def block(self) -> bool:
-        """Block unless text surrounds it on the same line; the root always is."""
+    def block(self, at: int | None = None) -> bool:
+        """Block where line ends part it from text on both sides; the root always is. ``at``: its place among its siblings, if known."""
         if self.parent is None or self.parent.kind == DOC:
             return True
-        at = self.parent.children.index(self)
+        if at is None:
+            at = next(i for i, c in enumerate(self.parent.children) if c is self)
         before = self.parent.children[at - 1] if at else None
         after = self.parent.children[at + 1] if at + 1 < len(self.parent.children) else None
         if before is None or after is None or before.kind != TXT or after.kind != TXT:

@@ -46,3 +46,15 @@ def test_block_needs_line_ends_on_both_sides():
     root = parse_xml("<a>x\n <b/>\n y<c/>z</a>").children[0]
     b, c = [n for n in root.children if n.kind == ELT]
     assert b.block() and not c.block() and root.block()
+
+
+def test_paths_of_rows_are_those_of_nodes():
+    from tagloom.operators.paths import path
+
+    doc = parse_xml(ZOO)
+    want = {n.pre: path(n) for e in doc.walk() for n in (e, *e.attrs)}
+    assert {r[0]: r[-1] for r in node_rows(doc)} == want
+
+
+def test_wide_documents_take_linear_time():
+    assert len(node_rows(parse_xml("<a>" + "<b/>" * 50_000 + "</a>"))) == 50_002
