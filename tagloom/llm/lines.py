@@ -7,7 +7,9 @@ hash, collapse first.
 Each different line is split into ``EDITS`` + 1 segments; two lines within the
 threshold share a segment at nearly the same place, so a line probes the
 segment index of each admissible length with its substrings at the positions
-that the multi-match bound leaves. Candidates are verified by Spark's banded
+that the multi-match bound leaves. A key is 44 bits of the segment's hash and
+the parities of twelve letter counts, so pairs that no two edits can reconcile
+are dropped where they meet. Candidates are verified by Spark's banded
 edit distance.
 
 Documents that lose nothing are passed on without a shuffle. The two broadcast
@@ -30,7 +32,9 @@ from .scratch import Scratch
 LEAST = 20
 EDITS = 2
 #: Numbers that a broadcast filter holds, at most.
-FILTER = 1 << 20
+FILTER = 1 << 22
+#: Letters whose counts, odd or even, are compared before the texts: an edit turns at most two of them.
+LETTERS = "etaoinsrhldu"
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -69,13 +73,26 @@ def probe_keys(edits: int) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def parities(line: Column) -> Column:
+    """One bit for each of ``LETTERS``: whether it occurs an odd number of times."""
+    odd = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(1).cast("long"), i) for i, c in enumerate(LETTERS)]
+    out = odd[0]
+    for o in odd[1:]:
+        out = out.bitwiseOR(o)
+    return out
+
+
 def late_lines(lines: DataFrame, edits: int) -> DataFrame:
     """Of different lines (k, n, first, line): the ``k`` of those with an earlier line within ``edits``."""
-    index = lines.select("k", "first", F.explode(index_keys(edits)).alias("key"))
-    probe = lines.select("k", "first", F.explode(probe_keys(edits)).alias("key"))
-    a, b = index.select(F.col("k").alias("x"), "key"), index.select(F.col("k").alias("y"), "key")
-    same = a.join(b, "key").where("x < y").select("x", "y")
-    near = a.join(probe.select(F.col("k").alias("y"), "key"), "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    lines = lines.withColumn("odd", parities(F.col("line")))
+    pack = lambda keys: F.transform(keys, lambda h: F.shiftleft(F.shiftrightunsigned(h, 20), len(LETTERS)).bitwiseOR(F.col("odd")))
+    index = lines.select("k", F.explode(pack(index_keys(edits))).alias("key"))
+    probe = lines.select(F.col("k").alias("y"), F.explode(pack(probe_keys(edits))).alias("key_y"))
+    a, b = index.select(F.col("k").alias("x"), F.col("key").alias("key_x")), index.select(F.col("k").alias("y"), F.col("key").alias("key_y"))
+    meet = F.shiftright("key_x", len(LETTERS)) == F.shiftright("key_y", len(LETTERS))
+    differ = F.bit_count(F.col("key_x").bitwiseXOR(F.col("key_y"))) <= 2 * edits
+    same = a.join(b, meet & differ & (F.col("x") < F.col("y"))).select("x", "y")
+    near = a.join(probe, meet & differ & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = same.union(near).distinct()
     left = lines.select(F.col("k").alias("x"), F.col("first").alias("first_x"), F.col("line").alias("line_x"))
     right = lines.select(F.col("k").alias("y"), F.col("first").alias("first_y"), F.col("line").alias("line_y"))
@@ -104,18 +121,23 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, id_c
     scratch = Scratch(docs.sparkSession)
     losing, sieve = _marked(docs, scratch, least, edits, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64(text), "_lines": F.split(text, "\n", -1)})
+    # the caller's columns travel as one, so that no name can clash
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"),
+        F.xxhash64(text).alias("_h"),
+        F.split(text, "\n", -1).alias("_lines"),
+    )
     rows = rows.withColumn("f", F.pmod(F.xxhash64("_id", "_h"), F.lit(FILTER)).cast("int"))
     sieve = F.broadcast(sieve)
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    whole = rows.join(sieve, "f", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns], n_lines.alias("_n_lines"), F.lit(0).cast("long").alias("_n_removed"))
+    n_lines = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("_n_lines")
+    whole = rows.join(sieve, "f", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns], n_lines, F.lit(0).cast("long").alias("_n_removed"))
     cut = rows.join(sieve, "f", "left_semi").join(losing, ["_id", "_h"], "left")
     left = F.when(F.col("stay").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: (F.length(x) < least) | F.array_contains("stay", i)))
     cut = cut.withColumn("_left", left)
-    shown = [F.when(F.col("_lines").isNotNull(), F.array_join("_left", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    removed = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
-    return whole.unionByName(cut.select(*shown, n_lines.alias("_n_lines"), removed.alias("_n_removed")))
+    shown = [(F.when(F.col("_lines").isNotNull(), F.array_join("_left", "\n")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
+    removed = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long").alias("_n_removed")
+    return whole.unionByName(cut.select(*shown, n_lines, removed))
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -190,7 +190,8 @@ def test_lines(docs, texts):
                 kept[i].append(line)
             seen.append(line)
     assert {i: r.text for i, r in got.items()} == {i: None if k is None else "\n".join(k) for i, k in kept.items()}
-    assert lines.without_repeats(docs).columns == docs.columns
+    out = lines.without_repeats(docs)
+    assert out.columns == docs.columns and {(r["_id"], r.f, r.bucket) for r in out.collect()} == {("clash", 1, 2)}
 
 
 def test_lines_find_every_small_edit(spark):
