@@ -3,14 +3,13 @@
 Equal vectors collapse first. Centroids are fitted on a bounded sample (the
 ``SAMPLE`` vectors with the smallest hashes); every vector is then assigned to
 its nearest cell, its home. A pair with cosine >= t is at most d = sqrt(2 - 2t)
-apart, so one of the two can lie in another cell only if the plane that bisects
-both centroids is nearer than d; and since the step between them spreads over
-all dimensions, its part across that plane has a deviation of d / sqrt(dim). A
-vector is a guest of every cell whose plane is nearer than ``GUEST`` such
-deviations (all of d in up to nine dimensions, where nothing can be missed).
-On the test tables no pair of all 57,266 and 995,786 links needed more than 1.5
-deviations, so recall there is 1. A vector's links are found in its home cell,
-against members and guests. A cell is dealt out as pairs of blocks, so a cell with a third of
+apart, so the vectors of one cell that may link into another are those whose
+distance to the plane that bisects both centroids is at most d: no link can be
+missed, whatever the clustering. Of two cells only one takes such vectors of
+the other in, as guests, and counts the links for both sides. Where vectors
+have many dimensions hardly any plane is farther than d, and nearly every pair
+is computed; cells of about ``SPREAD`` * sqrt(rows) vectors keep the number of
+guests low then. A cell is dealt out as pairs of blocks, so a cell with a third of
 all rows is many tasks of bounded size; each returns link counts and a spanning
 forest of its links, never the pairs.
 
@@ -34,10 +33,10 @@ from .scratch import Scratch
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 16_384
-#: Vectors per cell aimed at, cells at most, vectors in a block.
-CELL, MAX_CELLS, BLOCK = 512, 4096, 1024
-#: Deviations of a link's step that decide where a vector is a guest.
-GUEST = 3.0
+#: Vectors per cell aimed at, in square roots of their number; cells at most.
+SPREAD, MAX_CELLS = 9, 4096
+#: Vectors in a block of members and in one of all that a cell sees; members multiplied at once.
+LEFT, RIGHT, SLICE = 4096, 8192, 1024
 ROUNDS = 8
 
 
@@ -68,6 +67,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def _assigner(sent, radius: float):
     """(rep, dim, vector) to one row per cell that must see it; ``home`` marks its own."""
 
+    def hosts(k: int) -> np.ndarray:
+        """Of two cells, which one (column) takes guests from the other (row): half of the pairs each; and each itself."""
+        own, cell = np.arange(k)[:, None], np.arange(k)[None, :]
+        return ((cell < own) == ((cell + own) % 2 == 1)) | (cell == own)
+
     def run(batches):
         cells = sent.value
         for batch in batches:
@@ -76,6 +80,7 @@ def _assigner(sent, radius: float):
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 c = cells.get(int(d))
+                host = None if c is None else hosts(len(c[0]))
                 for lo in range(0, len(at), 1024):
                     own = pa.array(at[lo : lo + 1024])
                     v = vec.take(own)
@@ -86,7 +91,7 @@ def _assigner(sent, radius: float):
                         sim = _unit(_vectors(v)) @ c[0].T
                         home = sim.argmax(axis=1)
                         margin = sim[np.arange(len(own)), home][:, None] - sim
-                        who, cell = np.nonzero(margin <= radius * min(1.0, GUEST / d**0.5) * c[1][home] + 1e-9)
+                        who, cell = np.nonzero((margin <= radius * c[1][home] + 1e-9) & host[home])
                     take = pa.array(who)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(who), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[who] == cell), rep.take(own).take(take), v.take(take), weight.take(own).take(take)],
@@ -99,37 +104,38 @@ def _assigner(sent, radius: float):
 def _blocks(least: float):
     def run(table: pa.Table) -> pa.Table:
         """Links between a block of a cell's members (left) and one of all it sees (right)."""
-        left = np.array(table.column("left").to_pylist(), bool)
+        left, home = (np.array(table.column(c).to_pylist(), bool) for c in ("left", "home"))
         ids, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
         v = _unit(_vectors(table.column("vec")))
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        linked = (v[a] @ v[b].T) >= least
-        linked &= ids[a][:, None] != ids[b][None, :]
-        count = linked @ n[b]
-        # connected parts of this block by the smallest label, then a star for each
-        la, lb = ids[a].copy(), ids[b].copy()
-        far = np.iinfo(np.int64).max
-        some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-        linked = linked[np.ix_(some_a, some_b)]
-        xa, xb = la[some_a], lb[some_b]
-        while linked.size:
-            ya = np.minimum(xa, np.where(linked, xb[None, :], far).min(axis=1))
-            yb = np.minimum(xb, np.where(linked, ya[:, None], far).min(axis=0))
-            if (ya == xa).all() and (yb == xb).all():
-                break
-            xa, xb = ya, yb
-        edge_id = np.concatenate([ids[a][some_a], ids[b][some_b]])
-        edge_to = np.concatenate([xa, xb])
-        one = edge_id != edge_to
-        some = count > 0
-        return pa.table(
-            {
-                "rep": pa.array(np.concatenate([ids[a][some], edge_id[one]])),
-                "links": pa.array(np.concatenate([count[some], np.zeros(one.sum(), np.int64)]).astype(np.int64)),
-                "other": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), edge_to[one]])),
-                "is_edge": pa.array(np.concatenate([np.zeros(some.sum(), bool), np.ones(one.sum(), bool)])),
-            }
-        )
+        members, b = np.flatnonzero(left), np.flatnonzero(~left)
+        found: list[tuple] = []
+        for lo in range(0, len(members), SLICE):
+            a = members[lo : lo + SLICE]
+            linked = (v[a] @ v[b].T) >= least
+            linked &= ids[a][:, None] != ids[b][None, :]
+            some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            linked = linked[np.ix_(some_a, some_b)]
+            if not linked.size:
+                continue
+            own, other = a[some_a], b[some_b]
+            # members are on the left in turn; guests are not
+            guest = ~home[other]
+            counted = [(ids[own], linked @ n[other]), (ids[other][guest], n[own] @ linked[:, guest])]
+            # connected parts of this block by the smallest label, then a star for each
+            xa, xb = ids[own], ids[other]
+            far = np.iinfo(np.int64).max
+            while True:
+                ya = np.minimum(xa, np.where(linked, xb[None, :], far).min(axis=1))
+                yb = np.minimum(xb, np.where(linked, ya[:, None], far).min(axis=0))
+                if (ya == xa).all() and (yb == xb).all():
+                    break
+                xa, xb = ya, yb
+            edge_id, edge_to = np.concatenate([ids[own], ids[other]]), np.concatenate([xa, xb])
+            one = edge_id != edge_to
+            found += [(rep, links, np.zeros(len(rep), np.int64), np.zeros(len(rep), bool)) for rep, links in counted]
+            found.append((edge_id[one], np.zeros(one.sum(), np.int64), edge_to[one], np.ones(one.sum(), bool)))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        return pa.table(dict(zip(("rep", "links", "other", "is_edge"), map(pa.array, columns), strict=True)))
 
     return run
 
@@ -153,18 +159,18 @@ def cosine_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     cells: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim, total in ((r.dim, r.total) for r in distinct.groupBy("dim").agg(F.count("*").alias("total")).orderBy(F.desc("total")).limit(64).collect()):
         sample = distinct.where(F.col("dim") == dim).select("vec", F.xxhash64("rep").alias("o")).orderBy("o").limit(SAMPLE).toArrow()
-        k = max(1, min(MAX_CELLS, total // CELL, sample.num_rows // 4))
+        k = max(1, min(MAX_CELLS, int(total**0.5) // SPREAD, sample.num_rows // 4))
         c = spherical_kmeans(_unit(_vectors(sample.column("vec"))), k)
         cells[dim] = (c, np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 1024 else np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-6)
     sent = spark.sparkContext.broadcast(cells)
     radius = (2 - 2 * least) ** 0.5 if least < 1 else 0.0
     seen = scratch.put(distinct.mapInArrow(_assigner(sent, radius), f"dim int, cell int, home boolean, rep long, vec array<{kind}>, n long"), "cells")
-    size = scratch.put(seen.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"), F.ceil(F.count(F.when(F.col("home"), 1)) / BLOCK).cast("int").alias("lefts")), "sizes")
+    size = scratch.put(seen.groupBy("dim", "cell").agg(F.ceil(F.count("*") / RIGHT).cast("int").alias("rights"), F.ceil(F.count(F.when(F.col("home"), 1)) / LEFT).cast("int").alias("lefts")), "sizes")
     dealt = seen.join(F.broadcast(size) if len(cells) * MAX_CELLS <= 1 << 18 else size, ["dim", "cell"])
     pick = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    lefts = dealt.where("home").select("dim", "cell", pick("lefts").alias("i"), to("rights").alias("j"), F.lit(True).alias("left"), "rep", "vec", "n")
-    rights = dealt.where("lefts > 0").select("dim", "cell", to("lefts").alias("i"), pick("rights").alias("j"), F.lit(False).alias("left"), "rep", "vec", "n")
+    lefts = dealt.where("home").select("dim", "cell", pick("lefts").alias("i"), to("rights").alias("j"), F.lit(True).alias("left"), "home", "rep", "vec", "n")
+    rights = dealt.where("lefts > 0").select("dim", "cell", to("lefts").alias("i"), pick("rights").alias("j"), F.lit(False).alias("left"), "home", "rep", "vec", "n")
     found = scratch.put(lefts.union(rights).groupBy("dim", "cell", "i", "j").applyInArrow(_blocks(least), "rep long, links long, other long, is_edge boolean"), "found")
     part = scratch.put(connected_components(found.where("is_edge").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch), "components")
     count = found.where("not is_edge").groupBy("rep").agg(F.sum("links").alias("links"))

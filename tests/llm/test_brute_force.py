@@ -143,6 +143,25 @@ def test_embeddings(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (degree[i], want[i], want[i] == i) for i in want}
 
 
+def test_embeddings_of_several_cells(spark, monkeypatch):
+    """Few strong dimensions and pairs along the line between two topics: links lean across the planes between cells."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(3000, 32)) * np.where(np.arange(32) < 4, 1.0, 0.03)
+    turn = np.linspace(0, np.pi / 2, 600)[:, None]
+    line = np.cos(turn) * np.eye(32)[5] + np.sin(turn) * np.eye(32)[6]
+    x = np.concatenate([x, line + rnd.normal(size=line.shape) * 0.01])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    want = components(range(len(u)), np.argwhere(np.triu(linked)).tolist())
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    for left, right in ((embeddings.LEFT, embeddings.RIGHT), (200, 500)):
+        monkeypatch.setattr(embeddings, "LEFT", left)
+        monkeypatch.setattr(embeddings, "RIGHT", right)
+        got = {r.vec_id: r for r in embeddings.cosine_links(df).collect()}
+        assert [got[i].n_links for i in range(len(u))] == linked.sum(axis=1).tolist()
+        assert {i: r.component_id for i, r in got.items()} == want
+
+
 def test_decontamination(spark, docs, texts):
     items = [(1, "the of"), (2, None), (3, ""), (4, " ".join(texts[9].split()[3:25])), (4, "one"), (None, "a B c d"), (50, "nowhere to be found " * 4)]
     table = spark.createDataFrame(items, "item_id long, text string")
