@@ -64,84 +64,93 @@ class Lexicon:
 
     def __init__(self, terms: list[str]):
         self.terms = sorted(set(terms))
-        self.root: dict = {}
+        self.known = set(self.terms)
+        #: A node: its children by letter, the term that ends here, the largest allowance of a term at or below it.
+        self.root: list = [{}, None, 0]
         for t in self.terms:
             at = self.root
             for ch in t:
-                at = at.setdefault(ch, {})
-            at[""] = t
-        self.masks = np.array([self._mask(t.encode()) for t in self.terms], np.uint64)
-        self.sizes = np.array([len(t.encode()) for t in self.terms], np.int64)
+                at[2] = max(at[2], edits_allowed(len(t)))
+                at = at[0].setdefault(ch, [{}, None, 0])
+            at[1], at[2] = t, max(at[2], edits_allowed(len(t)))
+        masks = np.array([self._masks(t.encode()) for t in self.terms], np.uint64).reshape(-1, 2)
+        self.once, self.twice = masks[:, 0], masks[:, 1]
+        self.sizes = np.array([len(t) for t in self.terms], np.int64)
         self.slack = np.array([edits_allowed(len(t)) for t in self.terms], np.int64)
 
     @staticmethod
-    def _mask(raw: bytes) -> int:
-        out = 0
-        for b in raw:
-            out |= 1 << (b & 63)
-        return out
+    def _masks(raw: bytes) -> tuple[int, int]:
+        """First bytes of letters that occur, and those that occur twice."""
+        once = twice = 0
+        for b in (b for b in raw if b & 0xC0 != 0x80):
+            bit = 1 << (b & 63)
+            twice |= once & bit
+            once |= bit
+        return once, twice
 
     def candidates(self, words: tk.Words) -> np.ndarray:
-        """Words that an equal first letter, length and set of bytes leave for some term.
+        """Words that length and counts of letters (up to two of each) leave for some term.
 
-        An edit takes at most one byte of the term away and adds one, or up to
-        four for a letter beyond ASCII.
+        An edit takes at most one letter of the term away and adds at most one;
+        letters go by their first byte. Equal words are decided once.
         """
-        size = words.end - words.start
-        codes = words.codes
-        first = codes[words.start] - 1
-        most = int(self.sizes.max() + 4 * self.slack.max()) if len(self.sizes) else 0
-        initial = np.zeros(256, bool)
-        initial[[t.encode()[0] for t in self.terms]] = True
-        at = np.flatnonzero((size >= 3) & (size <= most))
-        at = at[initial[first[at]]]
-        masks, high = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-        live = np.arange(len(at))
-        for k in range(most):
-            live = live[size[at[live]] > k]
-            if not len(live):
-                break
-            byte = codes[words.start[at[live]] + k] - 1
-            masks[live] |= np.uint64(1) << (byte & 63).astype(np.uint64)
-            high[live] |= byte >> 7
-        ok = np.zeros(len(at), bool)
-        letters = first[at]
-        own = size[at]
-        for t, m, s, k in zip(self.terms, self.masks, self.sizes, self.slack, strict=True):
-            some = np.flatnonzero(letters == t.encode()[0])
-            wide = high[some] * 3 * k
-            ok[some] |= (np.abs(own[some] - s) <= k + wide) & (np.bitwise_count(masks[some] ^ m) <= 2 * k + wide)
-        return at[ok]
+        if not self.terms:
+            return np.zeros(0, np.int64)
+        lead = (words.codes - 1 & 0xC0) != 0x80
+        before = np.concatenate([[0], np.cumsum(lead)])
+        size = before[words.end] - before[words.start]
+        every = np.flatnonzero((size >= int((self.sizes - self.slack).min())) & (size <= int((self.sizes + self.slack).max())))
+        if not len(every):
+            return every
+        _, one, back = np.unique(words.hashes()[every], return_index=True, return_inverse=True)
+        order = np.argsort(size[every[one]], kind="stable")
+        at = every[one][order]
+        once, twice = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        live, k = np.arange(len(at)), 0
+        while len(live := live[words.start[at[live]] + k < words.end[at[live]]]):
+            place = words.start[at[live]] + k
+            bit = lead[place].astype(np.uint64) << (words.codes[place] - 1 & 63).astype(np.uint64)
+            twice[live] |= once[live] & bit
+            once[live] |= bit
+            k += 1
+        ok, own = np.zeros(len(at), bool), size[at]
+        for m1, m2, s, k in zip(self.once, self.twice, self.sizes, self.slack, strict=True):
+            some = slice(*np.searchsorted(own, [s - k, s + k + 1]))
+            lost = np.bitwise_count(m1 & ~once[some]) + np.bitwise_count(m2 & ~twice[some])
+            new = np.bitwise_count(once[some] & ~m1) + np.bitwise_count(twice[some] & ~m2)
+            ok[some] |= (lost <= k) & (new <= k)
+        good = np.zeros(len(at), bool)
+        good[order] = ok
+        return every[good[back]]
 
     def best(self, word: str) -> tuple[int, str] | None:
-        """The nearest term within its allowance (smallest distance, then first in order), the first letter being equal."""
+        """The nearest term within its allowance (smallest distance, then first in order)."""
+        if word in self.known:
+            return 0, word
         found: list[tuple[int, str]] = []
-        first = self.root.get(word[:1])
-        if first is None:
-            return None
-        n = len(word)
-        start = list(range(n + 1))
-        row = [1] + [0] * n
-        for j in range(1, n + 1):
-            row[j] = min(start[j] + 1, row[j - 1] + 1, start[j - 1] + (word[0] != word[j - 1]))
-        stack = [(first, word[0], row, start)]
+        n, far = len(word), 99
+        stack = [(self.root, "", 0, list(range(n + 1)), [])]
         while stack:
-            node, ch, row, above = stack.pop()
-            term = node.get("")
-            if term is not None and row[n] <= edits_allowed(len(term)):
-                found.append((row[n], term))
-            if min(row) > 2:
-                continue
-            for nxt, child in node.items():
-                if nxt == "":
-                    continue
-                new = [row[0] + 1] + [0] * n
-                for j in range(1, n + 1):
-                    d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (nxt != word[j - 1]))
-                    if j > 1 and nxt == word[j - 2] and ch == word[j - 1]:
-                        d = min(d, above[j - 2] + 1)
+            node, ch, depth, row, above = stack.pop()
+            for nxt, child in node[0].items():
+                # no allowance reaches beyond this band around the diagonal
+                lo, hi = max(1, depth + 1 - child[2]), min(n, depth + 1 + child[2])
+                new = [far] * (n + 1)
+                new[0] = depth + 1
+                for j in range(lo, hi + 1):
+                    d = row[j - 1] + (nxt != word[j - 1])
+                    if row[j] < d:
+                        d = row[j] + 1
+                    if new[j - 1] < d:
+                        d = new[j - 1] + 1
+                    if j > 1 and nxt == word[j - 2] and ch == word[j - 1] and above[j - 2] < d:
+                        d = above[j - 2] + 1
                     new[j] = d
-                stack.append((child, nxt, new, row))
+                if child[1] is not None and new[n] <= edits_allowed(len(child[1])):
+                    found.append((new[n], child[1]))
+                # a transposition reaches back one row, so both have to be past the allowance
+                if child[0] and min(min(new), min(row)) <= child[2]:
+                    stack.append((child, nxt, depth + 1, new, row))
         return min(found) if found else None
 
 

@@ -7,8 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tagloom.llm import tokens as tk
 from tagloom.llm import decontaminate, embeddings, folds, lines, minhash, pieces, pii, quality, suffixes, toxicity, windows
 from tagloom.llm.components import connected_components
 from tagloom.llm.scratch import Scratch
@@ -315,6 +317,39 @@ def test_toxicity(spark):
     assert toxicity.keep_clean(docs, labels).count() == 260 - 60 + 2
 
 
+def test_toxicity_edits_anywhere(spark):
+    """Misspellings at every letter, the first included, against plain distances."""
+    words = "tsupid olser ldiot noron athetic sidiot $tupid".split()
+    docs = spark.createDataFrame([(i, f"what a {w} this was") for i, w in enumerate(words)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = by_id(toxicity.toxicity(docs, labels))
+    assert [[(h.term, h.edits) for h in got[i].hits] for i in range(len(words))] == [[(t, 1)] for t in "stupid loser idiot moron pathetic idiot stupid".split()]
+
+    def distance(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if i == 0 or j == 0}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rnd, lexicon = random.Random(6), toxicity.Lexicon([*toxicity.INSULTS, "éclair", "naïveté", "漢字漢字漢"])
+    tried = []
+    for _ in range(400):
+        w = list(rnd.choice(lexicon.terms))
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(w))
+            rnd.choice([lambda k=k: w.insert(k, rnd.choice("aeé漢")), lambda k=k: w.__setitem__(k, rnd.choice("xoé漢")), lambda k=k: len(w) > 3 and w.pop(k), lambda k=k: w.insert(0, w.pop(k)) if k == 1 else None])()
+        tried.append("".join(w))
+    data, offs = tk.string_buffer(pa.array(tried))
+    cut = tk.Words(data, offs, toxicity.look_alike_table())
+    maybe = set(lexicon.candidates(cut).tolist())
+    for i, w in enumerate(tried):
+        want = min([(distance(t, w), t) for t in lexicon.terms if distance(t, w) <= toxicity.edits_allowed(len(t))], default=None)
+        assert lexicon.best(w) == want and (want is None or i in maybe), w
+
+
 def test_quality(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice("river hill tree and the of stone walks over".split()) for _ in range(rnd.randrange(5, 60))) + "."
