@@ -121,6 +121,14 @@ def id_lookup(spark, sf_dir):
     return t.where("local_name = 'order' and k_order % 1000 in (1, 7)").select("doc_id", "pre", "k_order")
 
 
+@query("SELECT n.doc_id, n.pre, n.k_order, a.pre AS target FROM tree n JOIN tree a ON a.doc_id = n.doc_id AND a.k_order = n.k_order AND a.local_name = 'order' WHERE n.local_name = 'lineitem'")
+def id_references(spark, sf_dir):
+    """id() of every line item's order key, looked up among all orders of its tree."""
+    t = customer_trees(spark, sf_dir)
+    ids = t.where("local_name = 'order'").select("doc_id", "k_order", F.col("pre").alias("target"))
+    return t.where("local_name = 'lineitem'").select("doc_id", "pre", "k_order").join(ids, ["doc_id", "k_order"]).select("doc_id", "pre", "k_order", "target")
+
+
 _RULES = [(0, "order", "a_status", "F", "no"), (1, "order", "a_priority", "1-URGENT", "yes"), (2, "lineitem", "a_flag", "R", "no"), (3, "order", "a_status", "O", "yes"), (4, "lineitem", "a_flag", "A", "yes")]
 _RULE_SQL = ", ".join(f"({i}, '{n}', '{c}', '{v}', '{t}')" for i, n, c, v, t in _RULES)
 _MATCH_SQL = f""", rule(rule_seq, name, att, val, translate) AS (VALUES {_RULE_SQL}),

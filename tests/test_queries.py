@@ -49,3 +49,11 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
         rows.append(normal(df.collect(), df.columns))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert rows[0] == rows[1]
+
+
+def test_id_references_cover_every_line_item(spark, sf_dir):
+    df = QUERIES["id_references"](spark, sf_dir)
+    tree = QUERIES["tree_nodes"](spark, sf_dir).where("local_name = 'lineitem'")
+    assert df.count() == tree.count() > 0
+    # an order holds its line items, so the node that the identifier finds is their parent
+    assert df.join(tree.select("doc_id", "pre", "parent"), ["doc_id", "pre"]).where("target = parent").count() == tree.count()
