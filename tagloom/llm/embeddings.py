@@ -65,7 +65,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _assigner(sent, radius: float):
-    """(rep, dim, vector) to one row per cell that must see it; ``home`` marks its own."""
+    """(rep, low, dim, vector) to one row per cell that must see it; ``home`` marks its own."""
 
     def hosts(k: int) -> np.ndarray:
         """Of two cells, which one (column) takes guests from the other (row): half of the pairs each; and each itself."""
@@ -75,7 +75,7 @@ def _assigner(sent, radius: float):
     def run(batches):
         cells = sent.value
         for batch in batches:
-            rep, dim, vec, weight = (batch.column(i) for i in range(4))
+            rep, low, dim, vec, weight = (batch.column(i) for i in range(5))
             dims = dim.to_numpy()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
@@ -94,8 +94,8 @@ def _assigner(sent, radius: float):
                         who, cell = np.nonzero((margin <= radius * c[1][home] + 1e-9) & host[home])
                     take = pa.array(who)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[who] == cell), rep.take(own).take(take), v.take(take), weight.take(own).take(take)],
-                        ["dim", "cell", "home", "rep", "vec", "n"],
+                        [pa.array(np.full(len(who), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[who] == cell), rep.take(own).take(take), low.take(own).take(take), v.take(take), weight.take(own).take(take)],
+                        ["dim", "cell", "home", "rep", "low", "vec", "n"],
                     )
 
     return run
@@ -105,7 +105,7 @@ def _blocks(least: float):
     def run(table: pa.Table) -> pa.Table:
         """Links between a block of a cell's members (left) and one of all it sees (right)."""
         left, home = (np.array(table.column(c).to_pylist(), bool) for c in ("left", "home"))
-        ids, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        ids, low, n = (table.column(c).to_numpy() for c in ("rep", "low", "n"))
         v = _unit(_vectors(table.column("vec")))
         members, b = np.flatnonzero(left), np.flatnonzero(~left)
         found: list[tuple] = []
@@ -121,8 +121,8 @@ def _blocks(least: float):
             # members are on the left in turn; guests are not
             guest = ~home[other]
             counted = [(ids[own], linked @ n[other]), (ids[other][guest], n[own] @ linked[:, guest])]
-            # connected parts of this block by the smallest label, then a star for each
-            xa, xb = ids[own], ids[other]
+            # connected parts of this block by the smallest identifier, then a star for each
+            xa, xb = low[own], low[other]
             far = np.iinfo(np.int64).max
             while True:
                 ya = np.minimum(xa, np.where(linked, xb[None, :], far).min(axis=1))
@@ -130,7 +130,7 @@ def _blocks(least: float):
                 if (ya == xa).all() and (yb == xb).all():
                     break
                 xa, xb = ya, yb
-            edge_id, edge_to = np.concatenate([ids[own], ids[other]]), np.concatenate([xa, xb])
+            edge_id, edge_to = np.concatenate([low[own], low[other]]), np.concatenate([xa, xb])
             one = edge_id != edge_to
             found += [(rep, links, np.zeros(len(rep), np.int64), np.zeros(len(rep), bool)) for rep, links in counted]
             found.append((edge_id[one], np.zeros(one.sum(), np.int64), edge_to[one], np.ones(one.sum(), bool)))
@@ -153,29 +153,35 @@ def cosine_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     rows = rows.withColumn("vec", F.when(F.col("ok"), F.transform("vec", lambda x: (x + F.lit(0.0)).cast(kind))))
     rows = scratch.put(rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "rows")
     good = rows.where("ok")
-    reps = scratch.put(good.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("n")), "reps")
-    distinct = scratch.put(good.join(reps, ["h1", "h2"]).where("_id = rep").groupBy("rep").agg(F.min("vec").alias("vec"), F.max("n").alias("n")).select("rep", F.size("vec").alias("dim"), "vec", "n"), "distinct")
+    # a number of its own for each distinct vector: an identifier, null above all, can have several
+    distinct = good.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.count("*").alias("n"), F.min("vec").alias("vec"))
+    distinct = scratch.put(distinct.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), "low", F.size("vec").alias("dim"), "vec", "n"), "distinct")
+    reps = distinct.select("h1", "h2", "rep", "low", "n")
 
     cells: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim, total in ((r.dim, r.total) for r in distinct.groupBy("dim").agg(F.count("*").alias("total")).orderBy(F.desc("total")).limit(64).collect()):
-        sample = distinct.where(F.col("dim") == dim).select("vec", F.xxhash64("rep").alias("o")).orderBy("o").limit(SAMPLE).toArrow()
+        sample = distinct.where(F.col("dim") == dim).select("vec", F.xxhash64("h1", "h2").alias("o")).orderBy("o").limit(SAMPLE).toArrow()
         k = max(1, min(MAX_CELLS, int(total**0.5) // SPREAD, sample.num_rows // 4))
         c = spherical_kmeans(_unit(_vectors(sample.column("vec"))), k)
         cells[dim] = (c, np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 1024 else np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-6)
     sent = spark.sparkContext.broadcast(cells)
     radius = (2 - 2 * least) ** 0.5 if least < 1 else 0.0
-    seen = scratch.put(distinct.mapInArrow(_assigner(sent, radius), f"dim int, cell int, home boolean, rep long, vec array<{kind}>, n long"), "cells")
+    seen = scratch.put(distinct.select("rep", "low", "dim", "vec", "n").mapInArrow(_assigner(sent, radius), f"dim int, cell int, home boolean, rep long, low long, vec array<{kind}>, n long"), "cells")
     size = scratch.put(seen.groupBy("dim", "cell").agg(F.ceil(F.count("*") / RIGHT).cast("int").alias("rights"), F.ceil(F.count(F.when(F.col("home"), 1)) / LEFT).cast("int").alias("lefts")), "sizes")
     dealt = seen.join(F.broadcast(size) if len(cells) * MAX_CELLS <= 1 << 18 else size, ["dim", "cell"])
     pick = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    lefts = dealt.where("home").select("dim", "cell", pick("lefts").alias("i"), to("rights").alias("j"), F.lit(True).alias("left"), "home", "rep", "vec", "n")
-    rights = dealt.where("lefts > 0").select("dim", "cell", to("lefts").alias("i"), pick("rights").alias("j"), F.lit(False).alias("left"), "home", "rep", "vec", "n")
+    lefts = dealt.where("home").select("dim", "cell", pick("lefts").alias("i"), to("rights").alias("j"), F.lit(True).alias("left"), "home", "rep", "low", "vec", "n")
+    rights = dealt.where("lefts > 0").select("dim", "cell", to("lefts").alias("i"), pick("rights").alias("j"), F.lit(False).alias("left"), "home", "rep", "low", "vec", "n")
     found = scratch.put(lefts.union(rights).groupBy("dim", "cell", "i", "j").applyInArrow(_blocks(least), "rep long, links long, other long, is_edge boolean"), "found")
-    part = scratch.put(connected_components(found.where("is_edge").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch), "components")
+    # an identifier whose rows have different vectors joins them
+    shared = good.groupBy("_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("_id")
+    same = good.join(shared, "_id").select("_id", "h1", "h2").distinct().join(reps, ["h1", "h2"]).where("_id <> low").select(F.col("_id").alias("a"), F.col("low").alias("b"))
+    edges = found.where("is_edge").select(F.col("rep").alias("a"), F.col("other").alias("b")).union(same)
+    part = scratch.put(connected_components(edges, scratch), "components")
     count = found.where("not is_edge").groupBy("rep").agg(F.sum("links").alias("links"))
-    per = reps.join(count, "rep", "left").join(part, F.col("rep") == part["node"], "left")
-    per = scratch.put(per.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "per")
+    per = reps.join(count, "rep", "left").join(part, F.col("low") == part["node"], "left")
+    per = scratch.put(per.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "low").alias("component")), "per")
     out = rows.select("_id", "ok", "h1", "h2").join(per, ["h1", "h2"], "left")
     component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("_id"))
     return out.select(

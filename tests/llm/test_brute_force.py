@@ -164,6 +164,24 @@ def test_embeddings_of_several_cells(spark, monkeypatch):
         assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_embeddings_of_shared_identifiers(spark):
+    """Different vectors with one identifier or none are all compared, and an identifier's rows share a component."""
+    rnd = np.random.default_rng(12)
+    base = rnd.normal(size=(30, 12))
+    ids = [None if i % 3 == 0 else i // 5 for i in range(60)]
+    x = np.concatenate([base, base + rnd.normal(size=base.shape) * 0.05])
+    rows = [(k, v.tolist()) for k, v in zip(ids, x, strict=True)] + [(50, (-base[0]).tolist()), (50, (-base[1]).tolist()), (40, (-base[1]).tolist())]
+    got = embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    x = np.array([v for _, v in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    name = [-1 if k is None else k for k, _ in rows]
+    want = components(set(name), [(name[a], name[b]) for a, b in np.argwhere(linked)])
+    show = lambda k: None if k == -1 else k
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter((show(k), int(d), show(want[k]), want[k] == k) for k, d in zip(name, linked.sum(axis=1), strict=True))
+    assert {r.component_id for r in got if r.vec_id == 50} == {40}
+
+
 def test_decontamination(spark, docs, texts):
     items = [(1, "the of"), (2, None), (3, ""), (4, " ".join(texts[9].split()[3:25])), (4, "one"), (None, "a B c d"), (50, "nowhere to be found " * 4)]
     table = spark.createDataFrame(items, "item_id long, text string")
