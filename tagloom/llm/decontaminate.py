@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .rows import keyed, plain_id
+from .rows import keyed, plain_id, without
 
 #: Text bytes of the items that one broadcast index may hold.
 MAX_ITEM_BYTES = 32 << 20
@@ -182,8 +182,8 @@ def _union(spans) -> list[dict]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """Per document: ``doc_id``, ``n_words``, ``spans`` (first and last word of each maximal hit run), ``items`` (sorted)."""
+def _contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """Per document: ``_id``, ``_h``, ``n_words``, ``spans`` and ``items``."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     items = items.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
@@ -208,7 +208,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
             .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
             .mapInArrow(_merge, f"_id long, _h long, n_words long, spans {_SPANS}, items array<string>")
         )
-    return found.select(plain_id(), "n_words", "spans", F.array_sort("items").alias("items"))
+    return found
+
+
+def contamination(docs: DataFrame, items: DataFrame, *args, **kwargs) -> DataFrame:
+    """Per document: ``doc_id``, ``n_words``, ``spans`` (first and last word of each maximal hit run), ``items`` (sorted); arguments as for ``_contamination``."""
+    return _contamination(docs, items, *args, **kwargs).select(plain_id(), "n_words", "spans", F.array_sort("items").alias("items"))
 
 
 def contract(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -226,5 +231,4 @@ def contract(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline form: documents without any hit, columns unchanged."""
-    bad = contamination(docs, items).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, _contamination(docs, items).where(F.size("spans") > 0))

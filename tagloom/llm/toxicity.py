@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .folds import remainder, training_rows
-from .rows import NULL_ID, keyed, plain_id
+from .rows import keyed, plain_id, without
 
 #: Labelled training rows used, at most.
 SAMPLE = 20_000
@@ -220,7 +220,7 @@ def _scorer(sent):
                 x, hits = _features(lexicon, data, offs, cache)
                 score = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
                 spans = pa.array([[dict(zip(("first", "last", "term", "edits", "mention"), h, strict=True)) for h in own] for own in hits], kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), spans], ["_id", "score", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score), spans], ["_id", "_h", "score", "hits"])
 
     return run
 
@@ -254,16 +254,20 @@ def learned_terms(rows: DataFrame, limit: int = LEARNED) -> list[str]:
     return sorted(r.word for r in strong.join(varied, "word").where(F.col("c") >= F.greatest(F.lit(4), F.col("t") * 0.5)).select("word").collect())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """Per row: ``doc_id``, ``score`` and ``hits`` (byte span, term, edits, mention)."""
+def _scored(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """Per row: ``_id``, ``_h``, ``score`` and ``hits``."""
     spark = docs.sparkSession
     train = training_rows(docs, labels, target, remainder(id_col, parts) != held, sample, id_col, text_col)
     terms = sorted({*INSULTS, *learned_terms(train)})
     got = train.select("_id", "_text", "y").mapInArrow(_train_features(spark.sparkContext.broadcast(terms)), "x array<double>, y int").toPandas()
     weights = PRIOR if got.empty else fit_logistic(np.array(got["x"].tolist()), (got["y"].to_numpy() > 0).astype(float), PRIOR, PRIOR_STRENGTH)
     sent = spark.sparkContext.broadcast((terms, weights))
-    out = keyed(docs, id_col, text_col).mapInArrow(_scorer(sent), "_id long, score double, hits array<struct<first:bigint,last:bigint,term:string,edits:int,mention:boolean>>")
-    return out.select(plain_id(), "score", "hits")
+    return keyed(docs, id_col, text_col).mapInArrow(_scorer(sent), "_id long, _h long, score double, hits array<struct<first:bigint,last:bigint,term:string,edits:int,mention:boolean>>")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, *args, **kwargs) -> DataFrame:
+    """Per row: ``doc_id``, ``score`` and ``hits`` (byte span, term, edits, mention); arguments as for ``_scored``."""
+    return _scored(docs, labels, *args, **kwargs).select(plain_id(), "score", "hits")
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,5 +277,4 @@ def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """Pipeline form: documents scored under ``least`` stay, columns unchanged."""
-    bad = toxicity(docs, labels).where(F.col("score") >= least).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == bad["_bad"], "left_anti")
+    return without(docs, _scored(docs, labels).where(F.col("score") >= least))
