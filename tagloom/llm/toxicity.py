@@ -248,10 +248,13 @@ def learned_terms(rows: DataFrame, limit: int = LEARNED) -> list[str]:
     seen = words.select("y", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n"))
     least = max(5, total.t // 50)
     odds = ((F.col("t") + 0.5) / (total.t + 1)) / ((F.col("n") + 0.5) / (total.n + 1))
-    strong = seen.where((F.col("t") >= least) & (odds >= 20)).orderBy(F.desc(odds * F.col("t")), "word").limit(limit)
-    pairs = words.where("y = 1").select(F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))).alias("p")).select("p.*").toDF("word", "next")
-    varied = pairs.groupBy("word").agg(F.count_distinct("next").alias("c"))
-    return sorted(r.word for r in strong.join(varied, "word").where(F.col("c") >= F.greatest(F.lit(4), F.col("t") * 0.5)).select("word").collect())
+    # contexts come from distinct texts, so that copies count once; next words grow like the square root of the texts, not in step with them
+    texts = words.where("y = 1").select("w").distinct().withColumn("text", F.xxhash64("w"))
+    pairs = texts.select("text", F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))).alias("p")).select("text", "p.*").toDF("text", "word", "next")
+    varied = pairs.groupBy("word").agg(F.count_distinct("next").alias("c"), F.count_distinct("text").alias("d"))
+    varied = varied.where(F.col("c") >= F.greatest(F.lit(4), F.least(F.col("d") * 0.5, 2 * F.sqrt("d")))).select("word")
+    strong = seen.where((F.col("t") >= least) & (odds >= 20)).join(varied, "word").orderBy(F.desc(odds * F.col("t")), "word").limit(limit)
+    return sorted(r.word for r in strong.select("word").collect())
 
 
 def _scored(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", sample: int = SAMPLE) -> DataFrame:

@@ -368,6 +368,16 @@ def test_toxicity_edits_anywhere(spark):
         assert lexicon.best(w) == want and (want is None or i in maybe), w
 
 
+def test_learned_terms(spark):
+    """Copies of one text labelled toxic take no places, and frequent terms of many texts stay in."""
+    rnd = random.Random(14)
+    follow = [f"{a}{b}" for a in ("river", "hill", "tree", "stone", "road", "lake") for b in ("ab", "cd", "ef", "gh", "ij")]
+    copy = " ".join(f"rare{a}{b}" for a in "abcdefghijklmnopqrst" for b in "uvwxyz")
+    rows = [(1, copy)] * 300 + [(1, f"{rnd.choice(follow)} zorglub {rnd.choice(follow)} {rnd.choice(follow)}") for _ in range(200)]
+    rows += [(0, " ".join(rnd.choice(follow) for _ in range(6))) for _ in range(600)]
+    assert toxicity.learned_terms(spark.createDataFrame(rows, "y int, _text string"), limit=20) == ["zorglub"]
+
+
 def test_quality(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice("river hill tree and the of stone walks over".split()) for _ in range(rnd.randrange(5, 60))) + "."
