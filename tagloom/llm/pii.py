@@ -37,10 +37,10 @@ MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9
 ISO = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SLASH = r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\d)"
+PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
-HEX = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 KINDS = {"mail": MAIL, "hex": HEX, "date": f"{ISO}|{SLASH}", "ssn": SSN, "phone": PHONE, "ipv4": IPV4, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -155,9 +155,10 @@ def kind_of(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of one match, null where it does not validate."""
     low = F.lower(m)
+    hexed = F.substring(F.sha2(F.concat(F.lit(key), low).cast("binary"), 256), F.lit(1), F.length(m))
     return (
         F.when(kind == "mail", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), low).cast("binary"), 256), 1, 12), F.lit("@"), F.lit("mail.example")))
-        .when(kind == "hex", F.substring(F.sha2(F.concat(F.lit(key), m).cast("binary"), 256), F.lit(1), F.length(m)))
+        .when(kind == "hex", F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(hexed)).otherwise(hexed))
         .when(kind == "date", _date(m, key))
         .when(kind == "ssn", refill(m, feistel_digits(digits_of(m), key, "ssn")))
         .when(kind == "phone", _phone(m, key))

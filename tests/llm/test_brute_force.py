@@ -290,6 +290,16 @@ def test_pii(spark):
     assert other[8].text != got[8].text
 
 
+def test_pii_upper_hex_and_spaced_phones(spark):
+    secret = "9233A8EC" * 5
+    rows = [(0, f"key {secret} here"), (1, f"key {secret.lower()} here"), (2, "call (555) 555 5657 or 555 555 5657 now")]
+    got = by_id(pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")))
+    new = re.fullmatch(r"key ([0-9A-F]{40}) here", got[0].text)[1]
+    assert new != secret and got[1].text == f"key {new.lower()} here"
+    a, b = re.fullmatch(r"call (\(\d{3}\) \d{3} \d{4}) or (\d{3} \d{3} \d{4}) now", got[2].text).groups()
+    assert "555 5657" not in got[2].text and re.sub("[()]", "", a) == b
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
