@@ -2,27 +2,38 @@
 
 A line of at least ``LEAST`` characters is removed where an earlier line
 (smaller document, or earlier in the same one) is at most ``EDITS`` edits away;
-lines are judged on the input, not on what is left. Equal lines, by a 64-bit
+lines are judged on the input, not on what is left. Equal lines, by a 128-bit
 hash, collapse first.
-Each different line is split into ``EDITS`` + 1 segments; two lines within the
-threshold share a segment at nearly the same place, so a line probes the
-segment index of each admissible length with its substrings at the positions
-that the multi-match bound leaves. A key is 44 bits of the segment's hash and
-the parities of twelve letter counts, so pairs that no two edits can reconcile
-are dropped where they meet. Candidates are verified by Spark's banded
-edit distance.
 
-Documents that lose nothing are passed on without a shuffle. The two broadcast
-filters hold identifiers modulo ``FILTER``, so at most that many numbers.
+Every line is split into ``EDITS`` + 1 segments; two lines within the threshold
+share a segment at nearly the same place, so a line probes the segment index of
+each admissible length with its substrings at the positions that the
+multi-match bound leaves. Three passes over the texts, of which none moves the
+texts: the first finds the first place of every different line, the second the
+keys that more than one line has (an aggregate that is combined before the
+shuffle), the third fetches the lines of those keys. Only these few move.
+
+The lines of one key are compared inside a row: a key with many lines is dealt
+out as blocks of about ``BLOCK``, one row for each pair of blocks, so no row
+grows with the key and no row is made for a pair of lines. Pairs that lengths
+and letter parities leave are verified by the banded bit-parallel edit
+distance, a few bits for each character of the line.
+
+Documents that lose nothing are passed on without a shuffle. The broadcast
+filters hold numbers modulo ``FILTER``, so at most that many.
 
 Defined results: null texts have no lines and stay null; empty texts are one
-empty line; rows that share an identifier are told apart by text; rows equal in
-both are one document; null identifiers sort before all others; an empty table
-gives no rows. Extra columns are ignored, or kept by the pipeline form.
+empty line; a very long text is split like any other, one task holding it
+whole; rows that share an identifier are told apart by text; rows equal in both
+are one document; null identifiers sort before all others; an empty table gives
+no rows. Extra columns are ignored by the contract and kept by the other forms,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +44,10 @@ LEAST = 20
 EDITS = 2
 #: Numbers that a broadcast filter holds, at most.
 FILTER = 1 << 22
-#: Letters whose counts, odd or even, are compared before the texts: an edit turns at most two of them.
-LETTERS = "etaoinsrhldu"
+#: Lines of a crowded key that one block holds, on average.
+BLOCK = 48
+#: Characters whose counts, odd or even, are compared before the texts: an edit turns at most two of them.
+LETTERS = string.ascii_lowercase + string.digits + " .,"
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -50,16 +63,10 @@ def _piece(i: int, length: Column, start: Column, size: Column) -> Column:
     return F.xxhash64(F.lit(i), length, F.col("line").substr(start, size))
 
 
-def index_keys(edits: int) -> Column:
-    """Segments of the line itself."""
-    n = F.col("n")
-    return F.array(*[_piece(i, n, *_segment(n, i, edits)) for i in range(edits + 1)])
-
-
-def probe_keys(edits: int) -> Column:
-    """Substrings that meet the segments of other lines, no longer than this one; its own segments are left out."""
+def line_keys(edits: int) -> Column:
+    """Segments of the line itself, and its substrings that meet the segments of other lines, no longer than this one."""
     n = F.col("n")
-    out = []
+    out = [_piece(i, n, *_segment(n, i, edits)) for i in range(edits + 1)]
     for delta in range(edits + 1):
         length = n - delta
         for i in range(edits + 1):
@@ -68,9 +75,9 @@ def probe_keys(edits: int) -> Column:
             for shift in range(lo, hi + 1):
                 if delta or shift:
                     at = start + shift
-                    fits = (length > edits) & (at >= 1) & (at + size - 1 <= n)
+                    fits = (length >= 0) & (at >= 1) & (at + size - 1 <= n)
                     out.append(F.when(fits, _piece(i, length, at, size)))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
 
 
 def parities(line: Column) -> Column:
@@ -82,62 +89,128 @@ def parities(line: Column) -> Column:
     return out
 
 
-def late_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """Of different lines (k, n, first, line): the ``k`` of those with an earlier line within ``edits``."""
-    lines = lines.withColumn("odd", parities(F.col("line")))
-    pack = lambda keys: F.transform(keys, lambda h: F.shiftleft(F.shiftrightunsigned(h, 20), len(LETTERS)).bitwiseOR(F.col("odd")))
-    index = lines.select("k", F.explode(pack(index_keys(edits))).alias("key"))
-    probe = lines.select(F.col("k").alias("y"), F.explode(pack(probe_keys(edits))).alias("key_y"))
-    a, b = index.select(F.col("k").alias("x"), F.col("key").alias("key_x")), index.select(F.col("k").alias("y"), F.col("key").alias("key_y"))
-    meet = F.shiftright("key_x", len(LETTERS)) == F.shiftright("key_y", len(LETTERS))
-    differ = F.bit_count(F.col("key_x").bitwiseXOR(F.col("key_y"))) <= 2 * edits
-    same = a.join(b, meet & differ & (F.col("x") < F.col("y"))).select("x", "y")
-    near = a.join(probe, meet & differ & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = same.union(near).distinct()
-    left = lines.select(F.col("k").alias("x"), F.col("first").alias("first_x"), F.col("line").alias("line_x"))
-    right = lines.select(F.col("k").alias("y"), F.col("first").alias("first_y"), F.col("line").alias("line_y"))
-    checked = pairs.join(left, "x").join(right, "y").where(F.levenshtein("line_x", "line_y", edits) >= 0)
-    return checked.select(F.when(F.col("first_x") < F.col("first_y"), F.col("y")).otherwise(F.col("x")).alias("k")).distinct()
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two arrays of characters are at most ``edits`` edits apart: Hyyrö's bit-vectors, cut to the band.
+
+    Bit t at column j stands for row j - edits + t. The distance follows the
+    lowest row of the band down to the last row, then goes along that one.
+    Before the first difference the vectors stay as they start, and once no row
+    of the band can be within ``edits`` they are left alone: both cost little.
+    """
+    every, top = (1 << 2 * edits + 1) - 1, 1 << 2 * edits
+    above, below = (1 << edits) - 1, ((1 << edits + 1) - 1) << edits
+    flip = lambda x: x.bitwiseXOR(F.lit(every))
+
+    def over(a: Column, b: Column) -> Column:
+        rows = F.size(a)
+
+        def step(s: Column, j: Column) -> Column:
+            own, slanted = F.get(b, j - 1), j + edits <= rows
+
+            def turned(match: Column) -> Column:
+                d0 = (match.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(match).bitwiseOR(s["vn"]).bitwiseAND(F.lit(every))
+                return _let(d0, rest)
+
+            def rest(d0: Column) -> Column:
+                hp, hn, down = s["vn"].bitwiseOR(flip(d0.bitwiseOR(s["vp"]))), d0.bitwiseAND(s["vp"]), F.shiftright(d0, 1)
+                last = F.call_function("shiftleft", F.lit(1), rows - j + edits)
+                along = F.when(hp.bitwiseAND(last) != 0, 1).when(hn.bitwiseAND(last) != 0, -1).otherwise(0)
+                slant = F.when(d0.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)
+                return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + F.when(slanted, slant).otherwise(along)).alias("d"))
+
+            match = sum((F.when(F.get(a, j - 1 + t - edits) == own, F.lit(1 << t)).otherwise(F.lit(0)) for t in range(2 * edits + 1)), F.lit(0))
+            equal = (s["vn"] == above) & (s["vp"] == below) & slanted & (F.get(a, j - 1) == own)
+            lost = s["d"] - F.bit_count(s["vp"]) > edits
+            return F.when(equal | lost, s).otherwise(_let(match, turned))
+
+        first = F.struct(F.lit(below).alias("vp"), F.lit(above).alias("vn"), F.least(F.lit(edits), rows).alias("d"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(b)), first, step, lambda s: s["d"] <= edits)
+
+    return (F.abs(F.size(a) - F.size(b)) <= edits) & F.when(F.size(b) == 0, F.size(a) <= edits).otherwise(_let(a, lambda x: _let(b, lambda y: over(x, y))))
+
+
+def _lines(rows: DataFrame, least: int) -> DataFrame:
+    each = rows.where("_text is not null").select("_id", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("no", "line"))
+    return each.withColumn("n", F.length("line")).where(F.col("n") >= least)
+
+
+def _place(c: Column | str) -> Column:
+    return F.pmod(c if isinstance(c, Column) else F.col(c), F.lit(FILTER)).cast("int").alias("f")
+
+
+def late_lines(each: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
+    """Of lines at their places (_id, _h, no, line, n): the hashes ``k``, ``k2`` of those with a different earlier line within ``edits``."""
+    k, k2 = F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2")
+    keys = each.select(k, F.explode(line_keys(edits)).alias("key")).where("key is not null")
+    mixed = keys.groupBy("key").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y")
+    sieve = scratch.put(mixed.select(_place("key")).distinct(), "sieve")
+    # false positives of the sieve end as keys of one line
+    met = each.select(k, k2, F.struct("_id", "no", "_h").alias("at"), "line", "n", F.explode(line_keys(edits)).alias("key")).where("key is not null")
+    met = met.withColumn("f", _place("key")).join(F.broadcast(sieve), "f", "left_semi")
+    members = scratch.put(met.groupBy("key", "k", "k2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "members")
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    crowd = members.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("k", "k2"), F.col("blocks")).cast("int"))
+    dealt = crowd.select("key", F.struct("k", "k2", "at", "b", F.length("line").alias("n"), parities(F.col("line")).alias("odd"), "line").alias("m"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    rows = dealt.groupBy("key", F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q")).agg(F.collect_list("m").alias("ms"))
+
+    def near(y: Column):
+        def run(x: Column) -> Column:
+            apart = (F.col("p") == F.col("q")) | (x["b"] != y["b"])
+            like = (F.abs(x["n"] - y["n"]) <= edits) & (F.bit_count(x["odd"].bitwiseXOR(y["odd"])) <= 2 * edits)
+            return apart & like & (x["at"] < y["at"]) & within(F.split(x["line"], ""), F.split(y["line"], ""), edits)
+
+        return run
+
+    late = F.filter("ms", lambda y: F.exists("ms", near(y)))
+    return rows.select(F.explode(F.transform(late, lambda y: F.struct(y["k"], y["k2"]))).alias("y")).select(F.col("y.k").alias("k"), F.col("y.k2").alias("k2")).distinct()
 
 
 def _marked(docs: DataFrame, scratch: Scratch, least: int, edits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(_id, _h, lines to keep among the long ones) of documents that lose lines, and the filter of their identifiers."""
     rows = keyed(docs, id_col, text_col)
-    each = rows.where("_text is not null").select("_id", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("no", "line")).where(F.length("line") >= least)
-    # one aggregate by one key, so that every later use reads the same shuffle and joins on k need no other
-    lines = each.groupBy(F.xxhash64("line").alias("k")).agg(F.min(F.struct("_id", "no", "_h", "line")).alias("top"))
-    lines = lines.select("k", F.length("top.line").alias("n"), F.struct("top._id", "top.no", "top._h").alias("first"), F.col("top.line").alias("line"))
-    late = late_lines(lines, edits)
-    stays = scratch.put(lines.select("k", "first").join(late, "k", "left_anti").select("first.*"), "stays")
-    kept = scratch.put(stays.groupBy("_id", "_h").agg(F.collect_list("no").alias("stay")), "kept")
+    each = _lines(rows, least)
+    late = scratch.put(late_lines(each, edits, scratch), "late")
+    firsts = each.groupBy(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2")).agg(F.min(F.struct("_id", "no", "_h")).alias("first"))
+    stays = firsts.join(late, ["k", "k2"], "left_anti").select("first.*")
+    kept = stays.groupBy("_id", "_h").agg(F.collect_list("no").alias("stay"))
     long = F.size(F.filter(F.split("_text", "\n", -1), lambda x: F.length(x) >= least))
     count = rows.where("_text is not null").select("_id", "_h", long.alias("long")).where("long > 0")
     losing = scratch.put(count.join(kept, ["_id", "_h"], "left").where("stay is null or size(stay) < long").select("_id", "_h", F.coalesce("stay", F.array().cast("array<int>")).alias("stay")).dropDuplicates(["_id", "_h"]), "losing")
-    return losing, losing.select(F.pmod(F.xxhash64("_id", "_h"), F.lit(FILTER)).cast("int").alias("f")).distinct()
+    return losing, losing.select(_place(F.xxhash64("_id", "_h"))).distinct()
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text rewritten, and ``_n_lines``, ``_n_removed``."""
+def _cut(docs: DataFrame, least: int, edits: int, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns of ``docs``, the text rewritten), ``n_lines``, ``n_removed``: the caller's columns travel as one, so that no name can clash."""
     scratch = Scratch(docs.sparkSession)
     losing, sieve = _marked(docs, scratch, least, edits, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    # the caller's columns travel as one, so that no name can clash
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.xxhash64(text).alias("_h"),
-        F.split(text, "\n", -1).alias("_lines"),
+        F.split(text, "\n", -1).alias("lines"),
     )
-    rows = rows.withColumn("f", F.pmod(F.xxhash64("_id", "_h"), F.lit(FILTER)).cast("int"))
-    sieve = F.broadcast(sieve)
-    n_lines = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("_n_lines")
-    whole = rows.join(sieve, "f", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns], n_lines, F.lit(0).cast("long").alias("_n_removed"))
-    cut = rows.join(sieve, "f", "left_semi").join(losing, ["_id", "_h"], "left")
-    left = F.when(F.col("stay").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: (F.length(x) < least) | F.array_contains("stay", i)))
-    cut = cut.withColumn("_left", left)
-    shown = [(F.when(F.col("_lines").isNotNull(), F.array_join("_left", "\n")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
-    removed = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long").alias("_n_removed")
-    return whole.unionByName(cut.select(*shown, n_lines, removed))
+    rows = rows.withColumn("f", _place(F.xxhash64("_id", "_h")))
+    n_lines = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines")
+    shape = lambda new: F.struct(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]).alias("row")
+    whole = rows.join(F.broadcast(sieve), "f", "left_anti").select(shape(F.col("row").getField(text_col).cast("string")), n_lines, F.lit(0).cast("long").alias("n_removed"))
+    cut = rows.join(F.broadcast(sieve), "f", "left_semi").join(losing, ["_id", "_h"], "left")
+    left = F.when(F.col("stay").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: (F.length(x) < least) | F.array_contains("stay", i)))
+    cut = cut.withColumn("left", left)
+    removed = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed")
+    return whole.unionByName(cut.select(shape(F.when(F.col("lines").isNotNull(), F.array_join("left", "\n"))), n_lines, removed))
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with the text rewritten, and ``_n_lines``, ``_n_removed``, which replace columns of those names."""
+    out = _cut(docs, least, edits, id_col, text_col)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    return out.select(*own, F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"))
 
 
 def contract(docs: DataFrame) -> DataFrame:
@@ -148,7 +221,8 @@ def contract(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline form: repeated lines are cut, documents left without a word go if they lost lines; ``n_chars`` follows the text."""
-    out = repeated_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.where((F.col("_n_removed") == 0) | (F.length(F.trim("text")) > 0)).select(*docs.columns)
+    out = _cut(docs, LEAST, EDITS, "doc_id", "text")
+    text, lost = F.col("row").getField("text"), F.col("n_removed") > 0
+    out = out.where(~lost | (F.length(F.trim(text)) > 0))
+    chars = lambda c: F.when(lost, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col("row").getField(c)).alias(c)
+    return out.select(*[chars(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
