@@ -8,10 +8,11 @@ hash, collapse first.
 Every line is split into ``EDITS`` + 1 segments; two lines within the threshold
 share a segment at nearly the same place, so a line probes the segment index of
 each admissible length with its substrings at the positions that the
-multi-match bound leaves. Three passes over the texts, of which none moves the
-texts: the first finds the first place of every different line, the second the
-keys that more than one line has (an aggregate that is combined before the
-shuffle), the third fetches the lines of those keys. Only these few move.
+multi-match bound leaves. No pass moves the texts: the first reduces the lines
+to their hashes, keys and first places; keys that more than one line has come
+from an aggregate that is combined before the shuffle, and of keys with the
+same lines one stays; a second pass fetches the few lines to compare and the
+places of all that may go.
 
 The lines of one key are compared inside a row: a key with many lines is dealt
 out as blocks of about ``BLOCK``, one row for each pair of blocks, so no row
@@ -59,24 +60,18 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return (base * i + before + 1).cast("int"), (base + F.when(F.lit(i) >= n - longer, 1).otherwise(0)).cast("int")
 
 
-def _piece(i: int, length: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.col("line").substr(start, size))
-
-
 def line_keys(edits: int) -> Column:
     """Segments of the line itself, and its substrings that meet the segments of other lines, no longer than this one."""
-    n = F.col("n")
-    out = [_piece(i, n, *_segment(n, i, edits)) for i in range(edits + 1)]
+    n, out = F.col("n"), []
     for delta in range(edits + 1):
         length = n - delta
         for i in range(edits + 1):
             start, size = _segment(length, i, edits)
             lo, hi = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
             for shift in range(lo, hi + 1):
-                if delta or shift:
-                    at = start + shift
-                    fits = (length >= 0) & (at >= 1) & (at + size - 1 <= n)
-                    out.append(F.when(fits, _piece(i, length, at, size)))
+                at = start + shift
+                fits = (length >= 0) & (at >= 1) & (at + size - 1 <= n)
+                out.append(F.when(fits, F.xxhash64(F.lit(i), length, F.col("line").substr(at, size))))
     return F.array(*out)
 
 
@@ -144,18 +139,26 @@ def _place(c: Column | str) -> Column:
 
 
 def late_lines(each: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
-    """Of lines at their places (_id, _h, no, line, n): the hashes ``k``, ``k2`` of those with a different earlier line within ``edits``."""
-    k, k2 = F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2")
-    keys = each.select(k, F.explode(line_keys(edits)).alias("key")).where("key is not null")
+    """Of lines at their places (_id, _h, no, line, n): the places of those with an earlier one within ``edits``."""
+    hashed = each.select(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"), F.struct("_id", "no", "_h").alias("at"), line_keys(edits).alias("keys"))
+    firsts = scratch.put(hashed.groupBy("k", "k2").agg(F.min("at").alias("at"), F.count("*").alias("c"), F.first("keys").alias("keys")), "firsts")
+    keys = firsts.select("k", "k2", "at", F.explode_outer("keys").alias("key")).where("key is not null")
     mixed = keys.groupBy("key").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y")
     sieve = scratch.put(mixed.select(_place("key")).distinct(), "sieve")
-    # false positives of the sieve end as keys of one line
-    met = each.select(k, k2, F.struct("_id", "no", "_h").alias("at"), "line", "n", F.explode(line_keys(edits)).alias("key")).where("key is not null")
-    met = met.withColumn("f", _place("key")).join(F.broadcast(sieve), "f", "left_semi")
-    members = scratch.put(met.groupBy("key", "k", "k2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "members")
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-    crowd = members.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("k", "k2"), F.col("blocks")).cast("int"))
-    dealt = crowd.select("key", F.struct("k", "k2", "at", "b", F.length("line").alias("n"), parities(F.col("line")).alias("odd"), "line").alias("m"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    # what the sieve lets through beyond the mixed keys ends as keys of one line
+    met = scratch.put(keys.withColumn("f", _place("key")).join(F.broadcast(sieve), "f", "left_semi").drop("f").dropDuplicates(["key", "k", "k2"]), "met")
+    # of keys with the same lines one is enough
+    groups = met.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("k").alias("a"), F.bit_xor(F.xxhash64("k2", "k")).alias("b")).where("m > 1")
+    groups = scratch.put(groups.groupBy("m", "a", "b").agg(F.min("key").alias("key")).select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "groups")
+    met = scratch.put(met.join(groups, "key"), "crowd")
+    # one more pass finds the texts of the lines to compare and every place of lines that may go
+    wanted = scratch.put(met.select(_place("k"), F.lit(True).alias("told")).union(firsts.where("c > 1").select(_place("k"), F.lit(False))).groupBy("f").agg(F.max("told").alias("told")), "wanted")
+    spots = each.select(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"), "_id", "_h", "no", "line").withColumn("f", _place("k")).join(F.broadcast(wanted), "f")
+    spots = scratch.put(spots.select("k", "k2", "_id", "_h", "no", F.when(F.col("told"), F.col("line")).alias("line")), "spots")
+    texts = spots.where("line is not null").groupBy("k", "k2").agg(F.first("line").alias("line"))
+    crowd = met.join(texts, ["k", "k2"]).withColumn("b", F.pmod(F.xxhash64("k", "k2"), F.col("blocks")).cast("int"))
+    odd = F.when(F.col("m") > 4, parities(F.col("line"))).otherwise(F.lit(0).cast("long"))
+    dealt = crowd.select("key", F.struct("k", "k2", "at", "b", F.length("line").alias("n"), odd.alias("odd"), "line").alias("m"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
     rows = dealt.groupBy("key", F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q")).agg(F.collect_list("m").alias("ms"))
 
     def near(y: Column):
@@ -166,21 +169,17 @@ def late_lines(each: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
 
         return run
 
-    late = F.filter("ms", lambda y: F.exists("ms", near(y)))
-    return rows.select(F.explode(F.transform(late, lambda y: F.struct(y["k"], y["k2"]))).alias("y")).select(F.col("y.k").alias("k"), F.col("y.k2").alias("k2")).distinct()
+    late = F.transform(F.filter("ms", lambda y: F.exists("ms", near(y))), lambda y: F.struct(y["k"], y["k2"]))
+    late = scratch.put(rows.select(F.explode(late).alias("y")).select("y.*").distinct(), "late")
+    bad = firsts.where("c > 1").select("k", "k2", "at").join(late, ["k", "k2"], "left_anti").union(late.select("k", "k2", F.lit(None).cast("struct<_id:bigint,no:int,_h:bigint>")))
+    lost = spots.select("k", "k2", "_id", "_h", "no").join(bad, ["k", "k2"])
+    return lost.where(F.col("at").isNull() | (F.col("at") != F.struct("_id", "no", "_h"))).select("_id", "_h", "no")
 
 
 def _marked(docs: DataFrame, scratch: Scratch, least: int, edits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(_id, _h, lines to keep among the long ones) of documents that lose lines, and the filter of their identifiers."""
-    rows = keyed(docs, id_col, text_col)
-    each = _lines(rows, least)
-    late = scratch.put(late_lines(each, edits, scratch), "late")
-    firsts = each.groupBy(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2")).agg(F.min(F.struct("_id", "no", "_h")).alias("first"))
-    stays = firsts.join(late, ["k", "k2"], "left_anti").select("first.*")
-    kept = stays.groupBy("_id", "_h").agg(F.collect_list("no").alias("stay"))
-    long = F.size(F.filter(F.split("_text", "\n", -1), lambda x: F.length(x) >= least))
-    count = rows.where("_text is not null").select("_id", "_h", long.alias("long")).where("long > 0")
-    losing = scratch.put(count.join(kept, ["_id", "_h"], "left").where("stay is null or size(stay) < long").select("_id", "_h", F.coalesce("stay", F.array().cast("array<int>")).alias("stay")).dropDuplicates(["_id", "_h"]), "losing")
+    """(_id, _h, numbers of lines to cut) of documents that lose lines, and the filter of their identifiers."""
+    each = _lines(keyed(docs, id_col, text_col), least)
+    losing = scratch.put(late_lines(each, edits, scratch).groupBy("_id", "_h").agg(F.collect_set("no").alias("gone")), "losing")
     return losing, losing.select(_place(F.xxhash64("_id", "_h"))).distinct()
 
 
@@ -200,7 +199,7 @@ def _cut(docs: DataFrame, least: int, edits: int, id_col: str, text_col: str) ->
     shape = lambda new: F.struct(*[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]).alias("row")
     whole = rows.join(F.broadcast(sieve), "f", "left_anti").select(shape(F.col("row").getField(text_col).cast("string")), n_lines, F.lit(0).cast("long").alias("n_removed"))
     cut = rows.join(F.broadcast(sieve), "f", "left_semi").join(losing, ["_id", "_h"], "left")
-    left = F.when(F.col("stay").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: (F.length(x) < least) | F.array_contains("stay", i)))
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
     cut = cut.withColumn("left", left)
     removed = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed")
     return whole.unionByName(cut.select(shape(F.when(F.col("lines").isNotNull(), F.array_join("left", "\n"))), n_lines, removed))
