@@ -4,19 +4,22 @@ Documents are sets of distinct word shingles. Equal sets collapse first (by a
 128-bit set hash), so copies cost one row each. Of the different sets, those
 that share a band meet in a bucket; every bucket links its members to its
 centre, the member that meets most others over all its bands. Those pairs are
-verified on the full sets, and components are taken. A second round takes the
-buckets whose members still lie in several components and compares members
-across components, dropping pairs whose signatures are too far apart for the
-threshold (4.5 standard deviations), again verified on full sets. So no link between different
-components that shares a band is left out, and a group of near copies costs a
-row per member and band instead of all its pairs.
+verified on the full sets, and components are taken by alternating large-star
+and small-star. A second round takes the buckets whose members still lie in
+several components, one of those with the same members, and compares all
+members of different components on their full sets. A large bucket is dealt out
+as pairs of blocks; one task holds two blocks and answers with a spanning
+forest of the links it found. So no row is made for a pair, no link between
+different components that shares a band is left out, and no task or row grows
+with a bucket.
 
 With 32 bands of 4 minima a pair exactly at similarity 0.75 is missed with
 probability 5e-6, less above it.
 
 Defined results: null, empty and blank texts have an empty set, are linked
 with nothing and are kept; a text with fewer words than a shingle is one
-shingle; rows that share an identifier are one document, and a link of any of
+shingle; a very long text is one set, of eight bytes a shingle, in one task at
+a time; rows that share an identifier are one document, and a link of any of
 them counts; null identifiers sort first. An empty table gives no rows. Extra
 columns are ignored.
 """
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
@@ -36,12 +39,14 @@ from .scratch import Scratch
 BANDS, ROWS = 32, 4
 #: Members verified against one copy of their bucket's centre.
 FAN = 128
-#: Two bits of every minimum: k0 and k1 hold the first ones, k2 and k3 the second ones.
-SKETCH = ("k0", "k1", "k2", "k3")
-#: Numbers that the broadcast filter of candidate documents holds, at most.
-FILTER = 1 << 20
-#: Standard deviations that a sketch may fall short of the threshold's expectation.
-SLACK = 4.5
+#: Members, and shingles, of a bucket that one block holds, on average.
+BLOCK, WIDE = 64, 1 << 20
+#: Places that one copy of a document's text is sent to, about.
+SENT = 256
+#: Numbers that a broadcast filter holds, at most.
+FILTER = 1 << 22
+#: Shingles that are compared at once inside a task.
+_COLUMNS = 1 << 12
 _GEN = np.random.Generator(np.random.PCG64(77))
 _MULT = _GEN.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _GEN.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -85,71 +90,105 @@ def _signer(size: int):
                 band = np.zeros((len(n), BANDS), np.uint64)
                 for r in range(ROWS):
                     band = tk.mix(band * np.uint64(31) + sig[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x1000003))
-                bits = np.stack([tk.mix(sig) & np.uint64(1), tk.mix(sig) >> np.uint64(1) & np.uint64(1)], 1).reshape(len(n), 4, 64)
-                sketch = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 many = np.where(n > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(band[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (s1, s2, *sketch.T)), lists],
-                    ["_id", "n", "s1", "s2", *SKETCH, "bands"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (s1, s2)), lists],
+                    ["_id", "n", "s1", "s2", "bands"],
                 )
 
     return run
 
 
 def _sender(size: int):
-    """Sets of the documents of candidate pairs, one row for each place where a pair is verified."""
+    """Sets of documents, one row for each place where they are compared."""
 
     def run(batches):
         for batch in batches:
             goals = batch.column(2)
             for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(1))):
                 h, ptr = shingle_sets(data, offs, size)
-                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                out: list[list] = [[], [], [], []]
+                ids, out, held = batch.column(0).slice(lo, hi - lo).to_pylist(), [], 0
                 for i in range(hi - lo):
                     blob = h[ptr[i] : ptr[i + 1]].tobytes()
                     for g in goals[lo + i].as_py():
-                        for c, v in zip(out, (g["low"], g["salt"], ids[i], blob), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["low", "salt", "id", "set"])
+                        out.append((g["place"], g["side"], g["label"], ids[i], blob))
+                        held += len(blob)
+                        if held > tk.CHUNK_BYTES:
+                            yield _sent(out)
+                            out, held = [], 0
+                if out:
+                    yield _sent(out)
 
     return run
 
 
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"place": pa.int64(), "side": pa.int32(), "label": pa.int64(), "id": pa.int64(), "set": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets of sorted distinct hashes, counted over slices of the shingles that two of them have."""
+    n = len(sets)
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    column = np.cumsum(new) - 1
+    many = np.bincount(column)[column] > 1 if len(every) else new
+    column, owner = column[many], owner[many]
+    out = np.zeros((n, n), np.int64)
+    if len(column):
+        column = np.cumsum(np.concatenate([[0], np.diff(column) != 0]))
+        for lo in range(0, int(column[-1]) + 1, _COLUMNS):
+            a, b = np.searchsorted(column, [lo, lo + _COLUMNS])
+            part = np.zeros((n, _COLUMNS), np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            out += (part @ part.T).astype(np.int64)
+    return out
+
+
 def _verifier(percent: int):
+    """A spanning forest of the links between different labels, of pairs with different sides or with side -1."""
+
     def run(table: pa.Table) -> pa.Table:
-        low = table.column("low")[0].as_py()
-        ids, sets = table.column("id").to_pylist(), table.column("set")
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in sets]
-        heads = [s for i, s in zip(ids, sets, strict=True) if i == low]
-        out = set()
-        for i, s in zip(ids, sets, strict=True):
-            if i == low:
-                continue
-            for head in heads:
-                if 100 * min(len(s), len(head)) < percent * max(len(s), len(head)) or not len(head):
-                    continue
-                place = np.minimum(np.searchsorted(head, s), len(head) - 1)
-                both = int((head[place] == s).sum())
-                if 100 * both >= percent * (len(s) + len(head) - both):
-                    out.add(i)
-        return pa.table({"a": pa.array(sorted(out), pa.int64()), "b": pa.array([low] * len(out), pa.int64())})
+        table = table.sort_by([("id", "ascending"), ("side", "ascending")])
+        ids, side, label = (table.column(c).to_numpy() for c in ("id", "side", "label"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        size = np.array([len(s) for s in sets])
+        both = overlaps(sets)
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+        linked &= (label[:, None] != label[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] < 0)) & (ids[:, None] < ids[None, :])
+        root = {int(x): int(x) for x in label}
+        a, b = [], []
+        for i, j in np.argwhere(linked):
+            x, y = int(label[i]), int(label[j])
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """The pairs (low, rep) whose full sets reach the threshold."""
-    hub = scratch.put(pairs.groupBy("low").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts")), "hub")
-    tagged = pairs.join(hub, "low").select(F.col("rep").alias("id"), "low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
-    heads = hub.select(F.col("low").alias("id"), "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    goals = scratch.put(tagged.union(heads).groupBy("id").agg(F.collect_list(F.struct("low", "salt")).alias("goals")), "goals")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int").alias("f")
-    near = rows.select("*", place("_id")).join(F.broadcast(goals.select(place("id")).distinct()), "f", "left_semi")
-    sets = near.hint("merge").join(goals, near["_id"] == goals["id"]).select("_id", "_text", "goals").mapInArrow(_sender(size), "low long, salt int, id long, set binary")
-    edges = scratch.put(sets.groupBy("low", "salt").applyInArrow(_verifier(percent), "a long, b long"), "links")
-    scratch.drop(hub)
+def _place(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int").alias("f")
+
+
+def _verified(rows: DataFrame, placed: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Links (a, b) found where documents are placed (id, place, side, label, slot) together."""
+    goals = scratch.put(placed.groupBy("id", "slot").agg(F.collect_list(F.struct("place", "side", "label")).alias("goals")).drop("slot"), "goals")
+    near = rows.select("*", _place("_id")).join(F.broadcast(goals.select(_place("id")).distinct()), "f", "left_semi")
+    sets = near.hint("merge").join(goals, near["_id"] == goals["id"]).select("_id", "_text", "goals").mapInArrow(_sender(size), "place long, side int, label long, id long, set binary")
+    edges = scratch.put(sets.groupBy("place").applyInArrow(_verifier(percent), "a long, b long"), "links")
     scratch.drop(goals)
     return edges
 
@@ -159,45 +198,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = keyed(docs, id_col, text_col)
-    feats = scratch.put(rows.mapInArrow(_signer(size), "_id long, n long, s1 long, s2 long, k0 long, k1 long, k2 long, k3 long, bands array<long>"), "signatures")
+    feats = scratch.put(rows.mapInArrow(_signer(size), "_id long, n long, s1 long, s2 long, bands array<long>"), "signatures")
     some = feats.where("n > 0")
     sets = scratch.put(some.groupBy("s1", "s2").agg(F.min("_id").alias("rep")), "sets")
-    reps = scratch.put(some.join(sets, ["s1", "s2"]).where("_id = rep").select("rep", *SKETCH, "bands"), "reps")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+    reps = some.join(sets, ["s1", "s2"]).where("_id = rep").select("rep", "n", "bands").dropDuplicates(["rep", "n", "bands"])
+    keys = scratch.put(reps, "reps").select("rep", "n", F.explode("bands").alias("key"))
+    crowded = scratch.put(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "crowded")
+    crowd = keys.withColumn("f", _place("key")).join(F.broadcast(crowded.select(_place("key")).distinct()), "f", "left_semi").drop("f")
+    crowd = scratch.put(crowd.join(crowded, "key"), "crowd")
     # a bucket's centre is its member that meets most others over all its bands: of a group of near copies, the original
-    count = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    crowd = scratch.put(keys.hint("merge").join(count, "key"), "crowd")
-    score = scratch.put(crowd.groupBy("rep").agg(F.sum("n").alias("score")), "scores")
-    ranked = crowd.hint("merge").join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", F.bitwise_not("rep"))).alias("low"))
-    low = scratch.put(ranked, "buckets")
-    pairs = scratch.put(crowd.hint("merge").join(low, "key").where("rep <> low").select("low", "rep").distinct(), "pairs")
-    links = _verified(rows, pairs, scratch, size, percent)
+    score = crowd.groupBy("rep").agg(F.sum("m").alias("score"))
+    low = crowd.join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", F.bitwise_not("rep"))).alias("low"))
+    pairs = scratch.put(crowd.join(low, "key").where("rep <> low").select("low", "rep").distinct(), "pairs")
+    hub = scratch.put(pairs.groupBy("low").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts")), "hub")
+    tagged = pairs.join(hub, "low").select(F.col("rep").alias("id"), "low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))
+    heads = hub.select(F.col("low").alias("id"), "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
+    slot = F.when(F.col("side") == 0, F.floor(F.col("salt") / SENT)).otherwise(0).cast("int").alias("slot")
+    links = _verified(rows, tagged.union(heads).select("id", F.xxhash64("low", "salt").alias("place"), "side", F.col("id").alias("label"), slot), scratch, size, percent)
     # an identifier whose rows have different texts stands for several sets: they are one document
-    same = feats.where("n > 0").join(sets, ["s1", "s2"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
+    same = some.join(sets, ["s1", "s2"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
     shared = some.groupBy("_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select(F.col("_id").alias("a"))
     same = same.join(shared, "a", "left_semi")
     links = scratch.put(links.union(same), "links")
-    first = scratch.put(connected_components(links, scratch), "first")
-
-    labelled = scratch.put(reps.join(first, reps["rep"] == first["node"], "left").select("rep", *SKETCH, F.coalesce("component", "rep").alias("label"), "bands"), "labels")
-    scratch.drop(reps)
-    inside = labelled.select("rep", *SKETCH, "label", F.explode("bands").alias("key"))
-    mixed = scratch.put(inside.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
-    rest = scratch.put(inside.join(mixed, "key"), "rest")
-    final = first
-    if not rest.isEmpty():
-        a, b = rest.alias("a"), rest.alias("b")
-        p = 0.25 + 0.75 * percent / 100  # two bits agree by chance in a quarter of the minima that differ
-        least = int(128 * p - SLACK * (128 * p * (1 - p)) ** 0.5)
-        differ = sum((F.bit_count(F.col(f"a.k{i}").bitwiseXOR(F.col(f"b.k{i}")).bitwiseOR(F.col(f"a.k{i + 2}").bitwiseXOR(F.col(f"b.k{i + 2}")))) for i in (0, 1)), F.lit(0))
-        more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (differ <= 128 - least))
-        more = more.select(F.least("a.rep", "b.rep").alias("low"), F.greatest("a.rep", "b.rep").alias("rep")).distinct()
-        tried = pairs.select(F.least("low", "rep").alias("low"), F.greatest("low", "rep").alias("rep"))
-        more = scratch.put(more.join(tried, ["low", "rep"], "left_anti"), "more")
-        if not more.isEmpty():
-            found = _verified(rows, more, scratch, size, percent)
-            if not found.isEmpty():
-                final = scratch.put(connected_components(links.union(found), scratch), "final")
+    final = first = scratch.put(connected_components(links, scratch), "first")
+
+    inside = scratch.put(crowd.join(first, crowd["rep"] == first["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "inside")
+    groups = inside.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64("rep", "n")).alias("b"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / WIDE)).cast("int").alias("blocks")
+    groups = scratch.put(groups.groupBy("m", "w", "a", "b").agg(F.min("key").alias("key")).select("key", blocks), "groups")
+    if not groups.isEmpty():
+        b, c = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c")
+        dealt = inside.join(groups, "key").select("key", "rep", "label", "blocks", b).select("*", c)
+        place = F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c")).alias("place")
+        side = F.when(F.col("b") == F.col("c"), -1).when(F.col("b") < F.col("c"), 0).otherwise(1).alias("side")
+        slot = F.pmod("c", F.ceil(F.col("blocks") * BANDS / SENT)).cast("int").alias("slot")
+        found = _verified(rows, dealt.select(F.col("rep").alias("id"), place, side, "label", slot), scratch, size, percent)
+        if not found.isEmpty():
+            final = scratch.put(connected_components(links.union(found), scratch), "final")
     by_set = scratch.put(sets.join(final, sets["rep"] == final["node"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "by_set")
     out = feats.select("_id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
