@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 4
 #: Members verified against one copy of their bucket's centre.
 FAN = 128
 #: Members, and shingles, of a bucket that one block holds, on average.
-BLOCK, WIDE = 64, 1 << 20
+BLOCK, WIDE = 384, 1 << 20
 #: Places that one copy of a document's text is sent to, about.
 SENT = 256
 #: Numbers that a broadcast filter holds, at most.
