@@ -22,6 +22,8 @@ from ..functions.xpath_syntax import fuse, parse
 from ..sources.tree import XML
 
 NODE = ["pre", "size", "parent", "sib_ord", "kind", "qname", "local_name", "ns_uri", "value", "xml_id"]
+#: Numbers that share a bucket: interval joins meet by (document, bucket), so a large document is no single key.
+BUCKET = 4096
 _REVERSE = {"ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
 
 
@@ -34,6 +36,8 @@ class _Bound:
     nodes: DataFrame
     prefixes: Mapping[str, str]
     params: Mapping[str, str]
+    #: The contexts are all documents.
+    whole: bool = False
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -44,14 +48,29 @@ def roots(nodes: DataFrame) -> DataFrame:
 def select(nodes: DataFrame, expr: str, prefixes: Mapping[str, str] | None = None, params: Mapping[str, str] | None = None, context: DataFrame | None = None) -> DataFrame:
     """(doc_id, ctx, position, hits, node columns) of a node-set expression, from each context node.
 
-    ``context`` has the columns of :func:`roots`; the default is the root element.
+    ``context`` has the columns of :func:`roots`; the default is the root
+    element, and the document (number 0) for absolute paths.
     """
     bound = _Bound(nodes.select("doc_id", *NODE), prefixes or {}, params or {})
-    found = _node_set(fuse(parse(expr)), roots(nodes) if context is None else context, bound)
+    tree = fuse(parse(expr))
+    if context is None and all(t[0] == "path" and t[1] == "/" for t in (tree[1] if tree[0] == "union" else [tree])):
+        context = nodes.where("kind = 'DOC'").select("doc_id", F.lit(0).cast("long").alias("ctx"), *NODE)
+        bound.whole = True
+    found = _node_set(tree, roots(nodes) if context is None else context, bound)
     own = W.partitionBy("doc_id", "ctx")
     return found.withColumn("position", F.row_number().over(own.orderBy("pre"))).withColumn("hits", F.count("*").over(own)).select("doc_id", "ctx", "position", "hits", *NODE)
 
 
+def _spread(rows: DataFrame, pre: str, size: str) -> DataFrame:
+    """A row for each bucket that an interval touches."""
+    first, last = F.floor(F.col(pre) / BUCKET), F.floor((F.col(pre) + F.greatest(F.col(size), F.lit(1)) - 1) / BUCKET)
+    return rows.withColumn("_bucket", F.explode(F.sequence(first, last)))
+
+
+def _bucketed(rows: DataFrame, pre: str) -> DataFrame:
+    return rows.withColumn("_bucket", F.floor(F.col(pre) / BUCKET))
+
+
 def _node_set(tree, ctx: DataFrame, b: _Bound) -> DataFrame:
     if tree[0] == "union":
         parts = [_node_set(t, ctx, b) for t in tree[1]]
@@ -65,12 +84,18 @@ def _node_set(tree, ctx: DataFrame, b: _Bound) -> DataFrame:
         words = text.split()
         hit = b.nodes.where((F.col("kind") == "ELT") & F.col("xml_id").isin(words)) if words else b.nodes.where(F.lit(False))
         return ctx.select("doc_id", "ctx").distinct().join(hit, "doc_id").select("doc_id", "ctx", *NODE)
+    if tree[0] == "call" and tree[1] == "id" and len(tree[2]) == 1 and tree[2][0][0] == "path":
+        if not _is_leaf(tree[2][0]):
+            raise NotLowered("identifiers from the string value of an element")
+        words = _node_set(tree[2][0], ctx, b).select("doc_id", "ctx", F.explode(F.split(F.trim("value"), r"\s+")).alias("xml_id")).where("xml_id <> ''")
+        hit = b.nodes.where("kind = 'ELT' and xml_id is not null")
+        return words.join(hit, ["doc_id", "xml_id"]).select("doc_id", "ctx", *NODE).dropDuplicates(["doc_id", "ctx", "pre"])
     if tree[0] != "path" or tree[1] not in (None, "/"):
         raise NotLowered(f"no plan for {tree[0]}")
     steps = list(tree[2])
     now, top = ctx, False
     if tree[1] == "/":
-        now = ctx.select("doc_id", "ctx").distinct().join(b.nodes.where("kind = 'DOC'"), "doc_id").select("doc_id", "ctx", *NODE)
+        now = ctx if b.whole else ctx.select("doc_id", "ctx").distinct().join(b.nodes.where("kind = 'DOC'"), "doc_id").select("doc_id", "ctx", *NODE)
         top = True
     for axis, test, preds in steps:
         now = _step(now, axis, test, preds, b, top)
@@ -78,6 +103,11 @@ def _node_set(tree, ctx: DataFrame, b: _Bound) -> DataFrame:
     return now.select("doc_id", "ctx", *NODE)
 
 
+def _is_leaf(path) -> bool:
+    """Whether a path ends at attributes or texts, whose value is a column."""
+    return bool(path[2]) and (path[2][-1][0] == "attribute" or path[2][-1][1] == ("kind", "text"))
+
+
 def _step(ctx: DataFrame, axis: str, test, preds, b: _Bound, top: bool) -> DataFrame:
     n = b.nodes
     old = ctx.select("doc_id", "ctx", *[F.col(c).alias(f"o_{c}") for c in ("pre", "size", "parent", "sib_ord", "kind")])
@@ -94,14 +124,17 @@ def _step(ctx: DataFrame, axis: str, test, preds, b: _Bound, top: bool) -> DataF
         out = old.join(n.withColumnRenamed("pre", "o_parent"), ["doc_id", "o_parent"]).withColumn("pre", F.col("o_parent"))
     elif axis in ("descendant", "descendant-or-self"):
         low = F.col("pre") >= F.col("o_pre") if axis.endswith("self") else F.col("pre") > F.col("o_pre")
-        if top:  # all nodes of the document: no interval is needed
+        if top and b.whole:  # all nodes of all documents
+            out = n.where(no_att if axis == "descendant-or-self" else no_att & (F.col("kind") != "DOC")).withColumn("ctx", F.lit(0).cast("long")).withColumn("o_pre", F.col("ctx"))
+            repeats = False
+        elif top:  # all nodes of the document: no interval is needed
             out = old.select("doc_id", "ctx", "o_pre").join(n, "doc_id").where(low & no_att)
             repeats = False
         else:
-            out = old.join(n, "doc_id").where(low & (F.col("pre") < F.col("o_pre") + F.col("o_size")) & (no_att | (F.col("pre") == F.col("o_pre"))))
+            out = _spread(old, "o_pre", "o_size").join(_bucketed(n, "pre"), ["doc_id", "_bucket"]).where(low & (F.col("pre") < F.col("o_pre") + F.col("o_size")) & (no_att | (F.col("pre") == F.col("o_pre"))))
     elif axis in ("ancestor", "ancestor-or-self"):
         high = F.col("pre") <= F.col("o_pre") if axis.endswith("self") else F.col("pre") < F.col("o_pre")
-        out = old.join(n, "doc_id").where(high & (F.col("o_pre") < F.col("pre") + F.col("size")) & (no_att | (F.col("pre") == F.col("o_pre"))))
+        out = _bucketed(old, "o_pre").join(_spread(n, "pre", "size"), ["doc_id", "_bucket"]).where(high & (F.col("o_pre") < F.col("pre") + F.col("size")) & (no_att | (F.col("pre") == F.col("o_pre"))))
     elif axis in ("following-sibling", "preceding-sibling"):
         side = F.col("sib_ord") > F.col("o_sib_ord") if axis[0] == "f" else F.col("sib_ord") < F.col("o_sib_ord")
         out = old.where("o_kind <> 'ATT'").join(n.withColumnRenamed("parent", "o_parent"), ["doc_id", "o_parent"]).withColumn("parent", F.col("o_parent")).where(side & no_att)
@@ -159,10 +192,22 @@ def _hits(rows: DataFrame, path, b: _Bound) -> DataFrame:
     """What a relative path reaches from each candidate; ``ctx`` is the candidate."""
     if path[0] == "path" and path[1] is not None:
         raise NotLowered("absolute path in a predicate")
+    if path[0] == "path" and path[2] and all(axis in ("child", "attribute") and not preds for axis, _, preds in path[2]):
+        return _upwards(path[2], b)
     start = rows.select("doc_id", F.col("pre").alias("ctx"), *NODE).dropDuplicates(["doc_id", "ctx"])
     return _node_set(path, start, b)
 
 
+def _upwards(steps, b: _Bound) -> DataFrame:
+    """(doc_id, ctx, value) of child and attribute steps, from their last nodes up: the candidates need not be known."""
+    own = lambda axis, test: b.nodes.where(_test(test, axis, b) & ((F.col("kind") == "ATT") if axis == "attribute" else (F.col("kind") != "ATT")))
+    out = own(*steps[-1][:2]).select("doc_id", F.col("parent").alias("ctx"), "value")
+    for axis, test, _ in reversed(steps[:-1]):
+        above = own(axis, test).select("doc_id", F.col("pre").alias("ctx"), F.col("parent").alias("_up"))
+        out = out.join(above, ["doc_id", "ctx"]).select("doc_id", F.col("_up").alias("ctx"), "value")
+    return out
+
+
 def _flag(rows: DataFrame, hits: DataFrame) -> tuple[DataFrame, Column]:
     name = f"_f{next(_count)}"
     have = hits.select("doc_id", F.col("ctx").alias("pre"), F.lit(True).alias(name)).dropDuplicates(["doc_id", "pre"])
@@ -239,7 +284,7 @@ def _value(rows: DataFrame, tree, b: _Bound) -> tuple[DataFrame, Column]:
 def string_values(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(doc_id, pre, text): descendant text of the element rows ``of(doc_id, pre, size)``, in document order."""
     texts = nodes.where("kind = 'TXT'").select("doc_id", F.col("pre").alias("t_pre"), F.col("value").alias("t"))
-    joined = of.select("doc_id", "pre", "size").join(texts, "doc_id").where((F.col("t_pre") > F.col("pre")) & (F.col("t_pre") < F.col("pre") + F.col("size")))
+    joined = _spread(of.select("doc_id", "pre", "size"), "pre", "size").join(_bucketed(texts, "t_pre"), ["doc_id", "_bucket"]).where((F.col("t_pre") > F.col("pre")) & (F.col("t_pre") < F.col("pre") + F.col("size")))
     got = joined.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_pre", "t"))), lambda x: x["t"]), "").alias("text"))
     return of.select("doc_id", "pre").join(got, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("text", F.lit("")).alias("text"))
 

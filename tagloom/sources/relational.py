@@ -35,3 +35,43 @@ def customer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("size", size).withColumn("parent", parent)
     # post order: all that starts before the end of the subtree, less the ancestors
     return rows.withColumn("post", F.col("pre") + F.col("size") - F.col("level"))
+
+
+#: Numbers that one element of a keyed tree takes: its own, its attributes' and its text's.
+STRIDE = 8
+
+
+def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer trees as node rows, the shape that XPath plans and rules work on.
+
+    An element with number ``pre`` in :func:`customer_trees` has ``STRIDE * pre``
+    here; attributes and the text of a line item (its flag) take the numbers
+    behind it, and number 0 is the document. Orders have ``status``,
+    ``priority`` and, as identifier, their key; line items have ``flag`` and
+    refer to their order by ``order``.
+    """
+    t = customer_trees(spark, sf_dir)
+    at = F.col("pre") * STRIDE
+
+    def node(kind: str, name: str, number, size, level, parent, value=None, own_id=None):
+        text = lambda c: (F.lit(None) if c is None else c).cast("string")
+        return F.struct(
+            number.cast("long").alias("pre"), size.cast("long").alias("size"), level.cast("int").alias("level"), parent.cast("long").alias("parent"), number.cast("long").alias("sib_ord"),
+            F.lit(kind).alias("kind"), F.lit(name).alias("qname"), F.lit(name).alias("local_name"), F.lit("").alias("ns_uri"), text(value).alias("value"), text(own_id).alias("xml_id"),
+        )
+
+    level, one = F.col("level"), F.lit(1)
+    leaf = lambda kind, name, k, value: F.when(value.isNotNull(), node(kind, name, at + k, one, level + 1, at, value))
+    order, key = level == 2, F.col("k_order").cast("string")
+    rows = [
+        F.when(level == 1, node("DOC", "", F.lit(0), (F.col("size") + 1) * STRIDE, F.lit(0), F.lit(None))),
+        F.when(level == 1, node("ELT", "customer", at, F.col("size") * STRIDE, level, F.lit(0))),
+        F.when(order, node("ELT", "order", at, F.col("size") * STRIDE, level, F.col("parent") * STRIDE, own_id=key)),
+        F.when(level == 3, node("ELT", "lineitem", at, F.lit(STRIDE), level, F.col("parent") * STRIDE)),
+        leaf("ATT", "status", 1, F.col("a_status")),
+        leaf("ATT", "priority", 2, F.col("a_priority")),
+        leaf("ATT", "flag", 3, F.col("a_flag")),
+        leaf("ATT", "order", 4, F.when(level == 3, key)),
+        leaf("TXT", "", 5, F.col("a_flag")),
+    ]
+    return t.select("doc_id", F.explode_outer(F.array_compact(F.array(*rows))).alias("x")).select("doc_id", "x.*")
