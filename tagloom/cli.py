@@ -9,6 +9,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .operators.batch import convert_documents
@@ -40,9 +41,11 @@ def run(spark: SparkSession, o: argparse.Namespace) -> int:
     extra = {"title": o.title} | ({"group": o.group or [], "tu": o.tu} if o.tu or o.group else {})
     out = convert_documents(docs, o.task, texts(o.rules) if o.rules else None, **extra).join(docs.select("doc_id", "uri"), "doc_id")
     # a name never equals the input's: the ending changes, or a mark is added
+    # equal names of different folders get numbers in the order of their locations
     stem = F.regexp_replace(F.element_at(F.split("uri", "/"), -1), r"\.[^.]*$", "")
-    name = F.concat(stem, F.lit(f".{ending}"))
-    name = F.when(name == F.element_at(F.split("uri", "/"), -1), F.concat(stem, F.lit(f"-1.{ending}"))).otherwise(name)
+    same = F.concat(stem, F.lit(f".{ending}")) == F.element_at(F.split("uri", "/"), -1)
+    nth = F.row_number().over(W.partitionBy(stem).orderBy("uri")) - F.when(same, 0).otherwise(1)
+    name = F.concat(stem, F.when(nth > 0, F.concat(F.lit("-"), nth)).otherwise(F.lit("")), F.lit(f".{ending}"))
     out.select("uri", name.alias("name"), "output", "error").write.mode("overwrite" if o.overwrite else "errorifexists").parquet(o.output)
     bad = spark.read.parquet(o.output).where("error is not null")
     for r in bad.limit(100).toLocalIterator():

@@ -30,6 +30,8 @@ def xml_escape(text: Column) -> Column:
 
 
 def literal_xpath(kind: Column, text: Column) -> Column:
-    """Value to XPath: booleans as calls, numbers as they are, strings quoted."""
-    quoted = F.when(~text.contains("'"), F.concat(F.lit("'"), text, F.lit("'"))).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    """Value to XPath: booleans as calls, numbers as they are, strings quoted; a text with both quotes is a concat()."""
+    one, two = F.lit("'"), F.lit('"')
+    both = F.concat(F.lit("concat("), F.array_join(F.transform(F.split(text, "'", -1), lambda x: F.concat(one, x, one)), ", \"'\", "), F.lit(")"))
+    quoted = F.when(~text.contains("'"), F.concat(one, text, one)).when(~text.contains('"'), F.concat(two, text, two)).otherwise(both)
     return F.when(kind == "BOOL", F.concat(text, F.lit("()"))).when(kind == "NUM", text).otherwise(quoted)

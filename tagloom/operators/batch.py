@@ -2,7 +2,9 @@
 
 Documents are independent, so each is handled whole inside one task, in Arrow
 batches; rule files are shared by all documents and are sent once, behind a
-check of their size. One bad document gives an error row, not a failed job.
+check of their size. One bad document never fails a job: conversions give it an
+error row, and :func:`diagnostics` has a row for everything that the other
+operators leave out or pass over.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def match_documents(documents: DataFrame, files: DataFrame | None = None, rules:
                     notes = Diagnostics()
                     boxes = containers(doc, kind, uri, sent.value, parse(rules, "xml") if rules else None, notes)
                     found = match_all(boxes, doc, kind == "html", notes)
-                except ValueError:
+                except _BAD:  # a row of diagnostics()
                     continue
                 for m in found:
                     ptr = [{"name": n, "kind": v.kind if isinstance(v, Node) else "LIT", "path": path(v) if isinstance(v, Node) else None, "value": text_of(v)} for n, v in m.pointers.items()]
@@ -82,7 +84,7 @@ def effective_documents(documents: DataFrame, files: DataFrame | None = None) ->
                 try:
                     doc = parse(content or "", kind)
                     found = match_all(containers(doc, kind, uri, sent.value), doc, kind == "html", Diagnostics())
-                except ValueError:
+                except _BAD:  # a row of diagnostics()
                     continue
                 values = merged(found)
                 for n in doc.walk():
@@ -94,6 +96,39 @@ def effective_documents(documents: DataFrame, files: DataFrame | None = None) ->
     return _documents(documents).mapInArrow(run, "doc_id long, path string, name string, value string")
 
 
+#: What a document may do to an operator without failing the job; too deep nesting is its own error.
+_BAD = (ValueError, StopIteration, RecursionError)
+_NOTES = "doc_id long, level string, code string, message string"
+
+
+def diagnostics(documents: DataFrame, files: DataFrame | None = None, rules: str | None = None) -> DataFrame:
+    """(doc_id, level, code, message) of what matching and merging meet in each document, in order.
+
+    Errors are documents that do not parse (``parse_error``). Warnings are
+    includes that are missing, cyclic or malformed, rules without selectors,
+    selectors and pointers that fail (``bad_selector``, ``bad_pointer``) or
+    select what a rule cannot apply to (``skipped_match``), pointers that reach
+    no node or several (``pointer_hits``) and unbound variables.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(load_files(files))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, kind, uri, content in _each(batch):
+                notes = Diagnostics()
+                try:
+                    doc = parse(content or "", kind)
+                    boxes = containers(doc, kind, uri, sent.value, parse(rules, "xml") if rules else None, notes)
+                    match_all(boxes, doc, kind == "html", notes)
+                except _BAD as e:
+                    notes.add("error", "parse_error", str(e) or type(e).__name__)
+                out.extend((doc_id, *r) for r in notes.rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))], names=["doc_id", "level", "code", "message"])
+
+    return _documents(documents).mapInArrow(run, _NOTES)
+
+
 CONVERTERS = {
     "xml2html": lambda text, uri, files, o: convert.xml_to_html(text, o.get("title", "Document"), uri, files),
     "xliff2html": lambda text, uri, files, o: convert.xliff_to_html(text, o.get("title", "Document"), o.get("labels", True), uri, files),
@@ -117,7 +152,7 @@ def convert_documents(documents: DataFrame, task: str, files: DataFrame | None =
                 try:
                     text, notes = CONVERTERS[task](content or "", uri, sent.value, options)
                     log = [m for _, _, m in notes.rows]
-                except (ValueError, StopIteration, RecursionError) as e:  # markup nested too deeply is that document's error
+                except _BAD as e:
                     error = str(e) or type(e).__name__
                 for c, v in zip((ids, texts, errors, logs), (doc_id, text, error, log), strict=True):
                     c.append(v)

@@ -260,7 +260,44 @@ def xml_to_xliff(spark, sf_dir):
     return out.select("doc_id", F.regexp_count("output", F.lit("<trans-unit")).cast("long").alias("units"))
 
 
-@query(None)
+_PARAS = """WITH d AS (SELECT doc_id, source, list_transform(string_split(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), chr(10)),
+  lambda x: replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS ls FROM documents),
+u AS (SELECT doc_id, list_filter(list_transform(range(1, len(ls) + 1), lambda i: {'i': i, 't': ls[i]}), lambda x: regexp_matches(x.t, '\\S')) AS us FROM d)
+"""
+_TOP = """<!DOCTYPE html>
+<html><head><meta charset="utf-8"><title>Document</title><script type="application/its+xml"><its:rules xmlns:h="http://www.w3.org/1999/xhtml" xmlns:its="http://www.w3.org/2005/11/its" version="2.0">
+<its:localeFilterRule selector="//@*" localeFilterList="*" localeFilterType="include"/>
+<its:dirRule selector="//@*" dir="ltr"/>
+<its:translateRule selector="//@*" translate="no"/>
+"""
+_HTML_RULES = """<its:withinTextRule selector="//h:span" withinText="no"/>
+<its:translateRule selector="id('ITS_3')" translate="no"/>
+<its:translateRule selector="id('ITS_1')" translate="no"/>
+<its:domainRule selector="id('ITS_2')" domainPointer="id('ITS_3')"/>
+</its:rules></script></head><body><div title="xml"><span title="head"></span>
+<div title="body" id="ITS_2"><span title="topic" class="_ITS_ATT" its-within-text="no" id="ITS_3">"""
+_XLIFF_TOP = """<?xml version="1.0" encoding="utf-8"?>
+<xliff xmlns="urn:oasis:names:tc:xliff:document:1.2" xmlns:its="http://www.w3.org/2005/11/its" xmlns:itsxlf="http://www.w3.org/ns/its-xliff/" its:version="2.0"><file datatype="plaintext" original="STRING" source-language="en"><body>"""
+
+
+def _quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(_PARAS + f"""SELECT doc_id, {_quoted(_XLIFF_TOP)} || array_to_string(list_transform(us, lambda x: '<trans-unit' || CASE x.i WHEN 1 THEN ' translate="no"' ELSE '' END
+  || '><source>' || x.t || '</source><target state="new">' || x.t || '</target></trans-unit>'), '') || '</body></file></xliff>' AS output FROM u WHERE len(us) > 0""")
+def xliff_texts(spark, sf_dir):
+    """The whole XLIFF text of every document that has a unit."""
+    from ..operators.batch import convert_documents
+
+    ship(spark)
+    return convert_documents(_as_xml(spark, sf_dir), "xml2xliff").where(F.col("output").contains("<trans-unit")).select("doc_id", "output")
+
+
+@query(_PARAS + f"""SELECT doc_id, {_quoted(_TOP + _HTML_RULES)} || source || '</span>' || chr(10)
+  || array_to_string(list_transform(range(1, len(ls) + 1), lambda i: '<div title="para"' || CASE i WHEN 1 THEN ' id="ITS_1"' ELSE '' END || '>' || ls[i] || '</div>'), chr(10))
+  || chr(10) || '</div>' || chr(10) || '</div></body></html>' AS output, CAST(NULL AS VARCHAR) AS error FROM d""")
 def xml_to_html(spark, sf_dir):
     from ..operators.batch import convert_documents
 
@@ -268,6 +305,22 @@ def xml_to_html(spark, sf_dir):
     return convert_documents(_as_xml(spark, sf_dir), "xml2html").select("doc_id", "output", "error")
 
 
+_LABELLED = """<its:dirRule selector="%ids" dir="ltr"/>
+<its:localeFilterRule selector="%ids" localeFilterList="*" localeFilterType="include"/>
+<its:translateRule selector="%ids" translate="no"/>
+<its:targetPointerRule selector="//*[@title='source']" targetPointer="../*[@title='target']"/>
+</its:rules></script><style>body {visibility:hidden} p {visibility: visible}</style></head><body><div title="xliff"><div title="file"><div title="body">"""
+
+
+@query(_PARAS + f"""SELECT doc_id, replace({_quoted(_TOP + _LABELLED)}, '%ids', array_to_string(list_transform(range(1, len(us) + 1), lambda k: 'id(''ITS_' || k || ''')'), '|'))
+  || array_to_string(list_transform(range(1, len(us) + 1), lambda k: '<div' || CASE us[k].i WHEN 1 THEN ' translate="no"' ELSE '' END || ' title="trans-unit"><p class="ITS_LABEL ITS_DUP_TARGET" id="ITS_' || k
+  || '">Target is duplicate of source with the same ITS metadata inside</p><p title="source">' || us[k].t || '</p><p title="target">' || us[k].t || '</p></div>'), '')
+  || '</div></div></div></body></html>' AS output FROM u WHERE len(us) > 0""")
+def labelled_pairs(spark, sf_dir):
+    """The whole HTML text, labels included, of every document that has a unit: to XLIFF and on to HTML."""
+    return xliff_to_html(spark, sf_dir).where(F.col("output").contains('title="trans-unit"')).select("doc_id", "output")
+
+
 @query(None)
 def xliff_to_html(spark, sf_dir):
     """Documents to XLIFF and on to HTML with labels."""
@@ -287,7 +340,8 @@ def reduce_html(spark, sf_dir):
     return convert_documents(pages, "reduceHtml").select("doc_id", "output", "error")
 
 
-@query(None)
+@query(_PARAS + """SELECT doc_id, '/xml/body' AS path, 'domain' AS name, source AS value FROM d
+  UNION ALL SELECT doc_id, '/xml/body/para' || CASE WHEN len(ls) > 1 THEN '[1]' ELSE '' END, 'translate', 'no' FROM d""")
 def effective_metadata(spark, sf_dir):
     from ..operators.batch import effective_documents
 
