@@ -11,7 +11,8 @@ is broadcast is bounded whatever the benchmark's size.
 
 Defined results: null or word-less texts have no words and no hits; null or
 word-less items never match; repeated items count once per identifier; items
-with a null identifier cause hits but are not listed; an empty table of either
+with a null identifier cause hits but are not listed; a very long text is
+probed whole, in one task at a time; an empty table of either
 side gives clean documents or no rows. Extra columns are ignored.
 """
 

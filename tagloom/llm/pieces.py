@@ -14,7 +14,8 @@ and leftmost first, so they are put together afterwards.
 
 Defined results: null and empty texts give the begin and end ids and decode to
 an empty text; the space mark itself in a text decodes to a space, as in the
-library; characters outside the vocabulary become byte pieces. Rows are
+library; a very long text is encoded word by word and may fill a task's
+memory with its ids; characters outside the vocabulary become byte pieces. Rows are
 independent, so repeated rows get equal results, an empty table gives no rows,
 and extra columns are ignored.
 """

@@ -1,10 +1,11 @@
 """PII pseudonyms that keep their format, in DataFrame operations only.
 
-Card numbers (Luhn), dates (calendar), IPv4 addresses (octets), phone and
-social security numbers are validated, then permuted within their own format by
-a keyed Feistel network: a card number stays one with a right check digit, a
+Card numbers (Luhn), dates (calendar) and IPv4 addresses (octets) are
+validated, phone and social security numbers are taken by their form; all are
+permuted within their own format by a keyed Feistel network: a card number stays one with a right check digit, a
 date stays a date in its notation, and separators stay where they are. Mail
-addresses and long hexadecimal secrets get keyed pseudonyms of their form. The
+addresses and long hexadecimal secrets get keyed hashes of their form (128 bits
+for mail, as many as the secret has for hexadecimal). The
 permutation depends on the key and the format only, so equal values stay linked
 across documents and different ones stay apart. What does not validate is left
 alone.
@@ -13,7 +14,8 @@ Everything is one projection: the text is split at the matches, every match is
 mapped, and both lists are put together again.
 
 Defined results: null texts stay null with no findings; empty texts stay empty;
-rows are independent, so repeated rows get equal results; an empty table gives
+a very long text is split and put together whole, in one
+task; rows are independent, so repeated rows get equal results; an empty table gives
 no rows. Extra columns are ignored. Dates outside 1900 to 2099 and numbers of
 other lengths are not validated and stay.
 """
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .rows import keyed, plain_id
 
+#: Stands in where the session names no key; it is public, so its pseudonyms can be reversed by anyone.
 KEY = "tagloom"
+#: The session setting that holds the secret key.
+KEY_SETTING = "spark.tagloom.pii.key"
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31.
 DAYS = 73_049
@@ -157,7 +162,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     low = F.lower(m)
     hexed = F.substring(F.sha2(F.concat(F.lit(key), low).cast("binary"), 256), F.lit(1), F.length(m))
     return (
-        F.when(kind == "mail", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), low).cast("binary"), 256), 1, 12), F.lit("@"), F.lit("mail.example")))
+        F.when(kind == "mail", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), low).cast("binary"), 256), 1, 32), F.lit("@"), F.lit("mail.example")))
         .when(kind == "hex", F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(hexed)).otherwise(hexed))
         .when(kind == "date", _date(m, key))
         .when(kind == "ssn", refill(m, feistel_digits(digits_of(m), key, "ssn")))
@@ -182,7 +187,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
 
 def contract(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, the number of validated values by kind, and the rewritten ``text``."""
-    out = pseudonymize(docs)
+    out = pseudonymize(docs, docs.sparkSession.conf.get(KEY_SETTING, KEY))
     of_kind = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k))
     counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", F.size("found").cast("long").alias("n_found"), *counts, "text")

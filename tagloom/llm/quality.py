@@ -12,7 +12,8 @@ document is scored on its whole text.
 Defined results: null, empty and blank texts have no n-grams and get the score
 of that; without labels of both classes every score is the share of label 1
 (0.5 with none at all); rows are independent, so repeated rows get equal
-results; an empty table gives no rows. Extra columns are ignored.
+results; a very long text is read whole in one task; an empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

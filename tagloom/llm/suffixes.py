@@ -10,10 +10,12 @@ that meet nobody are unique, equal runs are repeated as a whole, and only where
 different runs share a suffix are their windows hashed and counted one by one.
 
 Map tasks settle what repeats within their batch, so a passage in a third of
-all rows meets once per batch and different run.
+all rows meets once per batch and different run. Strings are told apart by
+64-bit hashes: two different ones among n are taken for equal with probability
+n squared / 2**65.
 
 Defined results: null texts are empty; texts shorter than a string lose
-nothing; rows equal in identifier and text are one document; rows that share
+nothing; a very long text is hashed whole, in one task at a time; rows equal in identifier and text are one document; rows that share
 an identifier only are told apart by text; null identifiers sort first; an
 empty table gives no rows. Extra columns are ignored. What is left may cut a
 character, so it is binary.

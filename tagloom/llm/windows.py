@@ -8,9 +8,12 @@ hashes then name every occurrence but the globally first one, and each
 document merges its windows into maximal removal intervals.
 
 Defined results: null texts have no words; texts shorter than a window lose
-nothing; rows equal in identifier and text get equal results, and rows that
+nothing; a very long text is hashed whole, in one task at a time; rows equal in
+identifier and text get equal results, and rows that
 share an identifier only are compared by text hash; null identifiers sort
-before all others. Extra columns are ignored.
+before all others; an empty table gives no rows. Extra columns are ignored.
+Windows are told apart by 64-bit hashes: two different ones among n are taken
+for equal with probability n squared / 2**65.
 """
 
 from __future__ import annotations
