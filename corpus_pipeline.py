@@ -9,6 +9,13 @@ documents. All stages but the last return the columns of ``documents``:
 * ``minhash`` keeps the smallest identifier of each group of near duplicates;
 * ``decontaminate`` drops documents that hold a window of a benchmark item;
 * ``pieces`` encodes what is left and decodes it again.
+
+Defined results: null texts pass all stages and are encoded as empty; empty
+texts pass too; rows equal in identifier and text stand or fall together, and
+of near copies one identifier stays, with all its rows; rows without an
+identifier are never near copies' losers; extra columns, whatever their names,
+are carried to the last stage, which returns the encoder's columns; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
