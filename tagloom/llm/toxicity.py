@@ -21,6 +21,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -34,8 +35,8 @@ from .rows import keyed, plain_id, without
 
 #: Labelled training rows used, at most.
 SAMPLE = 20_000
-#: Words that the labels may add to the lexicon, at most (the strongest first).
-LEARNED = 200
+#: Distinct toxic texts that a learned word has to stand in.
+FLOOR = 4
 #: Insults that need no labels.
 INSULTS = "bastard clown coward creep cretin degenerate disgusting dumbass filth garbage halfwit idiot imbecile jackass jerk loser lunatic maggot moron parasite pathetic pervert psycho scum scumbag sleazy stupid trash traitor useless vermin worthless".split()
 #: Words that report or quote, and words of address.
@@ -241,21 +242,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: np.n
     return w
 
 
-def learned_terms(rows: DataFrame, limit: int = LEARNED) -> list[str]:
-    """Words of toxic training rows that are rare elsewhere and stand in many contexts."""
+def learned_terms(rows: DataFrame, limit: int | None = None) -> list[str]:
+    """Words of toxic training rows that are rare elsewhere and stand in many contexts.
+
+    A word needs ``FLOOR`` distinct toxic texts, twenty times the odds of the
+    other rows, and either no other row at all or a log-likelihood ratio above
+    the logarithm of the vocabulary, so that about one word passes by chance.
+    All that pass are taken (their number is bounded by the training rows);
+    ``limit`` asks for the strongest only.
+    """
     words = rows.select("y", F.filter(F.split(F.lower("_text"), r"[^\p{L}]+"), lambda w: F.length(w).between(4, 24)).alias("w"))
     total = words.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n")).first()
     if not total.t:
         return []
     seen = words.select("y", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n"))
-    least = max(5, total.t // 50)
+    vocabulary = seen.count()
     odds = ((F.col("t") + 0.5) / (total.t + 1)) / ((F.col("n") + 0.5) / (total.n + 1))
+    share, both = total.t / (total.t + total.n), F.col("t") + F.col("n")
+    ratio = F.col("t") * F.log(F.col("t") / (both * share)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (both * (1 - share)))).otherwise(0)
     # contexts come from distinct texts, so that copies count once; next words grow like the square root of the texts, not in step with them
     texts = words.where("y = 1").select("w").distinct().withColumn("text", F.xxhash64("w"))
     pairs = texts.select("text", F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))).alias("p")).select("text", "p.*").toDF("text", "word", "next")
     varied = pairs.groupBy("word").agg(F.count_distinct("next").alias("c"), F.count_distinct("text").alias("d"))
-    varied = varied.where(F.col("c") >= F.greatest(F.lit(4), F.least(F.col("d") * 0.5, 2 * F.sqrt("d")))).select("word")
-    strong = seen.where((F.col("t") >= least) & (odds >= 20)).join(varied, "word").orderBy(F.desc(odds * F.col("t")), "word").limit(limit)
+    varied = varied.where((F.col("d") >= FLOOR) & (F.col("c") >= F.greatest(F.lit(4), F.least(F.col("d") * 0.5, 2 * F.sqrt("d"))))).select("word")
+    strong = seen.where((F.col("t") >= FLOOR) & (odds >= 20) & ((F.col("n") == 0) | (ratio >= math.log(vocabulary)))).join(varied, "word")
+    if limit is not None:
+        strong = strong.orderBy(F.desc(odds * F.col("t")), "word").limit(limit)
     return sorted(r.word for r in strong.select("word").collect())
 
 
