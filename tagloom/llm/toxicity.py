@@ -127,33 +127,39 @@ class Lexicon:
         return every[good[back]]
 
     def best(self, word: str) -> tuple[int, str] | None:
-        """The nearest term within its allowance (smallest distance, then first in order)."""
+        """The nearest term within its allowance (smallest distance, then first in order).
+
+        The automaton's states are bit sets: bit ``j`` of ``s0``, ``s1`` and ``s2``
+        says that ``j`` letters of the word stand against the letters so far with
+        at most no, one and two edits. ``t0`` and ``t1`` are the sets one letter
+        earlier, from which two swapped letters go on.
+        """
         if word in self.known:
             return 0, word
         found: list[tuple[int, str]] = []
-        n, far = len(word), 99
-        stack = [(self.root, "", 0, list(range(n + 1)), [])]
+        places: dict[str, int] = {}
+        for j, ch in enumerate(word):
+            places[ch] = places.get(ch, 0) | 1 << j
+        end = 1 << len(word)
+        every = 2 * end - 1
+        stack = [(self.root, 0, 1, 3 & every, 7 & every, 0, 0)]
         while stack:
-            node, ch, depth, row, above = stack.pop()
+            node, last, s0, s1, s2, t0, t1 = stack.pop()
             for nxt, child in node[0].items():
-                # no allowance reaches beyond this band around the diagonal
-                lo, hi = max(1, depth + 1 - child[2]), min(n, depth + 1 + child[2])
-                new = [far] * (n + 1)
-                new[0] = depth + 1
-                for j in range(lo, hi + 1):
-                    d = row[j - 1] + (nxt != word[j - 1])
-                    if row[j] < d:
-                        d = row[j] + 1
-                    if new[j - 1] < d:
-                        d = new[j - 1] + 1
-                    if j > 1 and nxt == word[j - 2] and ch == word[j - 1] and above[j - 2] < d:
-                        d = above[j - 2] + 1
-                    new[j] = d
-                if child[1] is not None and new[n] <= edits_allowed(len(child[1])):
-                    found.append((new[n], child[1]))
-                # a transposition reaches back one row, so both have to be past the allowance
-                if child[0] and min(min(new), min(row)) <= child[2]:
-                    stack.append((child, nxt, depth + 1, new, row))
+                here = places.get(nxt, 0)
+                swapped = here & last >> 1
+                # a matched letter, one of the term left out, one put for another, one of the word added, two swapped
+                u0 = (s0 & here) << 1
+                u1 = ((s1 & here) << 1 | s0 | s0 << 1 | u0 << 1 | (t0 & swapped) << 2) & every
+                u2 = ((s2 & here) << 1 | s1 | s1 << 1 | u1 << 1 | (t1 & swapped) << 2) & every
+                if not (u2 if child[2] == 2 else u1 if child[2] else u0):
+                    continue
+                if child[1] is not None and u2 & end:
+                    distance = 0 if u0 & end else 1 if u1 & end else 2
+                    if distance <= edits_allowed(len(child[1])):
+                        found.append((distance, child[1]))
+                if child[0]:
+                    stack.append((child, here, u0, u1, u2, s0, s1))
         return min(found) if found else None
 
 
