@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 from .folds import remainder, training_rows
 from .rows import keyed, plain_id, without
+from .scratch import Scratch
 
 #: Labelled training rows used, at most.
 SAMPLE = 20_000
@@ -280,7 +281,8 @@ def learned_terms(rows: DataFrame, limit: int | None = None) -> list[str]:
 def _scored(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """Per row: ``_id``, ``_h``, ``score`` and ``hits``."""
     spark = docs.sparkSession
-    train = training_rows(docs, labels, target, remainder(id_col, parts) != held, sample, id_col, text_col)
+    # read several times, so that only the first reading scans all documents
+    train = Scratch(spark).put(training_rows(docs, labels, target, remainder(id_col, parts) != held, sample, id_col, text_col), "train")
     terms = sorted({*INSULTS, *learned_terms(train)})
     got = train.select("_id", "_text", "y").mapInArrow(_train_features(spark.sparkContext.broadcast(terms)), "x array<double>, y int").toPandas()
     weights = PRIOR if got.empty else fit_logistic(np.array(got["x"].tolist()), (got["y"].to_numpy() > 0).astype(float), PRIOR, PRIOR_STRENGTH)
