@@ -16,6 +16,8 @@ from .operators.batch import convert_documents
 from .shipping import ship
 
 TASKS = {"xml2html": ("xml", "html"), "xliff2html": ("xml", "html"), "xml2xliff": ("xml", "xlf"), "reduceHtml": ("html", "html")}
+#: Names of groups and units where none are given.
+GROUPS, UNITS = ["sec"], ["para"]
 
 
 def options(argv: list[str]) -> argparse.Namespace:
@@ -28,8 +30,9 @@ def options(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-w", "--overwrite", action="store_true", help="replace an existing result")
     p.add_argument("--rules", help="rule files that documents may link to")
     p.add_argument("--title", default="Document")
-    p.add_argument("--group", action="append", help="elements that are groups (xml2xliff)")
-    p.add_argument("--tu", action="append", help="elements that are units (xml2xliff)")
+    p.add_argument("--group", action="append", help="elements that are groups (xml2xliff; without --tu: sec)")
+    p.add_argument("--tu", action="append", help="elements that are units (xml2xliff; without it: para)")
+    p.add_argument("--by-markup", action="store_true", help="units by the documents' own rules instead of by names (xml2xliff)")
     return p.parse_args(argv)
 
 
@@ -38,7 +41,9 @@ def run(spark: SparkSession, o: argparse.Namespace) -> int:
     kind, ending = TASKS[o.task]
     texts = lambda path: ship(spark).read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
     docs = texts(o.input).withColumns({"doc_id": F.xxhash64("uri"), "doc_type": F.lit(kind)})
-    extra = {"title": o.title} | ({"group": o.group or [], "tu": o.tu} if o.tu or o.group else {})
+    extra = {"title": o.title}
+    if not o.by_markup:
+        extra |= {"group": o.group or ([] if o.tu else GROUPS), "tu": o.tu or UNITS}
     out = convert_documents(docs, o.task, texts(o.rules) if o.rules else None, **extra).join(docs.select("doc_id", "uri"), "doc_id")
     # a name never equals the input's: the ending changes, or a mark is added
     # equal names of different folders get numbers in the order of their locations

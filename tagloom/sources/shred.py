@@ -112,3 +112,22 @@ def read_documents(spark, path: str, doc_type: str, glob: str | None = None) ->
         reader = reader.option("pathGlobFilter", glob)
     files = reader.text(path).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
     return files.select(F.xxhash64("uri").alias("doc_id"), "uri", F.lit(doc_type).alias("doc_type"), "content")
+
+
+#: By conversion, the endings of sample files and the words in a location below the folder that leave a file out.
+SAMPLES = {
+    "xml2html": ("xml", r"\.xml$", "rules|standoff|xliff"),
+    "xml2xliff": ("xml", r"\.xml$", "rules|standoff"),
+    "xliff2html": ("xml", r"\.xlf$", "rules"),
+    "reduceHtml": ("html", r"\.html?$", "standoff|xliff"),
+}
+
+
+def sample_documents(spark, path: str, task: str) -> DataFrame:
+    """The files of a sample tree that ``task`` converts: no rule, standoff or foreign files, told by their names."""
+    kind, ending, left_out = SAMPLES[task]
+    folder = path.partition("://")[2] if "://" in path else path
+    folder = f"/{folder.strip('/')}/"
+    start = F.locate(folder, F.col("uri"))
+    below = F.when(start > 0, F.substring(F.col("uri"), start + len(folder), F.length("uri"))).otherwise(F.col("uri"))
+    return read_documents(spark, path, kind).where(F.col("uri").rlike(ending) & ~F.lower(below).rlike(left_out))

@@ -143,6 +143,62 @@ class Node:
                 new.add(c.copy())
         return new
 
+    def rename(self, name: str) -> Node:
+        self.name = name
+        return self
+
+    def drop_attribute(self, local: str, ns: str = "") -> None:
+        self.attrs = [a for a in self.attrs if a.local != local or a.ns != ns]
+
+    def remove(self) -> Node:
+        """Take it out of its parent; it stays whole by itself."""
+        if self.parent is not None:
+            own = "attrs" if self.kind == ATT else "children"
+            setattr(self.parent, own, [c for c in getattr(self.parent, own) if c is not self])
+            self.parent = None
+        return self
+
+    def paste(self, other: Node, where: str = "last_child") -> Node:
+        """Move it to a place at ``other``: last_child, first_child, before or after."""
+        inside = where in ("last_child", "first_child")
+        if not inside and where not in ("before", "after"):
+            raise ValueError(f"no place {where}")
+        above = other if inside else other.parent
+        if above is None:
+            raise ValueError("a node without a parent has no place beside it")
+        at: Node | None = above
+        while at is not None:
+            if at is self:
+                raise ValueError("a node has no place at itself or below itself")
+            at = at.parent
+        self.remove()
+        if inside:
+            return above.add(self, 0 if where == "first_child" else None)
+        return above.add(self, next(i for i, c in enumerate(above.children) if c is other) + (where == "after"))
+
+    def set_namespace(self, uri: str, prefix: str = "") -> Node:
+        """Declare ``uri`` here for ``prefix`` (none: as the default) and put the element into it."""
+        if not uri:
+            raise ValueError("a namespace needs a URI")
+        self.decls[prefix] = self.ns = uri
+        self.name = f"{prefix}:{self.local}" if prefix else self.local
+        return self
+
+    def strip_namespace(self) -> Node:
+        """Put the element and its attributes into no namespace; children that use its declarations get them."""
+        for child in self.elements():
+            nodes = [n for n in child.walk() if n.kind == ELT]
+            used = {n.prefix for n in nodes} | {a.prefix for n in nodes for a in n.attrs if a.prefix}
+            child.decls = {p: u for p, u in self.decls.items() if p in used} | child.decls
+        above = self.parent.scope() if self.parent is not None else {}
+        self.name, self.ns = self.local, ""
+        # no namespace has to be said where an outer default holds
+        self.decls = {"": ""} if above.get("") else {}
+        attrs, self.attrs = self.attrs, []
+        for a in attrs:
+            self.set(a.local, a.value)
+        return self
+
     def number(self) -> Node:
         """Give document-order numbers: an element, its attributes, then its children."""
         count = 0
@@ -323,6 +379,17 @@ def to_xml(node: Node) -> str:
     return f"<{node.name}{decls}{atts}>{inner}</{node.name}>" if node.children else f"<{node.name}{decls}{atts}/>"
 
 
+def pretty_xml(node: Node, depth: int = 0) -> str:
+    """Markup with a line for each child of elements that hold no text; text and what stands beside it stay as they are."""
+    if node.kind == DOC:
+        return '<?xml version="1.0" encoding="utf-8"?>\n' + "".join(pretty_xml(c) + "\n" for c in node.children)
+    if node.kind != ELT or not node.children or any(c.kind == TXT for c in node.children):
+        return to_xml(node)
+    bare = node.copy(deep=False)
+    inner = "".join(f"\n{'  ' * (depth + 1)}{pretty_xml(c, depth + 1)}" for c in node.children)
+    return f"{to_xml(bare)[:-2]}>{inner}\n{'  ' * depth}</{node.name}>"
+
+
 def to_html(node: Node, raw: bool = False) -> str:
     """HTML5 markup of a subtree, with a doctype for a document."""
     if node.kind == DOC:

@@ -1,7 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tagloom.cli import options, run
-from tagloom.sources.shred import parse_errors, read_documents
+from tagloom.sources.shred import parse_errors, read_documents, sample_documents
 from tagloom.streaming.ingest import convert_stream, document_stream, shred_stream, token_counts
 
 
@@ -17,6 +19,29 @@ def test_cli(spark, tmp_path):
     assert docs.count() == 2 and parse_errors(docs).count() == 1
 
 
+def test_cli_segments_by_names_or_by_markup(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r><sec><para>one</para></sec><x>two</x></r>")
+    outs = {}
+    for more in ([], ["--by-markup"], ["--tu", "x"]):
+        to = str(tmp_path / f"out{len(outs)}")
+        assert run(spark, options(["--xml2xliff", "-i", str(tmp_path / "*.xml"), "-o", to, *more])) == 0
+        outs[" ".join(more)] = spark.read.parquet(to).first().output
+    sources = {k: re.findall("<source>(.*?)</source>", v) for k, v in outs.items()}
+    assert sources[""] == ["one"] and sources["--tu x"] == ["two"] and sorted(sources["--by-markup"]) == ["one", "two"]
+    assert outs[""].count("<group") == 1
+
+
+def test_sample_trees(spark, tmp_path):
+    folder = tmp_path / "house_rules"  # only names below the folder count
+    names = ["a.xml", "sub/b.xml", "myRules.xml", "sub/Standoff/c.xml", "xliff/d.xml", "e.xlf", "rules.xlf", "f.html", "g.htm", "standoff.html", "h.txt"]
+    for n in names:
+        (folder / n).parent.mkdir(parents=True, exist_ok=True)
+        (folder / n).write_text("<r/>")
+    got = lambda task: sorted(r.uri.rpartition("/")[2] for r in sample_documents(spark, str(folder), task).collect())
+    assert got("xml2html") == ["a.xml", "b.xml"] and got("xml2xliff") == ["a.xml", "b.xml", "d.xml"]
+    assert got("xliff2html") == ["e.xlf"] and got("reduceHtml") == ["f.html", "g.htm"]
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "xml", "<r>t<b/></r>"), (2, "xml", "<r")], "doc_id long, doc_type string, content string").write.parquet(str(tmp_path / "in"))
     for name, make in (("html", lambda d: convert_stream(d, "xml2html")), ("nodes", shred_stream)):

@@ -1,7 +1,7 @@
 import pytest
 
 from tagloom.sources.shred import node_rows
-from tagloom.sources.tree import ELT, ParseError, parse_html, parse_xml, to_html, to_xml
+from tagloom.sources.tree import ELT, ParseError, parse_html, parse_xml, pretty_xml, to_html, to_xml
 
 ZOO = '<z xmlns="d" xmlns:q="u:q"><one a="1">t<in/>u</one><!--note--><?do it?><q:two q:b="2" c="3"/><![CDATA[<raw>]]></z>'
 
@@ -58,3 +58,38 @@ def test_paths_of_rows_are_those_of_nodes():
 
 def test_wide_documents_take_linear_time():
     assert len(node_rows(parse_xml("<a>" + "<b/>" * 50_000 + "</a>"))) == 50_002
+
+
+def test_moving_nodes():
+    doc = parse_xml("<r><a/>t<b x='1'/></r>")
+    r = doc.children[0]
+    a, b = r.elements()
+    assert to_xml(doc) == '<r><a/>t<b x="1"/></r>'
+    for where, want in (("before", "ba"), ("after", "ab"), ("first_child", "a"), ("last_child", "a")):
+        b.paste(a, where)
+        assert "".join(n.name for n in r.elements()) == want and (b.parent is a) == (where.endswith("child"))
+    for bad in ((a, b, "after"), (a, a, "last_child"), (a, r, "beside")):
+        with pytest.raises(ValueError):
+            bad[0].paste(bad[1], bad[2])
+    b.rename("c").drop_attribute("x")
+    assert to_xml(doc) == "<r><a><c/></a>t</r>"
+    assert b.remove().parent is None and to_xml(doc) == "<r><a/>t</r>"
+
+
+def test_setting_and_stripping_namespaces():
+    doc = parse_xml('<p:a xmlns:p="u" xmlns="d" p:k="1"><p:b/><c/><e xmlns="f"/></p:a>')
+    a = doc.children[0].strip_namespace()
+    assert a.ns == "" and a.att("k") == "1" and not a.decls
+    assert to_xml(doc) == '<a k="1"><p:b xmlns:p="u"/><c xmlns="d"/><e xmlns="f"/></a>'
+    assert [n.ns for n in parse_xml(to_xml(doc)).children[0].elements()] == ["u", "d", "f"]
+    inner = parse_xml('<r xmlns="d"><x/></r>')
+    inner.children[0].children[0].strip_namespace()
+    assert parse_xml(to_xml(inner)).children[0].children[0].ns == ""
+    assert to_xml(a.elements()[1].set_namespace("w", "q")) == '<q:c xmlns="d" xmlns:q="w"/>'
+    with pytest.raises(ValueError):
+        a.set_namespace("")
+
+
+def test_pretty_markup_keeps_text():
+    doc = parse_xml('<r k="v"><a><b/><!--c--></a><d>t<e><f/></e></d></r>')
+    assert pretty_xml(doc) == '<?xml version="1.0" encoding="utf-8"?>\n<r k="v">\n  <a>\n    <b/>\n    <!--c-->\n  </a>\n  <d>t<e><f/></e></d>\n</r>\n'
