@@ -82,4 +82,68 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_embeddings": OP1, "op6_suffixes": OP6, "op7_minhash": OP7, "op8_lines": OP8, "op4_decontaminate": OP4, "op10_windows": OP10}
+
+def _crc32_step() -> str:
+    """One byte of CRC-32 over ``c`` (remainder so far) and ``b``, four bits at a time."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    nibble = lambda c: f"xor([{', '.join(map(str, table))}][1 + (({c}) & 15)], ({c}) >> 4)"
+    return nibble(nibble("xor(c, b)"))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+OP12 = f"""
+WITH RECURSIVE sums AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {_crc32_step()}), 4294967295) AS crc FROM documents),
+d AS (SELECT doc_id, source, {_LEAF.format("text")} AS leaf,
+  CASE WHEN crc % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS shown FROM sums),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+tree AS (SELECT 0 AS k, source, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT k + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY k, source, pos // 3, (n + 2) // 3),
+subroots AS MATERIALIZED (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS k, pos, n, subroot AS h FROM subroots
+  UNION ALL SELECT k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY k, pos // 3, (n + 2) // 3),
+fold AS (SELECT 0 AS part, 0 AS k, doc_id, source, leaf, pos, n, shown AS h, '' AS proof FROM leaves
+  UNION ALL SELECT * FROM (
+    SELECT f.part, f.k + 1, f.doc_id, f.source, f.leaf, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.h END, '' ORDER BY t.pos)),
+      f.proof || string_agg(CASE WHEN t.pos = f.pos THEN '' ELSE t.h END, '' ORDER BY t.pos)
+    FROM fold f JOIN tree t ON f.part = 0 AND f.n > 1 AND t.k = f.k AND t.source IS NOT DISTINCT FROM f.source AND t.pos // 3 = f.pos // 3
+    GROUP BY f.part, f.k, f.doc_id, f.source, f.leaf, f.pos, f.n, f.h, f.proof
+    UNION ALL SELECT 1, 0, f.doc_id, f.source, f.leaf, s.pos, s.n, f.h, f.proof FROM fold f JOIN subroots s ON f.part = 0 AND f.n = 1 AND s.source IS NOT DISTINCT FROM f.source
+    UNION ALL SELECT f.part, f.k + 1, f.doc_id, f.source, f.leaf, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.h END, '' ORDER BY t.pos)),
+      f.proof || string_agg(CASE WHEN t.pos = f.pos THEN '' ELSE t.h END, '' ORDER BY t.pos)
+    FROM fold f JOIN top t ON f.part = 1 AND f.n > 1 AND t.k = f.k AND t.pos // 3 = f.pos // 3
+    GROUP BY f.part, f.k, f.doc_id, f.source, f.leaf, f.pos, f.n, f.h, f.proof))
+SELECT f.doc_id, f.leaf, s.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM fold f JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source WHERE f.part = 1 AND f.n = 1
+"""
+
+
+def _op13(rounds: int = 6) -> str:
+    """Rounds of assigning and averaging, one after the other."""
+    near = "{0} AS MATERIALIZED (SELECT vec_id, label, p, x, arg_min(e, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) * 16 + e) AS e, min(list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS gap FROM parts JOIN {1} USING (p) GROUP BY vec_id, label, p, x)"
+    mean = """{0} AS MATERIALIZED (SELECT {1}.p, {1}.e, coalesce(m.c, {1}.c) AS c FROM {1} LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c
+  FROM (SELECT p, e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM {2}, unnest(range(1, len(x) + 1)) AS t(j) GROUP BY p, e, j) GROUP BY p, e) m USING (p, e))"""
+    steps = []
+    for k in range(rounds):
+        steps += [near.format(f"near{k}", f"book{k}"), mean.format(f"book{k + 1}", f"book{k}", f"near{k}")]
+    steps.append(near.format("last", f"book{rounds}"))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * w + 1:p * w + w] AS x FROM kept, unnest(range(8)) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),
+{", ".join(steps)},
+coded AS MATERIALIZED (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(gap) AS BIGINT) AS error FROM last GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
+OP13 = _op13()
+
+ORACLES: dict[str, str] = {"op1_embeddings": OP1, "op6_suffixes": OP6, "op7_minhash": OP7, "op8_lines": OP8, "op4_decontaminate": OP4, "op10_windows": OP10, "op12_merkle": OP12, "op13_codes": OP13}

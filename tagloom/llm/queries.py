@@ -75,6 +75,24 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(_table(spark, sf_dir, "documents"))
 
 
+def op11_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import contract
+
+    return contract(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import contract
+
+    return contract(_table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import contract
+
+    return contract(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_toxicity": op2_toxicity,
@@ -86,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_pii": op9_pii,
     "op10_windows": op10_windows,
+    "op11_ctw": op11_ctw,
+    "op12_merkle": op12_merkle,
+    "op13_codes": op13_codes,
 }
