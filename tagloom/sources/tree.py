@@ -1,17 +1,13 @@
 """A small in-memory document tree: what one task holds of one document.
 
-XML goes through expat, with prefixes kept; HTML through the tolerant standard
-parser plus a documented subset of HTML5 tree building: void elements, implied
-ends of ``p li dt dd option tr td th``, raw text in ``script`` and ``style``,
-and implied ``html head body``. Everything that spans documents is a DataFrame
-operation elsewhere.
+XML goes through expat, with prefixes kept; HTML through :mod:`html_tree`.
+Everything that spans documents is a DataFrame operation elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from html import escape
-from html.parser import HTMLParser
 from xml.parsers import expat
 
 #: Namespaces of the public standards.
@@ -24,12 +20,6 @@ XML = "http://www.w3.org/XML/1998/namespace"
 
 DOC, ELT, ATT, TXT, COM, PI, NS = "DOC", "ELT", "ATT", "TXT", "COM", "PI", "NS"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ENDED_BY = {
-    "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
-    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
-    "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
-}
-_HEAD = frozenset("base link meta noscript script style template title".split())
 
 
 class ParseError(ValueError):
@@ -263,90 +253,11 @@ def parse_xml(text: str) -> Node:
     return doc.number()
 
 
-class _Html(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.doc = Node(DOC, "#document")
-        self.at: list[Node] = [self.doc]
-        self.seen: dict[str, Node] = {}
-
-    def _open(self, tag: str, attrs=()) -> Node:
-        el = Node(ELT, tag, XHTML)
-        for k, v in attrs:
-            el.set(k, v if v is not None else "", XML if k.startswith("xml:") else "")
-        self.at[-1].add(el)
-        self.at.append(el)
-        return el
-
-    def _ensure(self, tag: str) -> None:
-        """Open the html, head or body that ``tag`` needs."""
-        if "html" not in self.seen and tag != "html":
-            self.seen["html"] = self._open("html")
-        if tag in ("html", "head", "body"):
-            return
-        if "body" not in self.seen:
-            if tag in _HEAD:
-                if "head" not in self.seen:
-                    self.seen["head"] = self._open("head")
-            else:
-                self._close("head")
-                self.seen["body"] = self._open("body")
-
-    def _close(self, tag: str) -> None:
-        if any(n.name == tag for n in self.at[1:]):
-            while self.at.pop().name != tag:
-                pass
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.seen and tag in ("html", "head", "body"):
-            for k, v in attrs:
-                if self.seen[tag].att(k) is None:
-                    self.seen[tag].set(k, v or "")
-            return
-        inside = {n.name for n in self.at}
-        if not inside & {"head", "body"} or ("head" in inside and tag not in _HEAD):
-            if tag == "body":
-                self._close("head")
-            self._ensure(tag)
-        while len(self.at) > 1 and tag in _ENDED_BY.get(self.at[-1].name, ()):
-            self.at.pop()
-        el = self._open(tag, attrs)
-        if tag in ("html", "head", "body"):
-            self.seen[tag] = el
-        if tag in VOID:
-            self.at.pop()
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._close(tag)
-
-    def handle_endtag(self, tag):
-        if tag not in VOID and tag not in ("body", "html"):
-            self._close(tag)
-
-    def handle_data(self, data):
-        inside = {n.name for n in self.at}
-        if not inside & {"body", "head"} or ("head" in inside and self.at[-1].name == "head"):
-            if not data.strip():
-                if len(self.at) > 1:
-                    self.at[-1].append_text(data)
-                return
-            self._ensure("#text")
-        self.at[-1].append_text(data)
-
-    def handle_comment(self, data):
-        self.at[-1].add(Node(COM, "#comment", "", data))
-
-
 def parse_html(text: str) -> Node:
     """The document node; never fails."""
-    parser = _Html()
-    parser.feed(text)
-    parser.close()
-    if "html" not in parser.seen:
-        parser._ensure("#text")
-    return parser.doc.number()
+    from .html_tree import parse_html as build
+
+    return build(text)
 
 
 def parse(text: str, kind: str) -> Node:
