@@ -1,4 +1,4 @@
-"""Rules over node rows: every selector and pointer is one plan over all documents.
+"""Rules over node rows: selectors of label paths share one scan, others and pointers are one plan each over all documents.
 
 The counterpart of :mod:`match` for rules that are the same for all documents:
 what depends on a rule only is a literal, what depends on nodes is a join.
@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.xpath_syntax import XPathError
 from ..sources.tree import parse_xml
+from .path_summary import match_by_path, patterns
 from .rules import Rule, xml_containers
 from .xpath_any import evaluate_nodes
-from .xpath_plan import NODE
+from .xpath_plan import NODE, NotLowered
 
 MATCH = ["doc_id", "rule_seq", "rule_type", "match_pos", "match_size", *NODE]
 
@@ -32,11 +34,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def match_nodes(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, rule_seq, rule_type, match_pos, match_size, node columns) of all rules; nodes that are no element or attribute keep their position and are left out."""
-    parts = []
+    parts, by_path = [], {}
     for i, r in enumerate(rules):
-        if r.selector is not None:
+        if r.selector is not None and {"labels", "attrs", "nth"} <= set(nodes.columns):
+            try:
+                by_path[i] = patterns(r.selector, r.prefixes)
+            except (NotLowered, XPathError):
+                pass
+        if r.selector is not None and (i not in by_path or any(t[3] for p in by_path[i] for t in p.tests)):
+            by_path.pop(i, None)
             hits = evaluate_nodes(nodes, r.selector, r.prefixes, r.params)
             parts.append(hits.select("doc_id", F.lit(i).cast("long").alias("rule_seq"), F.lit(r.kind).alias("rule_type"), F.col("position").cast("long").alias("match_pos"), F.col("hits").alias("match_size"), *NODE))
+    if by_path:
+        kinds = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), (F.col("rule_seq") + 1).cast("int"))
+        parts.append(match_by_path(nodes, by_path).select("doc_id", "rule_seq", kinds.alias("rule_type"), "match_pos", "match_size", *NODE))
     if not parts:
         raise ValueError("no rule has a selector")
     return _union(parts).where("kind in ('ELT', 'ATT')")

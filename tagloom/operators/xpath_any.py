@@ -1,4 +1,4 @@
-"""One entry for XPath over node rows: a plan where there is one, else the tree evaluator, document by document."""
+"""One entry for XPath over node rows: a plan where there is one, on nodes alone or on string values too, else the tree evaluator, document by document."""
 
 from __future__ import annotations
 
@@ -83,6 +83,11 @@ def evaluate_nodes(nodes: DataFrame, expr: str, prefixes: Mapping[str, str] | No
     try:
         return select(nodes, expr, prefixes, params, context)
     except NotLowered:
+        if "t_from" in nodes.columns:
+            try:
+                return select(nodes, expr, prefixes, params, context, texts=True)
+            except NotLowered:
+                pass
         found = by_tree(nodes, expr, prefixes, params, context).where("pre is not null").select("doc_id", "ctx", "position", "hits", "pre")
         return found.join(nodes.select("doc_id", *NODE), ["doc_id", "pre"]).select("doc_id", "ctx", "position", "hits", *NODE)
 

@@ -1,9 +1,11 @@
 """XPath compiled to structural joins over node rows.
 
-A context relation carries (doc_id, ctx, node columns); every step is a join on
-``doc_id`` and either ``parent = pre`` (child, attribute, parent, siblings) or
-the pre/size interval (descendant, ancestor). Positions are windows over the
-context node of their step. Predicates become boolean columns: a path inside a
+A context relation carries (doc_id, ctx, node columns); a step is an equi-join
+on ``doc_id`` and ``parent = pre`` (child, attribute, parent, siblings), a sweep
+over subtrees in document order (descendant, ancestor, see :mod:`staircase`), or
+a join by range of numbers (following, preceding). The next sibling and the one
+before come from ``lead`` and ``lag``. Positions are windows over the context
+node of their step. Predicates become boolean columns: a path inside a
 predicate runs with each candidate as its own context, and its hits are joined
 back. What is not lowered raises :class:`NotLowered`; the tree evaluator then
 takes over.
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 
 from ..functions.xpath_syntax import fuse, parse
 from ..sources.tree import XML
+from .staircase import RANGE, innermost, interval_join, subtree
 
 NODE = ["pre", "size", "parent", "sib_ord", "kind", "qname", "local_name", "ns_uri", "value", "xml_id"]
-#: Numbers that share a bucket: interval joins meet by (document, bucket), so a large document is no single key.
-BUCKET = 4096
+#: Numbers that are swept together: intervals meet by (document, range), so a large document is no single key.
+BUCKET = RANGE
 _REVERSE = {"ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
 
 
@@ -38,6 +41,9 @@ class _Bound:
     params: Mapping[str, str]
     #: The contexts are all documents.
     whole: bool = False
+    #: Whether string values of elements are planned too; ``full`` has the text offsets for them.
+    texts: bool = False
+    full: DataFrame | None = None
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -45,32 +51,29 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'ELT' and level = 1").select("doc_id", F.col("pre").alias("ctx"), *NODE)
 
 
-def select(nodes: DataFrame, expr: str, prefixes: Mapping[str, str] | None = None, params: Mapping[str, str] | None = None, context: DataFrame | None = None) -> DataFrame:
+def select(
+    nodes: DataFrame, expr: str, prefixes: Mapping[str, str] | None = None, params: Mapping[str, str] | None = None, context: DataFrame | None = None, positions: bool = True, texts: bool = False
+) -> DataFrame:
     """(doc_id, ctx, position, hits, node columns) of a node-set expression, from each context node.
 
     ``context`` has the columns of :func:`roots`; the default is the root
-    element, and the document (number 0) for absolute paths.
+    element, and the document (number 0) for absolute paths. Without
+    ``positions`` those two columns are left out, and their sort with them.
+    With ``texts``, predicates on the string values of elements are planned
+    as well (``nodes`` then needs ``t_from`` and ``t_to``).
     """
-    bound = _Bound(nodes.select("doc_id", *NODE), prefixes or {}, params or {})
+    bound = _Bound(nodes.select("doc_id", *NODE), prefixes or {}, params or {}, texts=texts, full=nodes)
     tree = fuse(parse(expr))
     if context is None and all(t[0] == "path" and t[1] == "/" for t in (tree[1] if tree[0] == "union" else [tree])):
         context = nodes.where("kind = 'DOC'").select("doc_id", F.lit(0).cast("long").alias("ctx"), *NODE)
         bound.whole = True
     found = _node_set(tree, roots(nodes) if context is None else context, bound)
+    if not positions:
+        return found.select("doc_id", "ctx", *NODE)
     own = W.partitionBy("doc_id", "ctx")
     return found.withColumn("position", F.row_number().over(own.orderBy("pre"))).withColumn("hits", F.count("*").over(own)).select("doc_id", "ctx", "position", "hits", *NODE)
 
 
-def _spread(rows: DataFrame, pre: str, size: str) -> DataFrame:
-    """A row for each bucket that an interval touches."""
-    first, last = F.floor(F.col(pre) / BUCKET), F.floor((F.col(pre) + F.greatest(F.col(size), F.lit(1)) - 1) / BUCKET)
-    return rows.withColumn("_bucket", F.explode(F.sequence(first, last)))
-
-
-def _bucketed(rows: DataFrame, pre: str) -> DataFrame:
-    return rows.withColumn("_bucket", F.floor(F.col(pre) / BUCKET))
-
-
 def _node_set(tree, ctx: DataFrame, b: _Bound) -> DataFrame:
     if tree[0] == "union":
         parts = [_node_set(t, ctx, b) for t in tree[1]]
@@ -131,16 +134,28 @@ def _step(ctx: DataFrame, axis: str, test, preds, b: _Bound, top: bool) -> DataF
             out = old.select("doc_id", "ctx", "o_pre").join(n, "doc_id").where(low & no_att)
             repeats = False
         else:
-            out = _spread(old, "o_pre", "o_size").join(_bucketed(n, "pre"), ["doc_id", "_bucket"]).where(low & (F.col("pre") < F.col("o_pre") + F.col("o_size")) & (no_att | (F.col("pre") == F.col("o_pre"))))
+            found = interval_join(subtree(old.select("doc_id", "ctx", "o_pre", "o_size"), "o_pre", "o_size"), n.where(no_att).withColumn("_at", F.col("pre")))
+            out = found.select("doc_id", "ctx", "o_pre", *NODE)
+            if axis.endswith("self"):
+                out = out.unionByName(ctx.select("doc_id", "ctx", F.col("pre").alias("o_pre"), *NODE))
     elif axis in ("ancestor", "ancestor-or-self"):
-        high = F.col("pre") <= F.col("o_pre") if axis.endswith("self") else F.col("pre") < F.col("o_pre")
-        out = _bucketed(old, "o_pre").join(_spread(n, "pre", "size"), ["doc_id", "_bucket"]).where(high & (F.col("o_pre") < F.col("pre") + F.col("size")) & (no_att | (F.col("pre") == F.col("o_pre"))))
+        tops = subtree(n.where("kind in ('ELT', 'DOC') and size > 1"))
+        out = interval_join(tops, old.select("doc_id", "ctx", "o_pre", F.col("o_pre").alias("_at"))).select("doc_id", "ctx", "o_pre", *NODE)
+        if axis.endswith("self"):
+            out = out.unionByName(ctx.select("doc_id", "ctx", F.col("pre").alias("o_pre"), *NODE))
+    elif axis in ("following-sibling", "preceding-sibling") and preds and preds[0] == ("num", 1.0):
+        out, preds = _beside(old, n, axis, test, b), preds[1:]
     elif axis in ("following-sibling", "preceding-sibling"):
         side = F.col("sib_ord") > F.col("o_sib_ord") if axis[0] == "f" else F.col("sib_ord") < F.col("o_sib_ord")
         out = old.where("o_kind <> 'ATT'").join(n.withColumnRenamed("parent", "o_parent"), ["doc_id", "o_parent"]).withColumn("parent", F.col("o_parent")).where(side & no_att)
     elif axis in ("following", "preceding"):
         side = F.col("pre") >= F.col("o_pre") + F.col("o_size") if axis[0] == "f" else F.col("pre") + F.col("size") <= F.col("o_pre")
-        out = old.join(n, "doc_id").where(side & no_att)
+        # a context goes to the ranges that hold its answer, from its own on
+        last = n.where("kind = 'DOC'").select("doc_id", F.floor((F.col("pre") + F.col("size")) / RANGE).alias("_last"))
+        own = F.floor((F.col("o_pre") + F.col("o_size")) / RANGE) if axis[0] == "f" else F.floor(F.col("o_pre") / RANGE)
+        to = F.sequence(own, F.greatest(own, F.col("_last"))) if axis[0] == "f" else F.sequence(F.lit(0).cast("long"), own)
+        spread = old.join(last, "doc_id").withColumn("_range", F.explode(to)).drop("_last")
+        out = spread.join(n.where(no_att).withColumn("_range", F.floor(F.col("pre") / RANGE)), ["doc_id", "_range"]).where(side)
     else:
         raise NotLowered(f"no plan for axis {axis}")
     out = out.where(_test(test, axis, b)).select("doc_id", "ctx", "o_pre", *NODE)
@@ -150,6 +165,16 @@ def _step(ctx: DataFrame, axis: str, test, preds, b: _Bound, top: bool) -> DataF
     return out.dropDuplicates(["doc_id", "ctx", "pre"]) if repeats or axis == "self" else out
 
 
+def _beside(old: DataFrame, n: DataFrame, axis: str, test, b: _Bound) -> DataFrame:
+    """The nearest sibling that passes the test: the last (or next) one seen in the order of the siblings, without pairs."""
+    own = W.partitionBy("doc_id", "parent").orderBy("sib_ord")
+    near = F.when((F.col("kind") != "ATT") & _test(test, axis, b), F.struct(*NODE))
+    frame = own.rowsBetween(1, W.unboundedFollowing) if axis[0] == "f" else own.rowsBetween(W.unboundedPreceding, -1)
+    pick = (F.first if axis[0] == "f" else F.last)(near, ignorenulls=True).over(frame)
+    siblings = n.where("kind <> 'ATT'").withColumn("_near", pick).where("_near is not null").select("doc_id", F.col("pre").alias("o_pre"), "_near.*")
+    return old.where("o_kind <> 'ATT'").select("doc_id", "ctx", "o_pre").join(siblings, ["doc_id", "o_pre"])
+
+
 def _test(test, axis: str, b: _Bound) -> Column:
     if test[0] == "pi":
         return (F.col("kind") == "PI") & (F.col("qname") == test[1])
@@ -199,12 +224,13 @@ def _hits(rows: DataFrame, path, b: _Bound) -> DataFrame:
 
 
 def _upwards(steps, b: _Bound) -> DataFrame:
-    """(doc_id, ctx, value) of child and attribute steps, from their last nodes up: the candidates need not be known."""
+    """(doc_id, ctx, pre, size, kind, value) of child and attribute steps, from their last nodes up: the candidates need not be known."""
     own = lambda axis, test: b.nodes.where(_test(test, axis, b) & ((F.col("kind") == "ATT") if axis == "attribute" else (F.col("kind") != "ATT")))
-    out = own(*steps[-1][:2]).select("doc_id", F.col("parent").alias("ctx"), "value")
+    last = ["pre", "size", "kind", "value"]
+    out = own(*steps[-1][:2]).select("doc_id", F.col("parent").alias("ctx"), *last)
     for axis, test, _ in reversed(steps[:-1]):
         above = own(axis, test).select("doc_id", F.col("pre").alias("ctx"), F.col("parent").alias("_up"))
-        out = out.join(above, ["doc_id", "ctx"]).select("doc_id", F.col("_up").alias("ctx"), "value")
+        out = out.join(above, ["doc_id", "ctx"]).select("doc_id", F.col("_up").alias("ctx"), *last)
     return out
 
 
@@ -233,8 +259,13 @@ def _boolean(rows: DataFrame, tree, b: _Bound) -> tuple[DataFrame, Column]:
         if right[0] == "path":
             left, right, symbol = right, left, flip.get(symbol, symbol)
         if left[0] == "path":
+            if right[0] == "path" and b.texts and symbol in ("=", "!="):
+                return _flag(rows, _equal_paths(rows, left, right, symbol, b))
             if right[0] not in ("str", "num", "var"):
                 raise NotLowered("comparison of two paths")
+            if b.texts and not _is_leaf(left):
+                value = b.params.get(right[1], "") if right[0] == "var" else right[1]
+                return _flag(rows, _texts_like(_hits(rows, left, b), symbol, value, b))
             hits = _hits(rows, left, b)
             if left[2] and left[2][-1][0] != "attribute" and left[2][-1][1] != ("kind", "text"):
                 raise NotLowered("string value of an element in a predicate")
@@ -247,6 +278,13 @@ def _boolean(rows: DataFrame, tree, b: _Bound) -> tuple[DataFrame, Column]:
         return rows, _symbol(symbol, x, y)
     if tree[0] == "call" and tree[1] in ("contains", "starts-with"):
         a, c = tree[2]
+        if a[0] == "path" and c[0] in ("str", "var") and b.texts and not _is_leaf(a):
+            part = b.params.get(c[1], "") if c[0] == "var" else c[1]
+            # the first node of the path counts, and none is an empty text
+            long_enough = F.col("t_to") - F.col("t_from") >= len(part)
+            texts = _texts(_firsts(_hits(rows, a, b)), b, long_enough)
+            found = texts.where(F.col("text").contains(part) if tree[1] == "contains" else F.col("text").startswith(part))
+            return (rows, F.lit(True)) if not part else _flag(rows, found)
         if a[0] == "path" and c[0] == "str":
             hits = _hits(rows, a, b)
             if a[2][-1][0] != "attribute":
@@ -272,6 +310,10 @@ def _value(rows: DataFrame, tree, b: _Bound) -> tuple[DataFrame, Column]:
             return rows, F.col("_last")
         if tree[1] in ("name", "local-name", "namespace-uri") and not tree[2]:
             return rows, F.col({"name": "qname", "local-name": "local_name", "namespace-uri": "ns_uri"}[tree[1]])
+    if b.texts and tree[0] == "call" and tree[1] in ("string", "concat", "string-length", "normalize-space"):
+        return _text_call(rows, tree, b)
+    if b.texts and tree[0] == "path":
+        return _joined_text(rows, tree, b)
     if tree[0] == "op" and tree[1] in ("+", "-", "*", "div", "mod"):
         rows, x = _value(rows, tree[2], b)
         rows, y = _value(rows, tree[3], b)
@@ -281,17 +323,80 @@ def _value(rows: DataFrame, tree, b: _Bound) -> tuple[DataFrame, Column]:
     raise NotLowered(f"no plan for the value of {tree[0]}")
 
 
+def _firsts(hits: DataFrame) -> DataFrame:
+    """Of what a path reaches from each context, the first node in document order."""
+    return hits.groupBy("doc_id", "ctx").agg(F.min_by(F.struct("pre", "size", "kind", "value"), "pre").alias("x")).select("doc_id", "ctx", "x.*")
+
+
+def _texts(hits: DataFrame, b: _Bound, could: Column | None = None) -> DataFrame:
+    """(doc_id, ctx, pre, text): string values of nodes; ``could`` is a condition on text offsets that spares the others their texts."""
+    leaf = F.col("kind").isin("ATT", "TXT", "COM", "PI")
+    own = hits.select("doc_id", "ctx", "pre", "size", "kind", "value")
+    leaves = own.where(leaf).select("doc_id", "ctx", "pre", F.coalesce("value", F.lit("")).alias("text"))
+    inner = own.where(~leaf)
+    if could is not None:
+        offsets = b.full.where("kind in ('ELT', 'DOC')").where(could).select("doc_id", "pre")
+        inner = inner.join(offsets, ["doc_id", "pre"], "left_semi")
+    texts = string_values(b.nodes, inner.select("doc_id", "pre", "size").distinct())
+    return leaves.unionByName(inner.select("doc_id", "ctx", "pre").join(texts, ["doc_id", "pre"]).select("doc_id", "ctx", "pre", "text"))
+
+
+def _texts_like(hits: DataFrame, symbol: str, value, b: _Bound) -> DataFrame:
+    """Contexts with a node whose string value compares to a literal; for equality only nodes of its length get their texts."""
+    if symbol in ("=", "!=") and isinstance(value, str):
+        could = F.col("t_to") - F.col("t_from") == len(value) if symbol == "=" else None
+        return _texts(hits, b, could).where(_symbol(symbol, F.col("text"), F.lit(value)))
+    number = F.trim("text").try_cast("double")
+    return _texts(hits, b).where(_symbol(symbol, number, F.lit(float(value))))
+
+
+def _equal_paths(rows: DataFrame, left, right, symbol: str, b: _Bound) -> DataFrame:
+    """Contexts from which two paths reach equal (or different) string values."""
+    x, y = (_texts(_hits(rows, p, b), b).select("doc_id", "ctx", "text") for p in (left, right))
+    if symbol == "=":
+        return x.distinct().join(y.distinct(), ["doc_id", "ctx", "text"])
+    both = lambda t, n: t.groupBy("doc_id", "ctx").agg(F.min("text").alias(f"{n}_min"), F.max("text").alias(f"{n}_max"))
+    return both(x, "x").join(both(y, "y"), ["doc_id", "ctx"]).where("not (x_min = x_max and y_min = y_max and x_min = y_min)")
+
+
+def _joined_text(rows: DataFrame, path, b: _Bound) -> tuple[DataFrame, Column]:
+    """The string value of the first node that a path reaches from each row, empty where there is none."""
+    name = f"_t{next(_count)}"
+    texts = _texts(_firsts(_hits(rows, path, b)), b).select("doc_id", F.col("ctx").alias("pre"), F.col("text").alias(name))
+    return rows.join(texts, ["doc_id", "pre"], "left"), F.coalesce(F.col(name), F.lit(""))
+
+
+def _text_call(rows: DataFrame, tree, b: _Bound) -> tuple[DataFrame, Column]:
+    args = tree[2] or [("path", None, [("self", ("kind", "node"), [])])]
+    values = []
+    for arg in args:
+        rows, value = _value(rows, arg, b)
+        if arg[0] == "num":
+            raise NotLowered("the text of a number")
+        values.append(value)
+    if tree[1] == "string-length":
+        return rows, F.length(values[0]).cast("double")
+    if tree[1] == "normalize-space":
+        return rows, F.trim(F.regexp_replace(values[0], "[ \\t\\r\\n]+", " "))
+    return rows, values[0] if tree[1] == "string" else F.concat(*values)
+
+
 def string_values(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(doc_id, pre, text): descendant text of the element rows ``of(doc_id, pre, size)``, in document order."""
-    texts = nodes.where("kind = 'TXT'").select("doc_id", F.col("pre").alias("t_pre"), F.col("value").alias("t"))
-    joined = _spread(of.select("doc_id", "pre", "size"), "pre", "size").join(_bucketed(texts, "t_pre"), ["doc_id", "_bucket"]).where((F.col("t_pre") > F.col("pre")) & (F.col("t_pre") < F.col("pre") + F.col("size")))
+    texts = nodes.where("kind = 'TXT'").select("doc_id", F.col("pre").alias("_at"), F.col("pre").alias("t_pre"), F.col("value").alias("t"))
+    joined = interval_join(subtree(of.select("doc_id", "pre", "size")).drop("size"), texts)
     got = joined.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_pre", "t"))), lambda x: x["t"]), "").alias("text"))
     return of.select("doc_id", "pre").join(got, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def declarations(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, prefix, uri) of the namespace declarations that node rows carry."""
+    return nodes.where("decls is not null").select("doc_id", "pre", F.explode("decls").alias("prefix", "uri"))
+
+
 def in_scope(nodes: DataFrame, scope: DataFrame) -> DataFrame:
     """(doc_id, pre, prefix, uri): namespaces in scope of each element, from declarations (doc_id, pre, prefix, uri)."""
-    own = nodes.where("kind = 'ELT'").select("doc_id", "pre")
-    decl = scope.select("doc_id", F.col("pre").alias("d_pre"), "prefix", "uri").join(nodes.select("doc_id", F.col("pre").alias("d_pre"), "size", "level"), ["doc_id", "d_pre"])
-    near = own.join(decl, "doc_id").where((F.col("pre") >= F.col("d_pre")) & (F.col("pre") < F.col("d_pre") + F.col("size")))
-    return near.groupBy("doc_id", "pre", "prefix").agg(F.max_by("uri", "level").alias("uri")).where("uri <> ''")
+    marks = scope.select("doc_id", "pre", F.col("prefix").alias("key"), F.col("uri").alias("value")).join(nodes.select("doc_id", "pre", "size"), ["doc_id", "pre"])
+    own = nodes.where("kind = 'ELT'").select("doc_id", "pre", F.col("pre").alias("_at"))
+    found = innermost(subtree(marks, inside=False).drop("pre", "size"), own)
+    return found.where("value <> ''").select("doc_id", "pre", F.col("key").alias("prefix"), F.col("value").alias("uri"))

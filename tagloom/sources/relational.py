@@ -6,10 +6,12 @@ keeps its ancestors' keys, so a descendant step is an equi-join on a key prefix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shred import OF, STEP, UNNAMED
+
 
 def customer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pre, post, size, level, parent, local_name, k_order, k_line, a_*): customer, order and lineitem elements.
@@ -50,28 +52,41 @@ def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``priority`` and, as identifier, their key; line items have ``flag`` and
     refer to their order by ``order``.
     """
+    doc, order_of = W.partitionBy("doc_id"), W.partitionBy("doc_id", "k_order")
+    chars = F.coalesce(F.length("a_flag"), F.lit(0))
     t = customer_trees(spark, sf_dir)
+    t = t.withColumn("t_from", F.coalesce(F.sum(chars).over(doc.orderBy("pre").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("t_to", F.col("t_from") + F.when(F.col("level") == 1, F.sum(chars).over(doc)).when(F.col("level") == 2, F.sum(chars).over(order_of)).otherwise(chars))
+    siblings = W.partitionBy("doc_id", "level", F.when(F.col("level") == 3, F.col("k_order")))
+    t = t.withColumn("nth", F.row_number().over(siblings.orderBy("pre")))
     at = F.col("pre") * STRIDE
+    above = {"": "", "customer": "customer", "order": "customer order", "lineitem": "customer order lineitem"}
 
-    def node(kind: str, name: str, number, size, level, parent, value=None, own_id=None):
+    def node(kind: str, name: str, number, size, level, parent, value=None, own_id=None, attrs=None, own="") -> Column:
         text = lambda c: (F.lit(None) if c is None else c).cast("string")
+        names = [*above[own or name if kind == "ELT" else own].split(), *([] if kind in ("ELT", "DOC") else [f"@{name}" if kind == "ATT" else UNNAMED[kind]])]
+        labels = "".join(STEP + n + ("" if n.startswith("#") else OF) for n in names)
+        inner = kind != "ATT"
         return F.struct(
             number.cast("long").alias("pre"), size.cast("long").alias("size"), level.cast("int").alias("level"), parent.cast("long").alias("parent"), number.cast("long").alias("sib_ord"),
             F.lit(kind).alias("kind"), F.lit(name).alias("qname"), F.lit(name).alias("local_name"), F.lit("").alias("ns_uri"), text(value).alias("value"), text(own_id).alias("xml_id"),
+            (F.col("nth") if kind == "ELT" else F.lit(1)).cast("int").alias("nth"), F.lit(labels).alias("labels"), (F.lit(None) if attrs is None else F.map_filter(attrs, lambda k, v: v.isNotNull())).cast("map<string,string>").alias("attrs"),
+            (F.col("t_from") if inner else F.lit(None)).cast("long").alias("t_from"), (F.col("t_to") if inner else F.lit(None)).cast("long").alias("t_to"),
         )
 
     level, one = F.col("level"), F.lit(1)
-    leaf = lambda kind, name, k, value: F.when(value.isNotNull(), node(kind, name, at + k, one, level + 1, at, value))
+    leaf = lambda kind, name, k, value, own: F.when(value.isNotNull(), node(kind, name, at + k, one, level + 1, at, value, own=own))
+    atts = lambda **cs: F.create_map(*[x for n, c in cs.items() for x in (F.lit(n), c)])
     order, key = level == 2, F.col("k_order").cast("string")
     rows = [
         F.when(level == 1, node("DOC", "", F.lit(0), (F.col("size") + 1) * STRIDE, F.lit(0), F.lit(None))),
-        F.when(level == 1, node("ELT", "customer", at, F.col("size") * STRIDE, level, F.lit(0))),
-        F.when(order, node("ELT", "order", at, F.col("size") * STRIDE, level, F.col("parent") * STRIDE, own_id=key)),
-        F.when(level == 3, node("ELT", "lineitem", at, F.lit(STRIDE), level, F.col("parent") * STRIDE)),
-        leaf("ATT", "status", 1, F.col("a_status")),
-        leaf("ATT", "priority", 2, F.col("a_priority")),
-        leaf("ATT", "flag", 3, F.col("a_flag")),
-        leaf("ATT", "order", 4, F.when(level == 3, key)),
-        leaf("TXT", "", 5, F.col("a_flag")),
+        F.when(level == 1, node("ELT", "customer", at, F.col("size") * STRIDE, level, F.lit(0), attrs=F.create_map())),
+        F.when(order, node("ELT", "order", at, F.col("size") * STRIDE, level, F.col("parent") * STRIDE, own_id=key, attrs=atts(status=F.col("a_status"), priority=F.col("a_priority")))),
+        F.when(level == 3, node("ELT", "lineitem", at, F.lit(STRIDE), level, F.col("parent") * STRIDE, attrs=atts(flag=F.col("a_flag"), order=key))),
+        leaf("ATT", "status", 1, F.col("a_status"), "order"),
+        leaf("ATT", "priority", 2, F.col("a_priority"), "order"),
+        leaf("ATT", "flag", 3, F.col("a_flag"), "lineitem"),
+        leaf("ATT", "order", 4, F.when(level == 3, key), "lineitem"),
+        leaf("TXT", "", 5, F.col("a_flag"), "lineitem"),
     ]
     return t.select("doc_id", F.explode_outer(F.array_compact(F.array(*rows))).alias("x")).select("doc_id", "x.*")

@@ -2,7 +2,11 @@
 
 ``nodes`` rows are keyed by (doc_id, pre). Descendants of ``a`` are the rows
 with ``pre`` in ``(a.pre, a.pre + a.size)``; attributes hang off their element
-and are no children. The shredder is a ``mapInArrow`` over documents, so each
+and are no children. ``labels`` is the sequence of names from the root (see
+:func:`label`), ``nth`` its place among
+siblings with the same name, ``attrs`` and ``decls`` are an element's attributes and
+namespace declarations, ``t_from`` and ``t_to`` the places of its first and
+past its last character in the text of the document. The shredder is a ``mapInArrow`` over documents, so each
 task holds one document tree at a time.
 """
 
@@ -13,46 +17,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.paths import child_steps
-from .tree import ATT, ELT, XHTML, XML, Node, ParseError, parse
+from .tree import ATT, COM, DOC, ELT, PI, TXT, XHTML, XML, Node, ParseError, parse
 
-NODES = "doc_id long, pre long, post long, size long, level int, parent long, sib_ord int, kind string, qname string, prefix string, local_name string, ns_uri string, value string, xml_id string, block boolean, path string"
+NODES = "doc_id long, pre long, post long, size long, level int, parent long, sib_ord int, kind string, qname string, prefix string, local_name string, ns_uri string, value string, xml_id string, block boolean, nth int, labels string, attrs map<string,string>, decls map<string,string>, t_from long, t_to long, path string"
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in NODES.split(", ")])
+#: Before each step of ``labels``, and between a name and its namespace.
+STEP, OF = "\x1f", "\x1e"
+#: Steps of nodes without a name.
+UNNAMED = {TXT: "#text", COM: "#comment", PI: "#pi", DOC: ""}
 #: Rows handed on at once.
 BATCH = 20_000
 
 
+def label(kind: str, local: str, ns: str) -> str:
+    """One step of ``labels``; attributes are marked by ``@``."""
+    return STEP + (UNNAMED[kind] if kind in UNNAMED else f"{'@' if kind == ATT else ''}{local}{OF}{ns}") if kind != DOC else ""
+
+
+def attribute_key(local: str, ns: str) -> str:
+    """An attribute's name in ``attrs``."""
+    return f"{{{ns}}}{local}" if ns else local
+
+
 def node_rows(doc: Node) -> list[tuple]:
     """Rows of one numbered tree without the identifier, in ``pre`` order."""
     out: list[list] = []
-    closed = 0
+    closed = chars = 0
 
-    def opened(node: Node, level: int, parent: int | None, order: int, where: str) -> None:
+    def opened(node: Node, level: int, parent: int | None, order: int, where: str, above: str, nth: int) -> str:
+        nonlocal chars
         named = node.kind in (ELT, ATT)
+        labels = above + label(node.kind, node.local, node.ns)
+        begin = None if node.kind == ATT else chars
+        if node.kind == TXT:
+            chars += len(node.value)
+        attrs = [(attribute_key(a.local, a.ns), a.value) for a in node.attrs] if node.kind == ELT else None
+        decls = list(node.decls.items()) if node.decls else None
         own_id = (node.att("id") if node.ns == XHTML else node.att("id", XML)) if node.kind == ELT else None
-        out.append([node.pre, None, None, level, parent, order, node.kind, node.name, node.prefix if named else "", node.local if named else node.name, node.ns, node.value, own_id, node.block(order) if node.kind == ELT else None, where or "/"])
+        out.append([node.pre, None, None, level, parent, order, node.kind, node.name, node.prefix if named else "", node.local if named else node.name, node.ns, node.value, own_id, node.block(order) if node.kind == ELT else None, nth, labels, attrs, decls, begin, None, where or "/"])
+        return labels
 
     def close(at: int) -> None:
         nonlocal closed
         out[at][1], out[at][2] = closed, out[-1][0] - out[at][0] + 1
+        out[at][-2] = None if out[at][6] == ATT else chars
         closed += 1
 
     # an explicit stack, as documents may be nested deeply; a number closes the row that it stands for
-    stack: list = [(doc, 0, None, 0, "")]
+    stack: list = [(doc, 0, None, 0, "", "", 1)]
     while stack:
         top = stack.pop()
         if isinstance(top, int):
             close(top)
             continue
-        node, level, parent, order, where = top
-        opened(node, level, parent, order, where)
+        node, level, parent, order, where, above, nth = top
+        labels = opened(node, level, parent, order, where, above, nth)
         stack.append(len(out) - 1)
         for i, a in enumerate(node.attrs):
-            opened(a, level + 1, node.pre, i, f"{where}/@{a.name}")
+            opened(a, level + 1, node.pre, i, f"{where}/@{a.name}", labels, 1)
             close(len(out) - 1)
         steps = child_steps(node.children)
-        stack.extend((node.children[i], level + 1, node.pre, i, f"{where}/{steps[i]}") for i in reversed(range(len(node.children))))
+        seen: dict[str, int] = {}
+        nths: list[int] = []
+        for c in node.children:
+            own = label(c.kind, c.local, c.ns)
+            seen[own] = seen.get(own, 0) + 1
+            nths.append(seen[own])
+        stack.extend((node.children[i], level + 1, node.pre, i, f"{where}/{steps[i]}", labels, nths[i]) for i in reversed(range(len(node.children))))
     return [tuple(r) for r in out]
 
 
