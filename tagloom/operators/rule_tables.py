@@ -109,6 +109,6 @@ def unplanned(rules: DataFrame) -> DataFrame:
 def last_wins(matches: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     """(doc_id, pre, value) of one data category value: of the rules that set it, the last that matches the node."""
     sets = rules.select("doc_id", "rule_seq", F.col("values")[name].alias("value")).where("value is not null")
-    return matches.join(sets, ["doc_id", "rule_seq"]).groupBy("doc_id", "pre").agg(F.max_by("value", "rule_seq").alias("value"))
+    return matches.select("doc_id", "rule_seq", "pre").join(sets, ["doc_id", "rule_seq"]).groupBy("doc_id", "pre").agg(F.max_by("value", "rule_seq").alias("value"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import markup, trees
+from . import markup, structure, trees
 
-QUERIES: dict = {**markup.Q, **trees.Q}
-ORACLES: dict[str, str] = {**markup.O, **trees.O}
+QUERIES: dict = {**markup.Q, **trees.Q, **structure.Q}
+ORACLES: dict[str, str] = {**markup.O, **trees.O, **structure.O}
