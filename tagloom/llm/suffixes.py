@@ -25,20 +25,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .rows import keyed, plain_id
-from .scratch import Scratch, estimated_bytes, shuffle_partitions
-from .windows import _NAMES, _NOTHING, BUCKET_BYTES, _gather, _packed, _unpacked
+from .scratch import Scratch
+from .windows import FILTER, PACK, bucket_count, packed, starts_by_document, table_of, task_of
 
 GRAM = 32
-#: Numbers that a broadcast filter of documents holds, at most.
-FILTER = 1 << 20
-_PACK = "bucket int, docs binary, many binary, steps binary, far binary, hashes binary"
 
 
 def _byte_sums(data: np.ndarray) -> np.ndarray:
@@ -143,10 +139,12 @@ def _window_hasher(length: int, buckets: int):
             late[by[1:][same]] = True
             known = late.copy()
             known[by[:-1][same]] = True
+            task = task_of(ids, keys)
+            yield table_of(task, ids, keys)
             at = _ordered(np.flatnonzero(known), r, p)
-            yield from _packed(np.full(len(at), -1), ids, keys, r[at], p[at], None)
+            yield from packed(np.full(len(at), -1), task, r[at], p[at], 1)
             at = _ordered(np.flatnonzero(~late), r, p)
-            yield from _packed((h[at] % np.uint64(buckets)).astype(np.int64), ids, keys, r[at], p[at], h[at])
+            yield from packed((h[at] % np.uint64(buckets)).astype(np.int64), task, r[at], p[at], 0, h[at])
 
     return run
 
@@ -155,24 +153,14 @@ def _ordered(at: np.ndarray, r: np.ndarray, p: np.ndarray) -> np.ndarray:
     return at[np.lexsort((p[at], r[at]))]
 
 
-def _counter(groups: int):
-    def run(table: pa.Table) -> pa.Table:
-        known = pa.array([len(x.as_py()) == 0 for x in table.column("hashes")])
-        a = _unpacked(table.filter(known))
-        docs, d, p, h = _unpacked(table.filter(pa.compute.invert(known)))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        at = np.flatnonzero(again)
-        ids, keys = np.concatenate([a[0][:, 0], docs[:, 0]]), np.concatenate([a[0][:, 1], docs[:, 1]])
-        r, p = np.concatenate([a[1], d[at] + np.int32(len(a[0]))]), np.concatenate([a[2], p[at]])
-        to = (tk.mix(ids.view(np.uint64) ^ (keys.view(np.uint64) * np.uint64(3))) % np.uint64(groups)).astype(np.int64)
-        out = list(_packed(to[r], ids, keys, r, p, None))
-        return pa.Table.from_batches(out).drop_columns(["hashes"]).rename_columns(["to", *_NAMES]) if out else _NOTHING
-
-    return run
+def _repeated(ids: np.ndarray, d: np.ndarray, p: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Windows whose hash stands more than once."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return np.flatnonzero(again)
 
 
 def _remover(length: int):
@@ -212,7 +200,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = keyed(docs, id_col, text_col)
-    buckets = max(shuffle_partitions(spark), -(-estimated_bytes(rows, "_text") // BUCKET_BYTES))
+    buckets = bucket_count(rows)
     runs = rows.mapInArrow(_run_maker(length), "suffix long, whole long, _id long, _h long, s0 long, n long, many boolean, settled boolean")
     meet, equal = W.partitionBy("suffix"), W.partitionBy("suffix", "whole")
     place = F.struct("_id", "_h", "s0")
@@ -230,10 +218,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     rows = rows.withColumn("f", F.pmod(F.xxhash64("_id", "_h"), F.lit(FILTER)).cast("int"))
     tell = found.where("told").groupBy("_id", "_h").agg(F.collect_list(run).alias("runs"))
     asked = rows.join(sieve(found.where("told")), "f", "left_semi").dropDuplicates(["_id", "_h"]).join(tell, ["_id", "_h"]).select("_id", "_h", "_text", "runs")
-    packed = asked.mapInArrow(_window_hasher(length, buckets), _PACK)
-    packed = packed.withColumn("bucket", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    late = packed.groupBy("bucket").applyInArrow(_counter(buckets), "to int, docs binary, many binary, steps binary, far binary")
-    late = late.groupBy("to").applyInArrow(_gather, "_id long, _h long, starts binary")
+    late = starts_by_document(asked.mapInArrow(_window_hasher(length, buckets), PACK), buckets, _repeated)
     whole = found.where("full").groupBy("_id", "_h").agg(F.collect_list(run).alias("runs"))
     cuts = scratch.put(whole.join(late, ["_id", "_h"], "full_outer"), "cuts")
     touched = rows.join(sieve(cuts), "f", "left_semi").join(cuts, ["_id", "_h"], "left").select("_id", "_text", "runs", "starts")
