@@ -4,10 +4,15 @@ Each item becomes windows of ``window`` words (a shorter item is one window).
 A window must be contained whole, so with its words ordered by rarity over all
 documents its necessary prefix is its rarest word: documents are probed only
 where that word stands, length and position bounds drop candidates that would
-leave the document, and the rest is verified word by word.
+leave the document, and the rest is verified word by word. Of equally rare
+words the first is the prefix.
 
-The item side is read in shards of at most ``MAX_ITEM_BYTES`` of text, so what
-is broadcast is bounded whatever the benchmark's size.
+Up to ``MAX_ITEM_BYTES`` of item text the windows are broadcast as arrays.
+Beyond that they meet the documents by a shuffle on their rarest word: the
+places of words that pass a filter of all rarest words are moved with the words
+around them. Both ways read the documents twice, whatever the items' size.
+Words are told apart by 64-bit hashes: two different ones among n count as
+equal with probability n squared / 2**65.
 
 Defined results: null or word-less texts have no words and no hits; null or
 word-less items never match; repeated items count once per identifier; items
@@ -21,54 +26,77 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .rows import keyed, plain_id, without
+from .scratch import Scratch
 
-#: Text bytes of the items that one broadcast index may hold.
-MAX_ITEM_BYTES = 32 << 20
+#: Text bytes of the items that one broadcast index may hold; it takes about 50 bytes for each while it is built, 5 when it is sent.
+MAX_ITEM_BYTES = 4 << 20
 #: Candidate windows verified at once.
 SLICE = 1 << 18
 _SPANS = "array<struct<first:bigint,last:bigint>>"
 
 
 class WindowIndex:
-    """Distinct item windows, addressed by their rarest word."""
+    """Distinct item windows, addressed by their rarest word.
+
+    All items' words stand in one array of vocabulary numbers; a window is a
+    place and a length in it, so an item byte takes a few bytes here.
+    """
 
     def __init__(self, ids: list, texts: list, window: int):
         data, offs = tk.string_buffer(pa.array(texts, pa.string()))
         words = tk.Words(data, offs, tk.alnum_table())
         self.vocab, codes = np.unique(words.hashes(), return_inverse=True)
-        seen: dict[tuple, int] = {}
-        owners: list[set] = []
-        for item, (lo, hi) in zip(ids, zip(words.ptr[:-1], words.ptr[1:], strict=True), strict=True):
-            size = min(window, hi - lo)
-            for at in range(lo, hi - size + 1 if size else lo):
-                key = tuple(codes[at : at + size].tolist())
-                if key not in seen:
-                    seen[key] = len(owners)
-                    owners.append(set())
-                if item is not None:
-                    owners[seen[key]].add(str(item))
-        self.size = np.array([len(k) for k in seen], np.int64)
-        self.words = np.full((len(seen), window), -1, np.int64)
-        for i, k in enumerate(seen):
-            self.words[i, : len(k)] = k
-        self.names = sorted(set().union(*owners))
-        place = {x: i for i, x in enumerate(self.names)}
-        self.owner_ptr = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owner = np.array([place[x] for o in owners for x in sorted(o)], np.int64)
+        self.seq = np.concatenate([codes, np.full(window, -1)]).astype(np.int32)
+        self.width = window
+        count = np.diff(words.ptr)
+        whole = np.flatnonzero((count > 0) & (count < window))
+        start = np.concatenate([tk.window_starts(words.ptr, window, words.n), words.ptr[whole]]).astype(np.int64)
+        size = np.concatenate([np.full(len(start) - len(whole), window), count[whole]]).astype(np.int64)
+        item = np.searchsorted(words.ptr, start, side="right") - 1
+        # equal windows are one: by a hash of their numbers first, then number by number
+        mixed = tk.mix(codes.astype(np.uint64) + np.uint64(1))
+        name = np.zeros(len(start), np.uint64)
+        for j in range(window):
+            inside = j < size
+            name[inside] = tk.mix(name[inside] * np.uint64(31) + mixed[start[inside] + j])
+        order = np.argsort(name, kind="stable")
+        lead = np.concatenate([[True], name[order][1:] != name[order][:-1]]) if len(order) else np.zeros(0, bool)
+        head = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(order) else order
+        same = size[order] == size[head]
+        for j in range(window):
+            inside = j < size[order]
+            same[inside] &= self.seq[start[order][inside] + j] == self.seq[np.minimum(start[head][inside] + j, len(self.seq) - 1)]
+        lead |= ~same
+        number = np.cumsum(lead) - 1
+        first = order[lead]
+        self.start, self.size = start[first].astype(np.int32), size[first]
+        named = np.array([x is not None for x in ids], bool)
+        self.names, place = np.unique(np.array([str(x) for x in ids if x is not None], object), return_inverse=True) if named.any() else (np.zeros(0, object), np.zeros(0, np.int64))
+        rank = np.full(len(ids), -1)
+        rank[named] = place
+        owner = rank[item[order]]
+        pair = np.unique(number[owner >= 0] * np.int64(len(self.names) + 1) + owner[owner >= 0])
+        self.owner = (pair % (len(self.names) + 1)).astype(np.int32)
+        self.owner_ptr = np.searchsorted(pair // (len(self.names) + 1), np.arange(len(self.start) + 1)).astype(np.int64)
+        self.names = self.names.tolist()
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.vocab & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def order_by_rarity(self, counts: np.ndarray) -> WindowIndex:
-        """Choose each window's prefix, its rarest word by document-corpus count."""
-        shown = np.where(self.words >= 0, counts[self.words], np.iinfo(np.int64).max)
-        offset = shown.argmin(axis=1) if len(shown) else np.zeros(0, np.int64)
-        anchor = self.words[np.arange(len(shown)), offset]
+        """Choose each window's prefix, its rarest word by document-corpus count; of equally rare ones the first."""
+        least, offset = np.full(len(self.start), np.iinfo(np.int64).max), np.zeros(len(self.start), np.int64)
+        for j in range(self.width):
+            own = np.where(j < self.size, counts[self.seq[self.start + j]], np.iinfo(np.int64).max)
+            better = own < least
+            least[better], offset[better] = own[better], j
+        anchor = self.seq[self.start + offset]
         order = np.argsort(anchor, kind="stable")
-        self.post_window, self.post_offset = order, offset[order]
+        self.post_window, self.post_offset = order.astype(np.int32), offset[order].astype(np.int16)
         self.post_ptr = np.searchsorted(anchor[order], np.arange(len(self.vocab) + 1))
         return self
 
@@ -99,9 +127,8 @@ class WindowIndex:
             row = rows[pos]
             ok = (first >= ptr[row]) & (first + self.size[window] <= ptr[row + 1])
             first, window = first[ok], window[ok]
-            for j in range(self.words.shape[1]):
-                need = self.words[window, j]
-                ok = (need < 0) | (codes[np.minimum(first + j, len(codes) - 1)] == need)
+            for j in range(self.width):
+                ok = (j >= self.size[window]) | (codes[np.minimum(first + j, len(codes) - 1)] == self.seq[self.start[window] + j])
                 first, window = first[ok], window[ok]
             starts.append(first)
             found.append(window)
@@ -165,22 +192,123 @@ def _prober(index):
     return run
 
 
-def _merge(batches):
-    """Union of spans found by several shards."""
-    for batch in batches:
-        pdf = batch.to_pandas()
-        pdf["spans"] = [_union(x) for x in pdf["spans"]]
-        yield pa.RecordBatch.from_pandas(pdf, schema=batch.schema, preserve_index=False)
+def _item_windows(window: int):
+    """(item, words, numbers) of every window: the words' hashes in order, as bytes and as a list."""
+
+    def run(batches):
+        table = tk.alnum_table()
+        for batch in batches:
+            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(1))):
+                words = tk.Words(data, offs, table)
+                h, count = words.hashes(), np.diff(words.ptr)
+                whole = np.flatnonzero((count > 0) & (count < window))
+                at = np.concatenate([tk.window_starts(words.ptr, window, words.n), words.ptr[whole]])
+                size = np.concatenate([np.full(len(at) - len(whole), window), count[whole]])
+                item = pa.array(np.searchsorted(words.ptr, at, side="right") - 1 + lo)
+                own = [h[x : x + n] for x, n in zip(at, size, strict=True)]
+                lists = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(item), pa.array([x.tobytes() for x in own], pa.binary()), lists], ["item", "words", "numbers"])
+
+    return run
+
+
+def _word_counts(sent):
+    """Counts of the words that pass the filter, once a task."""
+
+    def run(batches):
+        sieve, table, keys, counts = sent.value, tk.alnum_table(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for _, _, data, offs in tk.chunks(*tk.string_buffer(batch.column(0))):
+                h = tk.Words(data, offs, table).hashes()
+                one, n = np.unique(h[_passes(sieve, h)], return_counts=True)
+                keys.append(one)
+                counts.append(n)
+            if sum(map(len, keys)) > SLICE * 8:
+                yield _counted(keys, counts)
+                keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        yield _counted(keys, counts)
 
+    return run
 
-def _union(spans) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["first"]):
-        if out and s["first"] <= out[-1]["last"] + 1:
-            out[-1]["last"] = max(out[-1]["last"], s["last"])
-        else:
-            out.append(dict(s))
-    return out
+
+def _counted(keys: list, counts: list) -> pa.RecordBatch:
+    one, back = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(back, weights=np.concatenate(counts), minlength=len(one)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return sieve[(h & np.uint64(len(sieve) - 1)).astype(np.int64)]
+
+
+def _places(sent, window: int):
+    """Every place of a word that passes the filter, with the words around it that a window could hold."""
+
+    def run(batches):
+        sieve, table = sent.value, tk.alnum_table()
+        for batch in batches:
+            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(2))):
+                words = tk.Words(data, offs, table)
+                h, row = words.hashes(), words.row_of()
+                every = np.flatnonzero(_passes(sieve, h))
+                for k in range(0, len(every), SLICE // 8):
+                    at = every[k : k + SLICE // 8]
+                    own = row[at]
+                    before = np.minimum(at - words.ptr[own], window - 1)
+                    after = np.minimum(words.ptr[own + 1] - at, window)
+                    around = [h[x - b : x + a].tobytes() for x, b, a in zip(at, before, after, strict=True)]
+                    doc = pa.array(own + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(h[at].view(np.int64)), pa.array(at - words.ptr[own]), pa.array(before), pa.array(around, pa.binary())], ["_id", "_h", "word", "at", "before", "around"]
+                    )
+
+    return run
+
+
+def _lengths(batches):
+    table = tk.alnum_table()
+    for batch in batches:
+        for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(2))):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(tk.Words(data, offs, table).ptr))], ["_id", "_h", "n_words"])
+
+
+def _bits(words: DataFrame, column: str) -> np.ndarray:
+    """A filter of 2**22 places of words; false where no word can be."""
+    sieve = np.zeros(1 << 22, bool)
+    got = words.select(F.col(column).bitwiseAND(F.lit((1 << 22) - 1)).alias("x")).distinct().toArrow()
+    sieve[got.column("x").to_numpy()] = True
+    return sieve
+
+
+def _joined(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """As :func:`_contamination` for any number of items: the prefix join by a shuffle on each window's rarest word."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
+    # an item without a name still causes hits
+    owned = items.select(F.col("item").cast("string"), "text").mapInArrow(_item_windows(window), "item string, words binary, numbers array<long>")
+    windows = scratch.put(owned.groupBy("words").agg(F.array_compact(F.collect_set("item")).alias("items"), F.first("numbers").alias("numbers")), "windows")
+    own = windows.select("words", F.posexplode("numbers").alias("offset", "word"))
+    own = scratch.put(own, "words")
+    vocabulary = spark.sparkContext.broadcast(_bits(own, "word"))
+    counts = rows.select("_text").mapInArrow(_word_counts(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = own.join(counts, "word", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "offset", "word")).alias("x"))
+    anchored = scratch.put(ranked.join(windows, "words").select("words", "items", F.col("x.word").alias("word"), F.col("x.offset").alias("offset")), "anchored")
+    anchors = spark.sparkContext.broadcast(_bits(anchored, "word"))
+    places = rows.mapInArrow(_places(anchors, window), "_id long, _h long, word long, at long, before long, around binary")
+    # the window's words must stand around the place: length and position bounds, then all of them
+    begin = F.col("before") - F.col("offset")
+    size = F.octet_length("words")
+    met = scratch.put(places, "places").join(anchored, "word").where((begin >= 0) & (F.substring(F.col("around"), (begin * 8 + 1).cast("int"), size) == F.col("words")))
+    hits = met.select("_id", "_h", (F.col("at") - F.col("offset")).alias("first"), (F.col("at") - F.col("offset") + size / 8 - 1).cast("long").alias("last"), "items")
+    hits = hits.groupBy("_id", "_h", "first").agg(F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    # maximal runs: a gap before a window's first word begins a new one
+    doc = W.partitionBy("_id", "_h").orderBy("first")
+    reach = F.max("last").over(doc.rowsBetween(W.unboundedPreceding, -1))
+    runs = hits.withColumn("fresh", F.when(F.col("first") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(doc))
+    spans = runs.groupBy("_id", "_h", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    found = spans.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    counted = rows.mapInArrow(_lengths, "_id long, _h long, n_words long")
+    return counted.join(found, ["_id", "_h"], "left").select("_id", "_h", "n_words", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def _contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -189,27 +317,17 @@ def _contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     rows = keyed(docs, id_col, text_col)
     items = items.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-2 * int(size) // max_item_bytes)) if size > max_item_bytes else 1
-    found = None
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
-        got = part.collect()
-        index = WindowIndex([r.item for r in got], [r.text for r in got], window)
-        counts = np.zeros(len(index.vocab) + 1, np.int64)
-        if len(index.vocab):
-            sent = spark.sparkContext.broadcast(index)
-            for r in rows.select("_text").mapInArrow(_counter(sent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-                counts[r.word] = r.n
-        sent = spark.sparkContext.broadcast(index.order_by_rarity(counts))
-        one = rows.mapInArrow(_prober(sent), f"_id long, _h long, n_words long, spans {_SPANS}, items array<string>")
-        found = one if found is None else found.unionByName(one)
-    if shards > 1:
-        found = (
-            found.groupBy("_id", "_h")
-            .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-            .mapInArrow(_merge, f"_id long, _h long, n_words long, spans {_SPANS}, items array<string>")
-        )
-    return found
+    if size > max_item_bytes:
+        return _joined(rows, items, window)
+    got = items.collect()
+    index = WindowIndex([r.item for r in got], [r.text for r in got], window)
+    counts = np.zeros(len(index.vocab) + 1, np.int64)
+    if len(index.vocab):
+        sent = spark.sparkContext.broadcast(index)
+        for r in rows.select("_text").mapInArrow(_counter(sent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            counts[r.word] = r.n
+    sent = spark.sparkContext.broadcast(index.order_by_rarity(counts))
+    return rows.mapInArrow(_prober(sent), f"_id long, _h long, n_words long, spans {_SPANS}, items array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *args, **kwargs) -> DataFrame:
