@@ -8,7 +8,8 @@ addresses and long hexadecimal secrets get keyed hashes of their form (128 bits
 for mail, as many as the secret has for hexadecimal). The
 permutation depends on the key and the format only, so equal values stay linked
 across documents and different ones stay apart. What does not validate is left
-alone.
+alone; of matches that begin together the kind named first in ``KINDS`` counts.
+There is no public key: a session without one gets a key of its own.
 
 Everything is one projection: the text is split at the matches, every match is
 mapped, and both lists are put together again.
@@ -22,15 +23,17 @@ other lengths are not validated and stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rows import keyed, plain_id
 
-#: Stands in where the session names no key; it is public, so its pseudonyms can be reversed by anyone.
-KEY = "tagloom"
 #: The session setting that holds the secret key.
 KEY_SETTING = "spark.tagloom.pii.key"
+#: Drawn once for the driver, where the session names none: such pseudonyms link within one application and nobody can reverse them.
+_drawn = secrets.token_hex(32)
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31.
 DAYS = 73_049
@@ -172,8 +175,13 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``text`` with pseudonyms, ``found`` (kind and pseudonym of each validated match, in order)."""
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or _drawn
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id``, ``text`` with pseudonyms, ``found`` (kind and pseudonym of each validated match, in order). Without ``key`` the session's is taken."""
+    key = key or session_key(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     some = F.col("_text").rlike("[0-9@]") & F.col("_text").isNotNull()
     parts = rows.select("_id", "_text", F.when(some, F.split("_text", ANY, -1)).alias("between"), F.when(some, F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("m"))
@@ -187,7 +195,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
 
 def contract(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, the number of validated values by kind, and the rewritten ``text``."""
-    out = pseudonymize(docs, docs.sparkSession.conf.get(KEY_SETTING, KEY))
+    out = pseudonymize(docs)
     of_kind = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k))
     counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", F.size("found").cast("long").alias("n_found"), *counts, "text")
