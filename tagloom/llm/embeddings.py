@@ -163,7 +163,8 @@ def cosine_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         sample = distinct.where(F.col("dim") == dim).select("vec", F.xxhash64("h1", "h2").alias("o")).orderBy("o").limit(SAMPLE).toArrow()
         k = max(1, min(MAX_CELLS, int(total**0.5) // SPREAD, sample.num_rows // 4))
         c = spherical_kmeans(_unit(_vectors(sample.column("vec"))), k)
-        cells[dim] = (c, np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 1024 else np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-6)
+        # distances of unit vectors from their products, with a margin for rounding
+        cells[dim] = (c, np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-6)
     sent = spark.sparkContext.broadcast(cells)
     radius = (2 - 2 * least) ** 0.5 if least < 1 else 0.0
     seen = scratch.put(distinct.select("rep", "low", "dim", "vec", "n").mapInArrow(_assigner(sent, radius), f"dim int, cell int, home boolean, rep long, low long, vec array<{kind}>, n long"), "cells")

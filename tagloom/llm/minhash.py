@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     crowd = scratch.put(crowd.join(crowded, "key"), "crowd")
     # a bucket's centre is its member that meets most others over all its bands: of a group of near copies, the original
     score = crowd.groupBy("rep").agg(F.sum("m").alias("score"))
-    low = crowd.join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", F.bitwise_not("rep"))).alias("low"))
+    low = scratch.put(crowd.join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", F.bitwise_not("rep"))).alias("low")), "low")
     pairs = scratch.put(crowd.join(low, "key").where("rep <> low").select("low", "rep").distinct(), "pairs")
     hub = scratch.put(pairs.groupBy("low").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts")), "hub")
     tagged = pairs.join(hub, "low").select(F.col("rep").alias("id"), "low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"))

@@ -6,8 +6,10 @@ the log ratio of their class counts, and a linear hinge-loss model is fitted on
 them by dual coordinate descent, then turned into probabilities by a logistic
 curve on labelled rows set apart for it.
 
-The classifier is fitted on at most ``SAMPLE`` labelled training rows; every
-document is scored on its whole text.
+The classifier is fitted on at most ``SAMPLE`` labelled training rows with at
+most ``INDICATORS`` indicators together, the ones with the smallest identifier
+hashes; every document is scored on its whole text. A score of exactly the
+threshold counts as label 1.
 
 Defined results: null, empty and blank texts have no n-grams and get the score
 of that; without labels of both classes every score is the share of label 1
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 from .folds import remainder, training_rows
 from .rows import keyed, plain_id
+from .scratch import Scratch
 from .toxicity import fit_logistic
 
 #: Labelled training rows used, at most.
 SAMPLE = 8_000
 #: Indicators are hashed to this many numbers.
 BITS = 18
+#: Indicators of all training rows together, at most: what the driver holds, four bytes each.
+INDICATORS = 1 << 25
 
 
 def _class_table() -> np.ndarray:
@@ -150,7 +155,13 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, i
     """Per row: ``doc_id``, ``score`` (probability of label 1)."""
     spark = docs.sparkSession
     train = training_rows(docs, labels, target, remainder(id_col, parts) != held, sample, id_col, text_col)
-    got = train.select("_id", "_text", "y").mapInArrow(_train_features, "_id long, x array<int>, y int").orderBy("_id").toArrow()
+    train = Scratch(spark).put(train.select("_id", "_text", "y").mapInArrow(_train_features, "_id long, x array<int>, y int"), "train")
+    sizes = train.select("_id", F.size("x").alias("n"), F.xxhash64("_id").alias("o")).orderBy("o", "_id").toArrow()
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= INDICATORS
+    if not fits.all():
+        kept = spark.createDataFrame([(int(i),) for i in np.unique(sizes.column("_id").to_numpy()[fits])], "_id long")
+        train = train.join(F.broadcast(kept), "_id", "left_semi")
+    got = train.orderBy("_id").toArrow()
     y = (got.column("y").to_numpy() > 0).astype(np.int64)
     x = [np.asarray(v.values) for v in got.column("x")]
     model, curve, flat = None, None, None
