@@ -47,13 +47,16 @@ from . import tokens as tk
 from .folds import remainder
 from .rows import keyed, plain_id
 from .scratch import Scratch, shuffle_partitions
+from .windows import from_small, from_steps, small, steps_of, task_of
 
 #: Context bytes; a gram of one byte more fills seven of the eight bytes of a key.
 DEPTH = 6
 #: Keys of the broadcast table, at most.
 HOT = 1 << 21
 #: Distinct keys that a map task holds, and grams in one row of the stored tables, about.
-HOLD, PIECE = 3 << 20, 1 << 18
+HOLD, PIECE = 2 << 20, 1 << 18
+#: Text bytes looked at together.
+CHUNK = 1 << 20
 #: Frequencies up to this are told apart when the hot keys are chosen.
 MOST = 1 << 16
 UNIT = 1 << 36
@@ -126,7 +129,7 @@ def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     key = key[order]
     lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[lead], np.add.reduceat(count[order], lead, axis=0) if len(key) else count
+    return key[lead], np.add.reduceat(count[order], lead, axis=0, dtype=count.dtype) if len(key) else count
 
 
 def _group_of(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -134,8 +137,20 @@ def _group_of(keys: np.ndarray, depth: int) -> np.ndarray:
     return np.where(keys >= _WORD, keys, keys >> np.uint64(8 * (depth + 1 - min(3, depth))))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, their first bytes together, then their second and so on, compressed: sorted keys and small counts shrink to little."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def from_planes(raw: bytes, kind=np.int64) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    flat = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(kind).ravel()
+
+
 def _row(bucket: int, key: np.ndarray, count: np.ndarray) -> tuple:
-    return int(bucket), key.tobytes(), np.ascontiguousarray(count[:, 0], np.int64).tobytes(), np.ascontiguousarray(count[:, 1], np.int64).tobytes()
+    return int(bucket), planes(key), planes(count[:, 0].astype(np.int64)), planes(count[:, 1].astype(np.int64))
 
 
 def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
@@ -162,14 +177,14 @@ def _counter(depth: int, buckets: int):
         counts: list = []
         for batch in batches:
             train = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(1))):
+            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(1)), limit=CHUNK):
                 grams, gram_ptr, words, word_ptr = keys_of(data, offs, depth)
                 for key, ptr in ((grams, gram_ptr), (words, word_ptr)):
                     of = np.repeat(train[lo:hi], np.diff(ptr))
                     for part, is_train in ((key[of], 1), (key[~of], 0)):
                         one, n = np.unique(part, return_counts=True)
                         keys.append(one)
-                        counts.append(np.stack([n * is_train, n], 1))
+                        counts.append(np.stack([n * is_train, n], 1).astype(np.uint32))
                 if sum(map(len, keys)) > HOLD:
                     key, count = _summed(keys, counts)
                     keys, counts = [key], [count]
@@ -191,8 +206,8 @@ def _meet(depth: int):
         held = 0
         for batch in batches:
             for _, key, train, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys.append(np.frombuffer(key, np.uint64))
-                counts.append(np.stack([np.frombuffer(train, np.int64), np.frombuffer(total, np.int64)], 1))
+                keys.append(from_planes(key, np.uint64))
+                counts.append(np.stack([from_planes(train), from_planes(total)], 1))
                 held += len(keys[-1])
                 if held > 2 * len(keys[0]) + HOLD:
                     key, count = _summed(keys, counts)
@@ -263,7 +278,7 @@ def subtrees(keys: np.ndarray, train: np.ndarray, depth: int) -> tuple[np.ndarra
 
 def _grams(batch):
     for key, train, total in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("keys", "train", "total")), strict=True):
-        yield np.frombuffer(key, np.uint64), np.frombuffer(train, np.int64), np.frombuffer(total, np.int64)
+        yield from_planes(key, np.uint64), from_planes(train), from_planes(total)
 
 
 _SUMS = ["kind", "name", "a", "b", "log", "rest"]
@@ -363,8 +378,8 @@ def _hottest(least: int):
     def run(batches):
         for batch in batches:
             for key, value, total in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                at = np.frombuffer(total, np.int64) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.uint64)[at].view(np.int64)), pa.array(np.frombuffer(value, np.int64)[at])], ["key", "value"])
+                at = from_planes(total) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(from_planes(key)[at]), pa.array(from_planes(value)[at])], ["key", "value"])
 
     return run
 
@@ -405,30 +420,28 @@ def _by_row(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return total[ptr[1:]] - total[ptr[:-1]]
 
 
-_FOUND = "bucket int, kind int, keys binary, value binary, ids binary, hs binary, many binary, size binary, known binary, base binary, score binary"
-_PARTS = ["ids", "hs", "size", "known", "base", "score"]
-_PART = "_id long, _h long, docs long, size long, n_tokens long, known long, base long, score long"
+#: Parts of the table (kind 0), occurrences by document of a task (1), documents of a task with their sums (2), sums by document (3).
+_FOUND = "bucket int, kind int, task long, keys binary, value binary, rows binary, many binary, ids binary, hs binary, sums binary"
+_FOUND_NAMES = [x.split(" ")[0] for x in _FOUND.split(", ")]
+_FOUND_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+_SUM_NAMES = ["size", "n_tokens", "known", "base", "score"]
+_PART = "_id long, _h long, docs long, " + ", ".join(f"{x} long" for x in _SUM_NAMES)
 
 
 def _scorer(hot, depth: int, buckets: int):
     """(_id, _h, text) to sums over the broadcast keys (kind 2) and the occurrences of all others by bucket (kind 1)."""
-    names = _FOUND.split(", ")
-    names = [x.split(" ")[0] for x in names]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 9]
-
     def run(batches):
         look = Lookup(*hot.value)
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(2))):
+            for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(2)), limit=CHUNK):
                 grams, gram_ptr, words, word_ptr = keys_of(data, offs, depth)
                 value, there = look(grams)
                 base, there_too = look(words)
                 own_ids, own_hs = ids[lo:hi], hs[lo:hi]
-                rows = []
-                sums = [np.diff(gram_ptr), np.diff(word_ptr), _by_row(base > 0, word_ptr), _by_row(base, word_ptr), _by_row(value, gram_ptr)]
-                size, tokens, known, based, scored = (np.ascontiguousarray(x, np.int64).tobytes() for x in sums)
-                rows.append((int(abs(int(own_ids[0]) ^ int(own_hs[0])) % buckets), 2, None, None, own_ids.tobytes(), own_hs.tobytes(), tokens, size, known, based, scored))
+                sums = np.stack([np.diff(gram_ptr), np.diff(word_ptr), _by_row(base > 0, word_ptr), _by_row(base, word_ptr), _by_row(value, gram_ptr)], 1).astype(np.int64)
+                task = task_of(own_ids, own_hs)
+                rows = [(task % buckets, 2, task, None, None, None, None, own_ids.tobytes(), own_hs.tobytes(), sums.tobytes())]
                 key = np.concatenate([grams[~there], words[~there_too]])
                 if len(key):
                     of = np.concatenate([np.repeat(np.arange(hi - lo), np.diff(gram_ptr))[~there], np.repeat(np.arange(hi - lo), np.diff(word_ptr))[~there_too]])
@@ -439,38 +452,49 @@ def _scorer(hot, depth: int, buckets: int):
                     for b in np.unique(bucket):
                         x, y = cut[b], cut[b + 1]
                         docs, many = np.unique(of[x:y], return_counts=True)
-                        rows.append((int(b), 1, key[x:y].tobytes(), None, own_ids[docs].tobytes(), own_hs[docs].tobytes(), many.astype(np.int64).tobytes(), None, None, None, None))
-                yield _batch(rows, names, kinds)
+                        rows.append((int(b), 1, task, planes(key[x:y]), None, steps_of(docs), small(many), None, None, None))
+                yield _batch(rows, _FOUND_NAMES, _FOUND_KINDS)
 
     return run
 
 
 def _joiner(batches):
-    """Rows of one partition, its part of the table (kind 0) first, to sums for each document."""
-    read = lambda x: np.frombuffer(x, np.int64)
+    """Rows of one partition, its part of the table first; occurrences become sums by document, the documents pass."""
     keys: list = [np.zeros(0, np.uint64)]
     values: list = [np.zeros(0, np.int64)]
     look = None
     for batch in batches:
-        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        for i, kind in enumerate(col["kind"]):
-            if kind == 0:
-                keys.append(np.frombuffer(col["keys"][i], np.uint64))
-                values.append(read(col["value"][i]))
-                continue
-            ids, hs, many = read(col["ids"][i]), read(col["hs"][i]), read(col["many"][i])
-            zero = np.zeros(len(ids), np.int64)
-            if kind == 2:
-                out = [zero + 1, read(col["size"][i]), many, read(col["known"][i]), read(col["base"][i]), read(col["score"][i])]
+        out = []
+        for row in batch.select(_FOUND_NAMES).to_pylist():
+            if row["kind"] == 0:
+                keys.append(from_planes(row["keys"], np.uint64))
+                values.append(from_planes(row["value"]))
+            elif row["kind"] == 2:
+                out.append(tuple(row.values()))
             else:
                 look = look or Lookup(np.concatenate(keys), np.concatenate(values))
-                key = np.frombuffer(col["keys"][i], np.uint64)
+                key = from_planes(row["keys"], np.uint64)
                 value, there = look(key)
                 if not there.all():
                     raise ValueError("a key is missing from the table; the input changed between two reads")
-                ptr, words = np.concatenate([[0], np.cumsum(many)]), key >= _WORD
-                out = [zero, zero, zero, _by_row(words & (value > 0), ptr), _by_row(np.where(words, value, 0), ptr), _by_row(np.where(words, 0, value), ptr)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, hs, *out)], [x.split(" ")[0] for x in _PART.split(", ")])
+                ptr, words = np.concatenate([[0], np.cumsum(from_small(row["many"]))]), key >= _WORD
+                sums = np.stack([_by_row(words & (value > 0), ptr), _by_row(np.where(words, value, 0), ptr), _by_row(np.where(words, 0, value), ptr)], 1)
+                out.append((row["bucket"], 3, row["task"], None, None, row["rows"], None, None, None, sums.tobytes()))
+        if out:
+            yield _batch(out, _FOUND_NAMES, _FOUND_KINDS)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """A task's documents with all their sums; equal tasks count as often as they are."""
+    own = table.select(["kind", "rows", "ids", "hs", "sums"]).to_pylist()
+    whole = [r for r in own if r["kind"] == 2]
+    ids, hs = (np.frombuffer(whole[0][c], np.int64) for c in ("ids", "hs"))
+    sums = np.frombuffer(whole[0]["sums"], np.int64).reshape(-1, len(_SUM_NAMES)) * len(whole)
+    for r in own:
+        if r["kind"] == 3:
+            at = from_steps(r["rows"])
+            sums[at, 2:] += np.frombuffer(r["sums"], np.int64).reshape(-1, 3)
+    return pa.table({"_id": ids, "_h": hs, "docs": np.full(len(ids), len(whole), np.int64), **{x: np.ascontiguousarray(sums[:, i]) for i, x in enumerate(_SUM_NAMES)}})
 
 
 def code_lengths(docs: DataFrame, train: Column, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -500,8 +524,8 @@ def code_lengths(docs: DataFrame, train: Column, depth: int = DEPTH, hot: int =
     sent = spark.sparkContext.broadcast((table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()))
     found = keyed(docs, id_col, text_col).mapInArrow(_scorer(sent, depth, n), _FOUND)
     both = answers.select("bucket", F.lit(0).alias("kind"), "keys", "value").unionByName(found, allowMissingColumns=True)
-    part = both.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(_joiner, _PART)
-    doc = part.groupBy("_id", "_h").agg(*(F.sum(x).alias(x) for x in ("docs", "size", "n_tokens", "known", "base", "score")))
+    part = both.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(_joiner, _FOUND).groupBy("task").applyInArrow(_gather, _PART)
+    doc = part.groupBy("_id", "_h").agg(*(F.sum(x).alias(x) for x in ("docs", *_SUM_NAMES)))
     one = lambda x: F.col(x) / F.col("docs")
     whole = lambda x: F.expr(f"{x} div docs")
     out = doc.select(
