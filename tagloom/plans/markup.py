@@ -180,40 +180,6 @@ def camel_to_dash(spark, sf_dir):
     return r.select(F.col("r_regionkey"), "name", C.camel_to_dash(F.col("name")).alias("dashed"))
 
 
-_EDGES = [("doc", 1, "a"), ("doc", 2, "b"), ("a", 1, "c"), ("c", 1, "d"), ("b", 1, "c"), ("d", 1, "a")]
-_PARAMS = [("doc", "title", "t0"), ("doc", "foo", "f0"), ("a", "foo", "fa"), ("c", "baz", "bc"), ("d", "title", "td")]
-_INC = f"""WITH RECURSIVE e(src, ord, dst) AS (VALUES {", ".join(f"('{a}', {o}, '{b}')" for a, o, b in _EDGES)}),
-p(uri, name, value) AS (VALUES {", ".join(f"('{u}', '{n}', '{v}')" for u, n, v in _PARAMS)}),
-w AS (SELECT 'doc' AS uri, '' AS key, '/doc/' AS seen, 0 AS depth UNION ALL
-  SELECT e.dst, w.key || '.' || lpad(CAST(e.ord AS VARCHAR), 4, '0'), w.seen || e.dst || '/', w.depth + 1 FROM w JOIN e ON e.src = w.uri WHERE NOT contains(w.seen, '/' || e.dst || '/'))
-"""
-
-
-def _walk(spark) -> DataFrame:
-    """Include tree with a path key; a file already on its own path is not entered again."""
-    edges = ", ".join(f"('{a}', {o}, '{b}')" for a, o, b in _EDGES)
-    return spark.sql(f"""WITH RECURSIVE w(uri, key, seen, depth) AS (SELECT 'doc', '', '/doc/', 0 UNION ALL
-      SELECT e.dst, w.key || '.' || lpad(cast(e.ord as string), 4, '0'), w.seen || e.dst || '/', w.depth + 1
-      FROM w JOIN (VALUES {edges}) AS e(src, ord, dst) ON e.src = w.uri WHERE NOT contains(w.seen, '/' || e.dst || '/'))
-      SELECT * FROM w""")
-
-
-@query(_INC + "SELECT uri, seen, row_number() OVER (ORDER BY key || '~') AS seq FROM w")
-def include_order(spark, sf_dir):
-    """Post-order: what a file includes applies before the file itself; the key's sentinel sorts after all children."""
-    return _walk(spark).select("uri", "seen", F.row_number().over(W.orderBy(F.concat("key", F.lit("~")))).cast("long").alias("seq"))
-
-
-@query(_INC + "SELECT w.uri, w.seen, p.name, arg_min(p.value, a.depth) AS value FROM w JOIN w a ON starts_with(w.seen, a.seen) JOIN p ON p.uri = a.uri GROUP BY w.uri, w.seen, p.name")
-def param_scope(spark, sf_dir):
-    """Parameters pass down and the including file's value wins where an included one repeats it, never sideways."""
-    params = spark.createDataFrame(_PARAMS, "p_uri string, name string, value string")
-    w = _walk(spark)
-    above = w.select(F.col("uri").alias("a_uri"), F.col("seen").alias("a_seen"), "depth")
-    scoped = w.select("uri", "seen").join(above, F.expr("startswith(seen, a_seen)")).join(F.broadcast(params), F.col("p_uri") == F.col("a_uri"))
-    return scoped.groupBy("uri", "seen", "name").agg(F.min_by("value", "depth").alias("value"))
-
-
 @query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
 def escape_markup(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", C.xml_escape(F.col("text")).alias("escaped"))

@@ -19,7 +19,7 @@ rows_ AS (SELECT c_custkey AS doc_id, 1 AS level, 'customer' AS local_name, -1 A
   UNION ALL SELECT doc_id, 3, 'lineitem', k_order, k_line, NULL, NULL, l_returnflag FROM lines),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k_order, k_line) AS pre,
   CASE level WHEN 1 THEN count(*) OVER (PARTITION BY doc_id) WHEN 2 THEN count(*) OVER (PARTITION BY doc_id, k_order) ELSE 1 END AS size FROM rows_),
-tree AS (SELECT *, CASE level WHEN 2 THEN 1 WHEN 3 THEN min(pre) OVER (PARTITION BY doc_id, k_order) END AS parent, pre + size - level AS post FROM numbered)
+tree AS MATERIALIZED (SELECT *, CASE level WHEN 2 THEN 1 WHEN 3 THEN min(pre) OVER (PARTITION BY doc_id, k_order) END AS parent, pre + size - level AS post FROM numbered)
 """
 
 Q: dict = {}
@@ -67,33 +67,33 @@ def plain(found: DataFrame) -> DataFrame:
 
 
 def hits(spark, sf_dir, expr: str) -> DataFrame:
-    return plain(select(node_table(spark, sf_dir), expr)).select("doc_id", "pre")
+    return plain(select(node_table(spark, sf_dir), expr, positions=False)).select("doc_id", "pre")
 
 
 @query("SELECT a.doc_id, a.pre AS ctx, n.pre FROM tree a JOIN tree n ON n.doc_id = a.doc_id AND n.parent = a.pre WHERE a.local_name = 'order'")
 def axis_child(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    return plain(select(nodes, "*", context=at(nodes, "order"))).select("doc_id", "ctx", "pre")
+    return plain(select(nodes, "*", context=at(nodes, "order"), positions=False)).select("doc_id", "ctx", "pre")
 
 
 @query("SELECT a.doc_id, a.k_order, n.pre FROM tree a JOIN tree n ON n.doc_id = a.doc_id AND n.pre > a.pre AND n.pre < a.pre + a.size WHERE a.local_name = 'order' AND a.a_status = 'F'")
 def axis_descendant(spark, sf_dir):
     """Below an order, by the interval of its subtree."""
     nodes = node_table(spark, sf_dir)
-    orders = context(select(nodes, "//order[@status='F']"))
-    found = plain(select(nodes, "descendant::*", context=orders))
+    orders = context(select(nodes, "//order[@status='F']", positions=False))
+    found = plain(select(nodes, "descendant::*", context=orders, positions=False))
     return found.join(plain(orders).select("doc_id", "ctx", F.col("xml_id").cast("long").alias("k_order")), ["doc_id", "ctx"]).select("doc_id", "k_order", "pre")
 
 
 @query("SELECT n.doc_id, n.pre AS ctx, p.pre FROM tree n JOIN tree p ON p.doc_id = n.doc_id AND p.pre = n.parent WHERE n.local_name = 'lineitem' AND n.a_flag = 'R'")
 def axis_parent(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    return plain(select(nodes, "..", context=context(select(nodes, "//lineitem[@flag='R']")))).select("doc_id", "ctx", "pre")
+    return plain(select(nodes, "..", context=context(select(nodes, "//lineitem[@flag='R']", positions=False)), positions=False)).select("doc_id", "ctx", "pre")
 
 
 @query("SELECT doc_id, pre, a_status AS value FROM tree WHERE a_status IS NOT NULL")
 def axis_attribute(spark, sf_dir):
-    found = plain(select(node_table(spark, sf_dir), "//order/@status"))
+    found = plain(select(node_table(spark, sf_dir), "//order/@status", positions=False))
     return found.select("doc_id", F.col("parent").alias("pre"), "value")
 
 
@@ -101,7 +101,7 @@ def axis_attribute(spark, sf_dir):
 def axis_sibling(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     items = at(nodes, "lineitem")
-    beside = lambda axis, name: plain(select(nodes, f"{axis}::*[1]", context=items)).select("doc_id", "ctx", F.col("pre").alias(name))
+    beside = lambda axis, name: plain(select(nodes, f"{axis}::*[1]", context=items, positions=False)).select("doc_id", "ctx", F.col("pre").alias(name))
     out = plain(items).select("doc_id", "ctx").join(beside("following-sibling", "next_pre"), ["doc_id", "ctx"], "left").join(beside("preceding-sibling", "prev_pre"), ["doc_id", "ctx"], "left")
     return out.select("doc_id", F.col("ctx").alias("pre"), "next_pre", "prev_pre")
 
@@ -109,7 +109,7 @@ def axis_sibling(spark, sf_dir):
 @query("SELECT n.doc_id, n.pre, CAST(count(*) AS BIGINT) AS ancestors FROM tree n JOIN tree a ON a.doc_id = n.doc_id AND a.pre < n.pre AND n.pre < a.pre + a.size GROUP BY n.doc_id, n.pre")
 def axis_ancestor(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    found = plain(select(nodes, "ancestor::*", context=at(nodes)))
+    found = plain(select(nodes, "ancestor::*", context=at(nodes), positions=False))
     return found.groupBy("doc_id", F.col("ctx").alias("pre")).agg(F.count("*").alias("ancestors"))
 
 
@@ -147,7 +147,7 @@ def union_distinct(spark, sf_dir):
 def id_references(spark, sf_dir):
     """id() of every line item's reference to its order, looked up among all identifiers of its tree."""
     nodes = node_table(spark, sf_dir)
-    found = plain(select(nodes, "id(@order)", context=at(nodes, "lineitem")))
+    found = plain(select(nodes, "id(@order)", context=at(nodes, "lineitem"), positions=False))
     return found.select("doc_id", F.col("ctx").alias("pre"), F.col("xml_id").cast("long").alias("k_order"), F.col("pre").alias("target"))
 
 

@@ -89,7 +89,17 @@ def node_rows(doc: Node) -> list[tuple]:
     return [tuple(r) for r in out]
 
 
-def _shredder(fail_fast: bool):
+#: A document that does not parse, as a row among the nodes: its message is the value.
+ERROR = "ERR"
+
+
+def _error_row(doc_id: int, message: str) -> tuple:
+    row = dict.fromkeys(_COLUMNS)
+    row |= {"doc_id": doc_id, "kind": ERROR, "value": message}
+    return tuple(row.values())
+
+
+def _shredder(fail_fast: bool, errors: bool = False):
     def run(batches):
         rows: list[tuple] = []
         for batch in batches:
@@ -98,9 +108,11 @@ def _shredder(fail_fast: bool):
                     continue
                 try:
                     tree = parse(content, kind or "xml")
-                except ParseError:
+                except ParseError as e:
                     if fail_fast:
                         raise
+                    if errors:
+                        rows.append(_error_row(doc_id, str(e)))
                     continue
                 rows.extend((doc_id, *r) for r in node_rows(tree))
                 if len(rows) >= BATCH:
@@ -121,6 +133,19 @@ def shred(documents: DataFrame, fail_fast: bool = False) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_type", "content").mapInArrow(_shredder(fail_fast), NODES)
 
 
+def shred_all(documents: DataFrame) -> DataFrame:
+    """Node rows and error rows (``kind`` :data:`ERROR`) of one parse; written once, :func:`nodes_of` and :func:`errors_of` part them, and declarations are a column."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_type", "content").mapInArrow(_shredder(False, True), NODES)
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind") != ERROR)
+
+
+def errors_of(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind") == ERROR).select("doc_id", F.col("value").alias("message"))
+
+
 def _errors(batches):
     for batch in batches:
         out = []

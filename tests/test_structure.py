@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.xpath_tree import Context, evaluate
 from tagloom.operators import flow, includes, path_summary, rule_plan, rule_tables, staircase, subtrees
 from tagloom.operators.xpath_plan import NODE, NotLowered, declarations, in_scope, select
-from tagloom.sources.shred import shred
+from tagloom.sources.shred import errors_of, nodes_of, shred, shred_all
 from tagloom.sources.stored import forget, once, store
 from tagloom.sources.tree import COM, DOC, ELT, PI, TXT, escape, parse, parse_html, parse_xml, to_html
 
@@ -265,3 +265,12 @@ def test_tables_are_written_once(spark):
     assert once(spark, "t", make).count() == once(spark, "t", make).count() == 5 and len(made) == 1
     forget(spark, "t")
     assert once(spark, "t", make).count() == 5 and len(made) == 2
+
+
+def test_one_parse_gives_nodes_and_errors(spark):
+    docs = spark.createDataFrame([(1, "xml", "<a>x</a>"), (2, "xml", "<a>"), (3, "xml", None), (4, "html", "<p")], "doc_id long, doc_type string, content string")
+    rows = store(shred_all(docs))
+    assert [r.doc_id for r in errors_of(rows).collect()] == [2] and errors_of(rows).first().message
+    assert sorted({r.doc_id for r in nodes_of(rows).collect()}) == [1, 4]
+    plan = shred_all(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
