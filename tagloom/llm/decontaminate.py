@@ -161,6 +161,7 @@ def _counter(index):
 
 def _prober(index):
     def run(batches):
+        tk.release()
         ix = index.value
         table = tk.alnum_table()
         for batch in batches:

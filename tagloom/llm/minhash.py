@@ -74,6 +74,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndar
 
 def _signer(size: int):
     def run(batches):
+        tk.release()
         for batch in batches:
             for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(2))):
                 h, ptr = shingle_sets(data, offs, size)
@@ -104,6 +105,7 @@ def _sender(size: int):
     """Sets of documents, one row for each place where they are compared."""
 
     def run(batches):
+        tk.release()
         for batch in batches:
             goals = batch.column(2)
             for lo, hi, data, offs in tk.chunks(*tk.string_buffer(batch.column(1))):

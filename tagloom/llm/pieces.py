@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens as tk
 from .rows import keyed, plain_id
 
 MARK = "▁"
@@ -221,6 +222,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _coder(sent, model_file: str):
     def run(batches):
+        tk.release()
         enc = _encoders.get(model_file)
         if enc is None:
             _encoders.clear()  # a worker keeps the tables of one model

@@ -6,6 +6,8 @@ megabytes at a time, so memory follows the chunk and not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,15 @@ BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give back what earlier tasks of this worker have freed; a worker outlives its tasks and would keep their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def _power_table(n: int, base: np.uint64) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
