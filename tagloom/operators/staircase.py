@@ -145,16 +145,16 @@ def beyond(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
     return nodes.where("kind <> 'ATT'").join(edge, "doc_id").where(side).drop("edge")
 
 
-def running(rows: DataFrame, sums: dict[str, str], at: str = "_at") -> DataFrame:
-    """``rows`` with running sums over the document up to and with each row, by ``at``: column to be summed to name of its sum.
+def running(rows: DataFrame, sums: dict[str, str], at: str = "_at", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``rows`` with running sums over the document (or what ``by`` names) up to and with each row, by ``at``: column to be summed to name of its sum.
 
     Sums within ranges first, then the ranges' totals, so no document is one task.
     """
     rows = rows.withColumn("_range", F.floor(F.col(at) / RANGE))
-    totals = rows.groupBy("doc_id", "_range").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums)])
-    earlier = W.partitionBy("doc_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select("doc_id", "_range", *[F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(sums))])
-    own = W.partitionBy("doc_id", "_range").orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inner = rows.select("*", *[F.sum(c).over(own).alias(f"_s{k}") for k, c in enumerate(sums)]).join(before, ["doc_id", "_range"])
+    totals = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sums)])
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(sums))])
+    own = W.partitionBy(*by, "_range").orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = rows.select("*", *[F.sum(c).over(own).alias(f"_s{k}") for k, c in enumerate(sums)]).join(before, [*by, "_range"])
     out = inner.withColumns({name: F.col(f"_s{k}") + F.col(f"_b{k}") for k, name in enumerate(sums.values())})
     return out.drop("_range", *[f"_{x}{k}" for x in "sb" for k in range(len(sums))])
