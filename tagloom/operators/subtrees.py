@@ -63,13 +63,19 @@ def equal_subtrees(nodes: DataFrame) -> DataFrame:
     return found.where("copies > 1").select("meet", "verify", "x.local_name", "x.size", "copies", F.col("x.doc_id").alias("first_doc"), F.col("x.pre").alias("first_pre"))
 
 
-def _escaped(c: Column, attribute: bool = False) -> Column:
+def escaped(c: Column, attribute: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     for raw, shown in [("\r", "&#13;"), *([('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;")] if attribute else [])]:
         out = F.replace(out, F.lit(raw), F.lit(shown))
     return out
 
 
+def joined(events: DataFrame) -> DataFrame:
+    """(doc_id, markup) from events (doc_id, e: place, turn, order, text): ranges of a document first, then the document."""
+    ranges = events.groupBy("doc_id", F.floor(F.col("e.place") / RANGE).alias("range")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "").alias("piece"))
+    return ranges.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "piece"))), lambda r: r["piece"]), "").alias("markup"))
+
+
 def serialized(nodes: DataFrame) -> DataFrame:
     """(doc_id, markup): every document's markup from its node rows, empty elements with both tags.
 
@@ -78,17 +84,16 @@ def serialized(nodes: DataFrame) -> DataFrame:
     """
     value = F.coalesce("value", F.lit(""))
     decls = F.array_sort(F.map_entries(F.coalesce("decls", F.expr("cast(map() as map<string,string>)")))) if "decls" in nodes.columns else F.array().cast("array<struct<key:string,value:string>>")
-    spaces = F.array_join(F.transform(decls, lambda d: F.concat(F.lit(" xmlns"), F.when(d["key"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), d["key"])), F.lit('="'), _escaped(d["value"], True), F.lit('"'))), "")
+    spaces = F.array_join(F.transform(decls, lambda d: F.concat(F.lit(" xmlns"), F.when(d["key"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), d["key"])), F.lit('="'), escaped(d["value"], True), F.lit('"'))), "")
     at = lambda place, turn, order, text: F.struct(place.cast("long").alias("place"), F.lit(turn).alias("turn"), order.cast("long").alias("order"), text.alias("text"))
     pre, zero = F.col("pre"), F.lit(0)
     element = F.array(at(pre, 0, zero, F.concat(F.lit("<"), "qname", spaces)), at(pre, 2, zero, F.lit(">")), at(pre + F.col("size") - 1, 3, -F.col("level"), F.concat(F.lit("</"), "qname", F.lit(">"))))
     pi = F.concat(F.lit("<?"), "qname", F.when(value != "", F.concat(F.lit(" "), value)).otherwise(F.lit("")), F.lit("?>"))
     one = (
-        F.when(F.col("kind") == "ATT", F.array(at(F.col("parent"), 1, F.col("sib_ord"), F.concat(F.lit(" "), "qname", F.lit('="'), _escaped(value, True), F.lit('"')))))
-        .when(F.col("kind") == "TXT", F.array(at(pre, 0, zero, _escaped(value))))
+        F.when(F.col("kind") == "ATT", F.array(at(F.col("parent"), 1, F.col("sib_ord"), F.concat(F.lit(" "), "qname", F.lit('="'), escaped(value, True), F.lit('"')))))
+        .when(F.col("kind") == "TXT", F.array(at(pre, 0, zero, escaped(value))))
         .when(F.col("kind") == "COM", F.array(at(pre, 0, zero, F.concat(F.lit("<!--"), value, F.lit("-->")))))
         .when(F.col("kind") == "PI", F.array(at(pre, 0, zero, pi)))
     )
     events = nodes.where("kind <> 'DOC'").select("doc_id", F.explode(F.when(F.col("kind") == "ELT", element).otherwise(one)).alias("e"))
-    ranges = events.groupBy("doc_id", F.floor(F.col("e.place") / RANGE).alias("range")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "").alias("piece"))
-    return ranges.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "piece"))), lambda r: r["piece"]), "").alias("markup"))
+    return joined(events)

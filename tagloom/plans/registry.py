@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import markup, structure, trees
+from . import edited, markup, structure, trees
 
-QUERIES: dict = {**markup.Q, **trees.Q, **structure.Q}
-ORACLES: dict[str, str] = {**markup.O, **trees.O, **structure.O}
+QUERIES: dict = {**markup.Q, **trees.Q, **structure.Q, **edited.Q}
+ORACLES: dict[str, str] = {**markup.O, **trees.O, **structure.O, **edited.O}
