@@ -14,7 +14,6 @@ tag set has no body, and no row.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -23,8 +22,8 @@ from ..sources.tree import ITS, XML
 from . import blocks, edits, subtrees
 from .staircase import interval_join, subtree
 
-#: The class and the flow of an element that stands for an attribute.
-ATT_CLASS = "_ITS_ATT"
+#: Class, flow and identifiers of elements that stand for attributes.
+ATT_CLASS, ID_PREFIX = "_ITS_ATT", "ITS_"
 WITHIN = "no"
 
 
@@ -48,15 +47,19 @@ def attribute_forms(nodes: DataFrame) -> DataFrame:
 def bodies(nodes: DataFrame) -> DataFrame:
     """Node rows of the HTML bodies, rooted in the documents' nodes; ``old_pre`` is the number in ``nodes``."""
     atts = store(attribute_forms(nodes))
-    names = blocks.block_names(nodes.join(_standoff(nodes), ["doc_id", "pre"], "left_anti"), atts.where("override").select("doc_id", F.col("parent").alias("pre")), nodes.where("kind = 'ELT'").where(_is_span()))
+    lost = store(_standoff(nodes))
+    names = blocks.block_names(nodes.join(lost, ["doc_id", "pre"], "left_anti"), atts.where("override").select("doc_id", F.col("parent").alias("pre")), nodes.where("kind = 'ELT'").where(_is_span()))
     none = F.lit(None)
     tail = [none.cast("string").alias("place"), none.cast("long").alias("target"), F.lit(0).cast("long").alias("seq"), none.cast("string").alias("qname"), none.cast("string").alias("text"), none.cast("map<string,string>").alias("attrs")]
     gone = nodes.where((F.col("kind") == "PI") | ((F.col("kind") == "ELT") & (F.col("ns_uri") == ITS) & ~_is_span())).select("doc_id", "pre").unionByName(atts.select("doc_id", "pre"))
     gone = gone.select("doc_id", F.lit("delete").alias("op"), "pre", *tail)
-    # the last name comes first
-    turn = F.row_number().over(W.partitionBy("doc_id", "parent").orderBy(F.desc("qname"), F.desc("pre"))).cast("long")
-    form = F.create_map(F.lit("title"), F.col("qname"), F.lit("class"), F.lit(ATT_CLASS), F.lit("its-within-text"), F.lit(WITHIN))
-    made = atts.where("form = 'element'").select("doc_id", F.lit("insert").alias("op"), none.cast("long").alias("pre"), F.lit("first").alias("place"), F.col("parent").alias("target"), turn.alias("seq"), F.lit("span").alias("qname"), F.col("value").alias("text"), form.alias("attrs"))
+    # identifiers count upwards from the leaves, by name in an element; in the element the last name comes first
+    asked = atts.where("form = 'element'").join(lost.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_anti")
+    asked = asked.join(nodes.where("kind = 'ELT'").select("doc_id", F.col("pre").alias("parent"), "post"), ["doc_id", "parent"])
+    asked = asked.select("doc_id", "parent", "qname", "value", "post", F.col("qname").alias("by_name"), F.col("pre").alias("by_pre"), F.lit(1).cast("long").alias("one"))
+    asked = edits.ranked(asked, ["post", "by_name", "by_pre"], {"one": "n"})
+    form = F.create_map(F.lit("title"), F.col("qname"), F.lit("class"), F.lit(ATT_CLASS), F.lit("its-within-text"), F.lit(WITHIN), F.lit("id"), F.concat(F.lit(ID_PREFIX), F.col("n").cast("string")))
+    made = asked.select("doc_id", F.lit("insert").alias("op"), none.cast("long").alias("pre"), F.lit("first").alias("place"), F.col("parent").alias("target"), (-F.col("n")).alias("seq"), F.lit("span").alias("qname"), F.col("value").alias("text"), form.alias("attrs"))
     rows = edits.edited(nodes, edits.all_of([gone, made]))
     # attributes that stay come from the old element in their order, of equal names the last value, then its name as title
     held = atts.where("form = 'keep'").groupBy("doc_id", F.col("parent").alias("old_pre"), "name").agg(F.min("pre").alias("at"), F.max_by("text", "pre").alias("text"))
@@ -64,7 +67,7 @@ def bodies(nodes: DataFrame) -> DataFrame:
     rows = rows.join(names.select("doc_id", F.col("pre").alias("old_pre"), F.col("name").alias("becomes")), ["doc_id", "old_pre"], "left").join(held, ["doc_id", "old_pre"], "left")
     pair = lambda n, v: F.struct(n.alias("name"), v.alias("text"))
     stays = F.coalesce(F.transform("held", lambda h: F.struct(h["name"].alias("name"), h["text"].alias("text"))), F.array().cast("array<struct<name:string,text:string>>"))
-    new = F.transform(F.array(F.lit("title"), F.lit("class"), F.lit("its-within-text")), lambda n: pair(n, F.element_at("attrs", n)))
+    new = F.transform(F.array(F.lit("title"), F.lit("class"), F.lit("its-within-text"), F.lit("id")), lambda n: pair(n, F.element_at("attrs", n)))
     own = F.when(F.col("kind") == "ELT", F.when(F.col("becomes").isNotNull(), F.concat(stays, F.array(pair(F.lit("title"), F.col("qname"))))).otherwise(new))
     rows = rows.where("kind <> 'ATT'").withColumn("own", own)
     return rows.withColumns({"qname": F.coalesce("becomes", "qname"), "local_name": F.coalesce("becomes", "local_name"), "ns_uri": F.lit("")}).drop("becomes", "held", "decls", "prefix", "attrs")

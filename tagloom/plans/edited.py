@@ -119,8 +119,8 @@ _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_ESC.format("coalesce(lang, '')")} AS lang, {_ESC.format("coalesce(source, '')")} AS source, string_split({_ESC.format("regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")}, chr(10)) AS ls FROM documents)
-SELECT doc_id, '<div lang="' || lang || '" title="doc"><span title="source" class="_ITS_ATT" its-within-text="no">' || source || '</span><!--c-->' || chr(10) || array_to_string(list_transform(range(1, len(ls) + 1), lambda k: CASE (k - 1) % 3
-  WHEN 0 THEN '<div title="para"><span title="n" class="_ITS_ATT" its-within-text="no">' || (k - 1) || '</span>' || ls[k] || '</div>'
+SELECT doc_id, '<div lang="' || lang || '" title="doc"><span title="source" class="_ITS_ATT" its-within-text="no" id="ITS_' || ((len(ls) - 1) // 3 + 2) || '">' || source || '</span><!--c-->' || chr(10) || array_to_string(list_transform(range(1, len(ls) + 1), lambda k: CASE (k - 1) % 3
+  WHEN 0 THEN '<div title="para"><span title="n" class="_ITS_ATT" its-within-text="no" id="ITS_' || ((k - 1) // 3 + 1) || '">' || (k - 1) || '</span>' || ls[k] || '</div>'
   WHEN 1 THEN '<span its-loc-note-type="alert" its-term="yes" title="its:span">' || ls[k] || '</span>'
   ELSE '<bdo dir="rtl" translate="no" title="para">' || chr(10) || '<span id="q' || (k - 1) || '" title="q">' || ls[k] || '</span>' || chr(10) || '</bdo>' END), chr(10)) || chr(10) || '</div>' AS markup FROM d""")
 def html_bodies(spark, sf_dir):
