@@ -62,12 +62,12 @@ class _ToHtml:
         boxes = containers(self.doc, "xml", uri, files, notes=self.notes)
         self.matches = match_all(boxes, self.doc, False, self.notes, frozenset(["preserveSpace"]))
         for m in self.matches:
-            self.log("match: " + self._told(m))
+            self.log("matched " + self._told(m))
 
     @staticmethod
     def _told(m: Match) -> str:
         pointers = "".join(f"; {n}={shown(v) if isinstance(v, Node) else v}" for n, v in sorted(m.pointers.items()))
-        return f"rule=<{m.rule.element.name}>; selector={shown(m.node)}{pointers}"
+        return f"<{m.rule.element.name}> on {shown(m.node)}{pointers}"
 
     def synthesize(self, old: Node, host: Node, value: str, title: str, kind: str, first: bool) -> Node:
         span = element("span", XHTML, {"title": title, "class": kind, "its-within-text": "no"}, value)
@@ -99,7 +99,7 @@ class _ToHtml:
             self.ids += 1
             own = f"{ID_PREFIX}{self.ids}"
             el.set("id", own)
-            self.log(f"Setting id of <{el.name}> to {own}")
+            self.log(f"<{el.name}> is now known as {own}")
         return own
 
     def expression(self, target: Node | str | float | bool) -> str:
@@ -178,7 +178,7 @@ class _ToHtml:
                 out.set(name, self.expression(m.pointers[name]))
             else:
                 out.attrs = [a for a in out.attrs if a.name != name]
-        self.log(f"Creating new rule <{out.name}> to match [{self._told(m)}]")
+        self.log(f"<{out.name}> written for what {self._told(m)} found")
         return out
 
     def copy_rest(self, old: Node, host: Node) -> Node | None:
@@ -639,14 +639,14 @@ def reduce_html(text: str, uri: str = "", files: Mapping[str, str] | None = None
     for el in list(doc.walk()):
         link = el.kind == ELT and el.local == "link" and el.att("rel") == "its-rules"
         if link:
-            notes.add("debug", "reduce", f"removing link to {el.att('href')}")
+            notes.add("debug", "reduce", f"link {el.att('href')} left out")
         if link or id(el) in own:
             el.parent.children = [c for c in el.parent.children if c is not el]
     head = _root(doc).elements("head")
     head = head[0] if head else _root(doc).add(element("head", XHTML), 0)
     for b in boxes:
         head.add(_script(b))
-        notes.add("debug", "reduce", f"Rewriting rules container ({b.element.att('id', XML) or ''}) in <head>")
+        notes.add("debug", "reduce", f"rules {b.element.att('id', XML) or 'without an id'} now stand in the head")
     return to_html(doc), notes
 
 

@@ -33,7 +33,7 @@ def match_rule(rule: Rule, rule_seq: int, doc: Node, is_html: bool, notes: Diagn
     try:
         found = evaluate(rule.selector, root, 1, 1, ctx)
     except XPathError as e:
-        notes.warn("bad_selector", f"Failed evaluating XPath {rule.selector}: {e}")
+        notes.warn("bad_selector", f"selector {rule.selector}: {e}")
         return []
     if not isinstance(found, list):
         notes.warn("bad_selector", f"{rule.selector} selects no nodes")
@@ -48,7 +48,7 @@ def match_rule(rule: Rule, rule_seq: int, doc: Node, is_html: bool, notes: Diagn
             try:
                 got = evaluate(expr, node, position, len(found), ctx)
             except XPathError as e:
-                notes.warn("bad_pointer", f"Failed evaluating XPath {expr}: {e}")
+                notes.warn("bad_pointer", f"pointer {name} ({expr}): {e}")
                 continue
             if isinstance(got, list):
                 if len(got) != 1:
