@@ -93,6 +93,8 @@ def _judged(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     )
     rows = roots.withColumn("_late", late).unionByName(placed.where("op is null or op = 'insert' or own_size is null").withColumn("_late", F.lit(None).cast("string"))).withColumn("reason", F.coalesce(reason, F.col("_late"))).drop("_late")
     rows = store(rows)
+    if rows.where("reason is null and op = 'move'").isEmpty():
+        return rows
     taken = rows.where("reason is null and op <> 'insert'").select("doc_id", F.col("pre").alias("_lo"), (F.col("pre") + F.col("own_size")).alias("_hi"), F.lit("edit").alias("key"), F.col("edit").alias("value"))
     asked = rows.where("reason is null and op = 'move'").select("doc_id", F.col("host").alias("_at"), "edit")
     lost = innermost(taken, asked).select("doc_id", "edit", F.lit("the new place is moved or deleted").alias("why"))
@@ -112,8 +114,10 @@ def edited(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """
     valid = store(_judged(nodes, edits).where("reason is null"))
     roots = valid.where("op <> 'insert'")
+    # nothing moves or goes: no node needs the sweep
+    points = nodes.limit(0) if roots.isEmpty() else nodes
     spans = roots.select("doc_id", F.col("pre").alias("_lo"), (F.col("pre") + F.col("own_size")).alias("_hi"), F.lit("edit").alias("key"), F.col("edit").alias("value"))
-    inside = innermost(spans, nodes.select("doc_id", "pre", F.col("pre").alias("_at"))).select("doc_id", "pre", F.col("value").alias("root"))
+    inside = innermost(spans, points.select("doc_id", "pre", F.col("pre").alias("_at"))).select("doc_id", "pre", F.col("value").alias("root"))
     told = roots.select("doc_id", F.col("edit").alias("root"), F.col("op").alias("r_op"), F.col("gap").alias("r_gap"), F.col("host").alias("r_host"), F.col("host_level").alias("r_level"), F.col("own_level").alias("r_own"), F.col("pre").alias("r_pre"), F.col("seq").alias("r_seq"))
     inside = store(inside.join(told, ["doc_id", "root"]))
 

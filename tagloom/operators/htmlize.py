@@ -2,10 +2,10 @@
 
 What the conversion decides of an element or attribute is an expression or a
 join: names from :mod:`blocks`, attributes by their namespace, and whatever
-HTML has no place for is an edit of the tree: other attributes become elements
-in front of the content, elements of the tag set other than its span go with
-all that is below them, and so do instructions. :mod:`edits` numbers the new
-trees and :mod:`subtrees` writes them, so no task holds a document's tree.
+HTML has no place for goes: elements of the tag set other than its span with
+all that is below them, and instructions. Other attributes become elements in
+front of the content, as inserts of :mod:`edits`. That numbers the new trees,
+and :mod:`subtrees` writes them, so no task holds a document's tree.
 
 Rules are not carried over here; a document whose root is an element of the
 tag set has no body, and no row.
@@ -50,9 +50,6 @@ def bodies(nodes: DataFrame) -> DataFrame:
     lost = store(_standoff(nodes))
     names = blocks.block_names(nodes.join(lost, ["doc_id", "pre"], "left_anti"), atts.where("override").select("doc_id", F.col("parent").alias("pre")), nodes.where("kind = 'ELT'").where(_is_span()))
     none = F.lit(None)
-    tail = [none.cast("string").alias("place"), none.cast("long").alias("target"), F.lit(0).cast("long").alias("seq"), none.cast("string").alias("qname"), none.cast("string").alias("text"), none.cast("map<string,string>").alias("attrs")]
-    gone = nodes.where((F.col("kind") == "PI") | ((F.col("kind") == "ELT") & (F.col("ns_uri") == ITS) & ~_is_span())).select("doc_id", "pre").unionByName(atts.select("doc_id", "pre"))
-    gone = gone.select("doc_id", F.lit("delete").alias("op"), "pre", *tail)
     # identifiers count upwards from the leaves, by name in an element; in the element the last name comes first
     asked = atts.where("form = 'element'").join(lost.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_anti")
     asked = asked.join(nodes.where("kind = 'ELT'").select("doc_id", F.col("pre").alias("parent"), "post"), ["doc_id", "parent"])
@@ -60,7 +57,9 @@ def bodies(nodes: DataFrame) -> DataFrame:
     asked = edits.ranked(asked, ["post", "by_name", "by_pre"], {"one": "n"})
     form = F.create_map(F.lit("title"), F.col("qname"), F.lit("class"), F.lit(ATT_CLASS), F.lit("its-within-text"), F.lit(WITHIN), F.lit("id"), F.concat(F.lit(ID_PREFIX), F.col("n").cast("string")))
     made = asked.select("doc_id", F.lit("insert").alias("op"), none.cast("long").alias("pre"), F.lit("first").alias("place"), F.col("parent").alias("target"), (-F.col("n")).alias("seq"), F.lit("span").alias("qname"), F.col("value").alias("text"), form.alias("attrs"))
-    rows = edits.edited(nodes, edits.all_of([gone, made]))
+    # rows without what goes: the numbers left are as good as dense ones for the edits
+    rest = nodes.where("kind not in ('ATT', 'PI')").join(lost, ["doc_id", "pre"], "left_anti").drop("attrs", "decls", "labels", "path")
+    rows = edits.edited(rest.withColumn("attrs", none.cast("map<string,string>")), made)
     # attributes that stay come from the old element in their order, of equal names the last value, then its name as title
     held = atts.where("form = 'keep'").groupBy("doc_id", F.col("parent").alias("old_pre"), "name").agg(F.min("pre").alias("at"), F.max_by("text", "pre").alias("text"))
     held = held.groupBy("doc_id", "old_pre").agg(F.array_sort(F.collect_list(F.struct("at", "name", "text"))).alias("held"))

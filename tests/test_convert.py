@@ -47,7 +47,7 @@ def test_rules_are_rewritten_for_each_match():
     assert own == ["selector=\"id('ITS_1')\" domainPointer=\"id('ITS_2')\"", "selector=\"id('ITS_3')\" domainPointer=\"id('ITS_4')\""]
     assert "preserveSpace" not in html
     assert [k for k, _ in rules(html)][:4] == ["localeFilter", "dir", "translate", "withinText"]
-    assert any(m.startswith("match: ") for _, _, m in notes.rows)
+    assert any(m.startswith("matched ") for _, _, m in notes.rows)
 
 
 def test_instructions_namespaces_comments_and_literals():
