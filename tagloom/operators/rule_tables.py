@@ -112,3 +112,8 @@ def last_wins(matches: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     return matches.select("doc_id", "rule_seq", "pre").join(sets, ["doc_id", "rule_seq"]).groupBy("doc_id", "pre").agg(F.max_by("value", "rule_seq").alias("value"))
 
 
+
+def all_values(matches: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, pre, name, value) of all data category values: for each name the last rule that matches the node and sets it."""
+    sets = rules.select("doc_id", "rule_seq", F.explode("values").alias("name", "value"))
+    return matches.select("doc_id", "rule_seq", "pre").join(sets, ["doc_id", "rule_seq"]).groupBy("doc_id", "pre", "name").agg(F.max_by("value", "rule_seq").alias("value"))

@@ -1,4 +1,4 @@
-"""Queries over trees that change: unique paths, edits by tables, names of blocks, documents as HTML bodies."""
+"""Queries over trees that change: unique paths, edits by tables, names of blocks, documents as HTML bodies and as XLIFF."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import ancestry, blocks, edits, htmlize
+from ..operators import ancestry, blocks, edits, htmlize, rule_tables, xliffize
 from ..operators.xpath_plan import select
 from ..shipping import ship
 from ..sources.relational import STRIDE
 from ..sources.shred import shred
 from ..sources.stored import once
+from ..sources.tree import ITS, ITSX, XLIFF
 from .markup import read
 from .trees import TREE, node_table, plain
 
@@ -128,3 +129,45 @@ def html_bodies(spark, sf_dir):
     ship(spark)
     nodes = once(spark, f"marked up {sf_dir}", lambda: shred(_marked_up(spark, sf_dir)))
     return htmlize.html_markup(htmlize.bodies(nodes))
+
+
+#: Lines of a section.
+SECTION = 8
+
+
+def _sectioned(spark, sf_dir) -> DataFrame:
+    """Documents as XML with rules of their own: a section for every eight lines, paragraphs plain, with a note and inline elements, and terms in turn."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B-\\x1F]", "")
+    note = F.replace(C.xml_escape(F.coalesce("source", F.lit(""))), F.lit("'"), F.lit("&apos;"))
+
+    def line(x, i):
+        t, n = C.xml_escape(x), i.cast("string")
+        one = F.concat(F.lit("<para n='"), n, F.lit("'>"), t, F.lit("</para>"))
+        two = F.concat(F.lit("<para its:locNoteType='alert' its:locNote='"), note, F.lit("' xml:id='p"), n, F.lit("'>"), t, F.lit("<b k='1'>x</b><u/></para>"))
+        three = F.concat(F.lit("<para its:term='yes' its:allowedCharacters='a'><q>"), t, F.lit("</q>;</para>"))
+        return F.concat(F.when((i > 0) & (i % SECTION == 0), "</sec><sec>").otherwise(""), F.when(i % 3 == 0, one).when(i % 3 == 1, two).otherwise(three))
+
+    top = f"<doc xmlns:its='{ITS}'><its:rules version='2.0'><its:translateRule selector='//para' translate='yes'/><its:translateRule selector=\"//para[@n='3']\" translate='no'/></its:rules><sec>"
+    xml = F.concat(F.lit(top), F.array_join(F.transform(F.split(clean, "\n"), line), "\n"), F.lit("</sec></doc>"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.lit("xml").alias("doc_type"), xml.alias("content"))
+
+
+_INK = "[^\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_ESC.format("coalesce(source, '')")} AS note, string_split({_ESC.format("regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F]', '', 'g')")}, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, note, k - 1 AS i, ls[k] AS t FROM d, unnest(range(1, len(ls) + 1)) AS x(k)),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, dense_rank() OVER (PARTITION BY doc_id ORDER BY i // {SECTION}) AS g, row_number() OVER (PARTITION BY doc_id, i // {SECTION} ORDER BY i) = 1 AS opens,
+  CASE i % 3 WHEN 0 THEN t WHEN 1 THEN t || '<mrk mtype="x-its"><ph id="1">&lt;b&gt;x&lt;/b&gt;</ph></mrk><ph id="2">&lt;u/&gt;</ph>' ELSE '<mrk mtype="term"><ph id="1">' || CASE WHEN t = '' THEN '&lt;q/&gt;' ELSE '&lt;q&gt;' || {_ESC.format("t")} || '&lt;/q&gt;' END || '</ph>;</mrk>' END AS c,
+  CASE i % 3 WHEN 2 THEN ' its:allowedCharacters="a"' ELSE '' END AS a FROM p WHERE i % 3 <> 0 OR regexp_matches(t, '{_INK}')),
+m AS (SELECT doc_id, count(*) AS n_units, max(g) AS n_groups, string_agg(CASE WHEN opens THEN CASE WHEN g > 1 THEN '</group>' ELSE '' END || '<group id="' || g || '">' ELSE '' END || '<trans-unit id="' || n || '" translate="' || CASE WHEN i = 3 THEN 'no' ELSE 'yes' END || '"' || CASE i % 3 WHEN 1 THEN ' resname="p' || i || '"' ELSE '' END
+  || '><source' || a || '>' || c || '</source><target state="new"' || a || '>' || c || '</target>' || CASE WHEN i % 3 <> 1 THEN '' WHEN note = '' THEN '<note priority="1"/>' ELSE '<note priority="1">' || note || '</note>' END || '</trans-unit>', '' ORDER BY i) AS b FROM u GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_groups, 0) AS n_groups, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<xliff xmlns="{XLIFF}" xmlns:its="{ITS}" xmlns:itsxlf="{ITSX}" its:version="2.0"><file datatype="plaintext" original="STRING" source-language="en">'
+  || coalesce('<body>' || b || '</group></body>', '<body/>') || '</file></xliff>' AS xliff FROM d LEFT JOIN m USING (doc_id)""")
+def xliff_documents(spark, sf_dir):
+    """Every document as XLIFF by sections and paragraphs, metadata from its own rules and markup, by joins over node rows."""
+    ship(spark)
+    nodes = once(spark, f"sectioned {sf_dir}", lambda: shred(_sectioned(spark, sf_dir)))
+    rules = rule_tables.rule_table(nodes)
+    said = rule_tables.all_values(rule_tables.match_tables(nodes, rules), rules)
+    return xliffize.documents(nodes, ["para"], ["sec"], said)
