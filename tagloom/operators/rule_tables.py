@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.xpath_syntax import XPathError
 
+from ..sources.shred import OF, STEP
+from ..sources.stored import store
 from ..sources.tree import ITS
 from .path_summary import _ARROW_TESTS, TESTS, holds, numbered, patterns
-from .xpath_plan import NODE, NotLowered, declarations, in_scope, string_values
+from .xpath_plan import NODE, NotLowered, in_scope, string_values
 
 _POINTER = "((k like '%Pointer' and k <> 'Pointer') or (kind = 'idValue' and k = 'idValue'))"
 
@@ -43,14 +45,16 @@ def rule_table(nodes: DataFrame) -> DataFrame:
     """(doc_id, rule_seq, rule_type, selector, pointers, values, params, prefixes): every document's own rules in order.
 
     ``prefixes`` is the JSON text of the namespaces in scope, prefixes
-    ascending; rules without a selector have a null one.
+    ascending; rules without a selector have a null one. Label paths tell what
+    is inside containers, so all but the declarations comes from those rows.
     """
+    decls = nodes.where("decls is not null").select("doc_id", "pre", "size", F.explode("decls").alias("prefix", "uri"))
+    nodes = store(nodes.where(F.col("labels").contains(f"{STEP}rules{OF}{ITS}")).select("doc_id", "pre", "size", "parent", "sib_ord", "kind", "local_name", "ns_uri", "value", "attrs"))
     boxes = containers(nodes)
     rules = nodes.where((F.col("kind") == "ELT") & (F.col("ns_uri") == ITS) & F.col("local_name").endswith("Rule")).select("doc_id", "pre", "size", F.col("parent").alias("box_pre"), F.expr("substring(local_name, 1, length(local_name) - 4)").alias("rule_type"), "attrs")
     rules = rules.join(boxes.select("doc_id", "box_pre", "params"), ["doc_id", "box_pre"])
     marks = rules.select("doc_id", "pre")
-    scope = in_scope(nodes, declarations(nodes)).join(marks, ["doc_id", "pre"], "left_semi")
-    scope = scope.groupBy("doc_id", "pre").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prefix", "uri"))))).alias("prefixes"))
+    scope = in_scope(nodes, decls, marks).groupBy("doc_id", "pre").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prefix", "uri"))))).alias("prefixes"))
     inner = nodes.where("kind = 'ELT'").select("doc_id", F.col("pre").alias("c_pre"), "size", F.col("parent").alias("pre"), "local_name").join(marks, ["doc_id", "pre"], "left_semi")
     texts = string_values(nodes, inner.select("doc_id", F.col("c_pre").alias("pre"), "size")).withColumnRenamed("pre", "c_pre")
     inner = inner.join(texts, ["doc_id", "c_pre"]).groupBy("doc_id", "pre", "local_name").agg(F.max_by("text", "c_pre").alias("text"))
@@ -60,7 +64,7 @@ def rule_table(nodes: DataFrame) -> DataFrame:
     none = F.expr("cast(map() as map<string,string>)")
     values = F.map_concat(F.map_filter(F.coalesce("inner", none), lambda k, v: ~F.map_contains_key(F.col("own"), k)), "own")
     seq = (F.row_number().over(W.partitionBy("doc_id").orderBy("pre")) - 1).cast("long")
-    return out.select("doc_id", seq.alias("rule_seq"), F.col("kind").alias("rule_type"), F.col("attrs")["selector"].alias("selector"), "pointers", values.alias("values"), "params", F.coalesce("prefixes", F.lit("{}")).alias("prefixes"))
+    return store(out.select("doc_id", seq.alias("rule_seq"), F.col("kind").alias("rule_type"), F.col("attrs")["selector"].alias("selector"), "pointers", values.alias("values"), "params", F.coalesce("prefixes", F.lit("{}")).alias("prefixes")))
 
 
 _COMPILED = "selector string, prefixes string, regex string, last string, tests " + TESTS + ", error string"

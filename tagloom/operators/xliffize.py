@@ -153,7 +153,10 @@ def units(nodes: DataFrame, tu: Sequence[str], group: Sequence[str] = (), values
         rows = rows.withColumn("said", F.lit(None).cast("map<string,string>"))
     else:
         said = values.where("value is not null").groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("said"))
-        rows = rows.join(said, ["doc_id", "pre"], "left")
+        # only units and their children ask for it; texts go the way to their unit once
+        asks = (F.col("kind") == "ELT") & (F.col("depth") < 2)
+        rest = rows.where(~F.coalesce(asks, F.lit(False))).withColumn("said", F.lit(None).cast("map<string,string>"))
+        rows = rows.where(asks).join(said, ["doc_id", "pre"], "left").unionByName(rest)
     rows = dressed(rows)
     own = W.partitionBy("doc_id", "unit")
     child = (F.col("kind") == "ELT") & (F.col("depth") == 1) & ~F.col("aside")

@@ -394,9 +394,10 @@ def declarations(nodes: DataFrame) -> DataFrame:
     return nodes.where("decls is not null").select("doc_id", "pre", F.explode("decls").alias("prefix", "uri"))
 
 
-def in_scope(nodes: DataFrame, scope: DataFrame) -> DataFrame:
-    """(doc_id, pre, prefix, uri): namespaces in scope of each element, from declarations (doc_id, pre, prefix, uri)."""
-    marks = scope.select("doc_id", "pre", F.col("prefix").alias("key"), F.col("uri").alias("value")).join(nodes.select("doc_id", "pre", "size"), ["doc_id", "pre"])
-    own = nodes.where("kind = 'ELT'").select("doc_id", "pre", F.col("pre").alias("_at"))
+def in_scope(nodes: DataFrame, scope: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pre, prefix, uri): namespaces in scope of each element, or of ``points`` (doc_id, pre), from declarations (doc_id, pre, prefix, uri, and size if it is at hand)."""
+    sized = scope if "size" in scope.columns else scope.join(nodes.select("doc_id", "pre", "size"), ["doc_id", "pre"])
+    marks = sized.select("doc_id", "pre", "size", F.col("prefix").alias("key"), F.col("uri").alias("value"))
+    own = (nodes.where("kind = 'ELT'") if points is None else points).select("doc_id", "pre", F.col("pre").alias("_at"))
     found = innermost(subtree(marks, inside=False).drop("pre", "size"), own)
     return found.where("value <> ''").select("doc_id", "pre", F.col("key").alias("prefix"), F.col("value").alias("uri"))
