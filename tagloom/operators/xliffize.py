@@ -2,9 +2,10 @@
 
 A node's label path says which step of it is the outermost group and which the
 outermost unit in that, and the node's own path up to that step is the unit's
-key. So nothing is joined: one shuffle by unit numbers the inline children and
-puts a unit together, one by document numbers the units and groups. What rules
-say of elements comes as a table and is the only join.
+key. So nothing is joined: after one shuffle by document its rows are sorted,
+inline children, units and groups are numbered, and units put together. (The
+result has a document in one row, too.) What rules say of elements comes as a
+table, joined to units and their children only.
 
 Defined results. A unit without text is left out, and a group without units
 too; a document without units has an empty body, one whose root is an element
@@ -116,12 +117,12 @@ def _events(rows: DataFrame) -> DataFrame:
     decls = F.array_sort(F.map_entries(F.coalesce("decls", F.expr("cast(map() as map<string,string>)"))))
     decls = F.filter(decls, lambda d: (d["value"] != ITS) | F.array_contains("used", d["key"]))
     spaces = F.array_join(F.transform(decls, lambda d: _att(F.concat(F.lit("xmlns"), F.when(d["key"] == "", "").otherwise(F.concat(F.lit(":"), d["key"]))), d["value"])), "")
-    full = F.col("size") > 1 + F.coalesce(F.size(F.map_keys("attrs")), zero)
+    full = F.col("full")
     close, last = F.when(full, ">").otherwise("/>"), pre + F.col("size") - 1
     end = F.concat(F.lit("</"), "qname", F.lit(">"))
     # a direct child, in a mark if it has metadata
     mark, unmark = F.coalesce(F.concat(F.lit("<mrk"), "inline", F.lit(">")), F.lit("")), F.when(F.col("inline").isNotNull(), "</mrk>").otherwise("")
-    bare = F.when(F.col("inline").isNull(), _att("xml:id", F.col("attrs")[f"{{{XML}}}id"])).otherwise("")
+    bare = F.when(F.col("inline").isNull(), _att("xml:id", F.col("own_id"))).otherwise("")
     opened = F.concat(mark, F.lit('<ph id="'), F.col("inner").cast("string"), F.lit('">'), text(F.lit("<"), "qname", spaces, bare, close))
     closed = F.concat(F.lit("</ph>"), unmark)
     child = F.when(full, F.array(at(pre, 0, zero, opened), at(last, 3, -F.col("level"), F.concat(text(end), closed)))).otherwise(F.array(at(pre, 0, zero, F.concat(opened, closed))))
@@ -149,15 +150,21 @@ def units(nodes: DataFrame, tu: Sequence[str], group: Sequence[str] = (), values
     name, value) is what rules say of elements, one value a name.
     """
     rows = placed(nodes, tu, group)
+    # comments and instructions beside the text, and attributes of units and their children, are read off the elements or not shown
+    rows = rows.where((F.col("kind").isin("ELT", "TXT") | (F.col("depth") > F.when(F.col("kind") == "ATT", 2).otherwise(1))))
+    asks = F.coalesce((F.col("kind") == "ELT") & (F.col("depth") < 2), F.lit(False))
+    heads, rest = rows.where(asks), rows.where(~asks)
     if values is None:
-        rows = rows.withColumn("said", F.lit(None).cast("map<string,string>"))
+        heads = heads.withColumn("said", F.lit(None).cast("map<string,string>"))
     else:
         said = values.where("value is not null").groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("said"))
-        # only units and their children ask for it; texts go the way to their unit once
-        asks = (F.col("kind") == "ELT") & (F.col("depth") < 2)
-        rest = rows.where(~F.coalesce(asks, F.lit(False))).withColumn("said", F.lit(None).cast("map<string,string>"))
-        rows = rows.where(asks).join(said, ["doc_id", "pre"], "left").unionByName(rest)
-    rows = dressed(rows)
+        heads = heads.join(said, ["doc_id", "pre"], "left")
+    full = F.col("size") > 1 + F.coalesce(F.size(F.map_keys("attrs")), F.lit(0))
+    dress = [c for c in ("on_unit", "on_source", "mark", "note", "inline", "own_id")]
+    heads = dressed(heads).withColumn("own_id", F.col("attrs")[f"{{{XML}}}id"])
+    rest = rest.withColumns({c: F.lit(None).cast("string") for c in dress})
+    goes = [*[c for c in _ROW if c not in ("attrs", "local_name", "ns_uri")], "unit", "depth", "aside", *dress, full.alias("full"), F.when(F.col("depth") == 0, F.col("box")).alias("box")]
+    rows = heads.select(goes).unionByName(rest.select(goes)).repartition("doc_id")
     own = W.partitionBy("doc_id", "unit")
     child = (F.col("kind") == "ELT") & (F.col("depth") == 1) & ~F.col("aside")
     rows = rows.withColumn("inner", F.sum(child.cast("int")).over(own.orderBy("pre")))
