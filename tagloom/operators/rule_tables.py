@@ -93,7 +93,7 @@ def match_tables(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     Rules whose selector has no plan over label paths are left out; :func:`unplanned` names them.
     """
     known = rules.join(compiled(rules).where("error is null"), ["selector", "prefixes"]).select("doc_id", "rule_seq", "rule_type", "params", "regex", F.coalesce("last", F.lit("*")).alias("tail"), "tests")
-    tail = F.element_at(F.split("labels", "\x1f"), -1)
+    tail = F.substring_index("labels", STEP, -1)
     star = F.when(tail.startswith("#"), tail).otherwise(F.lit("*"))
     paths = nodes.where("labels <> ''").select("doc_id", "labels").distinct()
     paths = paths.select("doc_id", "labels", F.explode(F.array_distinct(F.array(tail, star))).alias("tail"))

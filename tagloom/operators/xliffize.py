@@ -32,30 +32,31 @@ _PAIRS = "array<struct<name:string,value:string>>"
 _ROW = ["doc_id", "pre", "size", "level", "parent", "sib_ord", "kind", "qname", "prefix", "local_name", "ns_uri", "value", "attrs", "decls"]
 
 
-def _name(step: Column) -> Column:
-    return F.substring_index(step, OF, 1)
+#: A step of standoff markup in a label path.
+_STANDOFF = rf"{STEP}(?!span{OF})[^{STEP}]*{OF}\Q{ITS}\E(?:{STEP}|$)"
 
 
-def _space(step: Column) -> Column:
-    return F.substring_index(step, OF, -1)
+def _step(names: Sequence[str]) -> str:
+    """A step with one of the names that is no element of the tag set."""
+    return rf"{STEP}(?:{'|'.join(rf'\Q{n}\E' for n in names)}){OF}(?!\Q{ITS}\E(?:{STEP}|$))"
 
 
-def _is_standoff(step: Column) -> Column:
-    return (_space(step) == ITS) & (_name(step) != "span")
+def _steps(labels: Column) -> Column:
+    return F.length(labels) - F.length(F.replace(labels, F.lit(STEP), F.lit("")))
 
 
 def placed(nodes: DataFrame, tu: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Root elements and all nodes in units: node columns with ``unit`` and ``box`` (paths of unit and group), ``depth`` below the unit and ``aside``, true in standoff markup."""
-    steps, at = F.col("_steps"), lambda s, names: _name(s).isin(*names) & (_space(s) != ITS)
-    first = F.array_position(F.transform(steps, lambda s: at(s, group)), True).cast("int") - 1 if group else F.lit(1)
-    rows = nodes.select(*_ROW, "path", F.split("labels", STEP).alias("_steps"))
-    rows = rows.where(~F.coalesce(_is_standoff(F.get("_steps", F.lit(1))), F.lit(False))).withColumn("_g", first)
-    inner = F.array_position(F.transform(F.slice(steps, F.greatest(F.col("_g"), F.lit(0)) + 1, F.size(steps)), lambda s: at(s, tu)), True).cast("int")
-    rows = rows.withColumn("_u", F.when((F.col("_g") > 0) & (inner > 0), F.col("_g") + inner - 1))
-    cut = lambda level: F.expr(f"substring_index(path, '/', {level} + 1)")
-    aside = F.coalesce(_is_standoff(F.get(steps, F.col("_u") + 1)), F.lit(False))
-    rows = rows.withColumns({"unit": F.when(F.col("_u").isNotNull(), cut("_u")), "box": F.when(F.col("_u").isNotNull(), cut("_g")), "depth": F.col("level") - F.col("_u"), "aside": aside})
-    return rows.where(F.col("unit").isNotNull() | ((F.col("level") == 1) & (F.col("kind") == "ELT"))).drop("_steps", "_g", "_u", "path")
+    rows = nodes.select(*_ROW, "path", "labels").where(~F.col("labels").rlike("^" + _STANDOFF))
+    # label paths from the group on, and from the unit on
+    rows = rows.withColumn("_at", F.regexp_instr("labels", F.lit(_step(group))) if group else F.lit(1))
+    rows = rows.withColumns({"_g": _steps(F.expr("substring(labels, 1, _at)")), "_box": F.expr("substring(labels, _at)")})
+    rows = rows.withColumn("_at", F.when(F.col("_at") > 0, F.regexp_instr("_box", F.lit(_step(tu)))).otherwise(0))
+    rows = rows.withColumns({"_u": F.when(F.col("_at") > 0, F.col("_g") - 1 + _steps(F.expr("substring(_box, 1, _at)"))), "_unit": F.expr("substring(_box, _at)")})
+    cut = lambda level: F.when(F.col("_u").isNotNull(), F.expr(f"substring_index(path, '/', {level} + 1)"))
+    aside = F.col("_unit").rlike(f"^{STEP}[^{STEP}]*" + _STANDOFF)
+    rows = rows.withColumns({"unit": cut("_u"), "box": cut("_g"), "depth": F.col("level") - F.col("_u"), "aside": F.col("_u").isNotNull() & aside})
+    return rows.where(F.col("unit").isNotNull() | ((F.col("level") == 1) & (F.col("kind") == "ELT"))).drop("_at", "_g", "_u", "_box", "_unit", "path", "labels")
 
 
 def _att(name: str | Column, value: Column) -> Column:
@@ -81,11 +82,11 @@ def dressed(rows: DataFrame) -> DataFrame:
     # of an attribute with and without a prefix on one span the last counts, at the place of the first
     rows = rows.withColumn("_local", F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter("_local", lambda e: e["name"] == n), -1)["value"].alias("value"))))
 
+    rows = rows.withColumn("_map", F.map_from_entries("_local"))
+
     def get(name: str) -> Column:
         group = next((g for g in (TERM, NOTE) if name in g), (name,))
-        here = F.exists("_local", lambda e: e["name"].isin(*group))
-        mine = F.get(F.filter("_local", lambda e: e["name"] == name), F.lit(0))["value"]
-        return F.when(here, mine).otherwise(F.col("said")[name])
+        return F.coalesce(F.col("_map")[name], F.when(F.coalesce(*[F.col("_map")[n] for n in group]).isNull(), F.col("said")[name]))
 
     wanted = (*TERM, *NOTE, "translate")
     rows = rows.withColumns({f"_{n}": get(n) for n in wanted})
@@ -105,7 +106,7 @@ def dressed(rows: DataFrame) -> DataFrame:
         "mark": F.when(F.col("_term").isNotNull(), F.concat(_att("mtype", kind), terms)),
         "note": F.when(note.isNotNull(), _tag("note", F.when(F.col("_locNoteType") == "alert", ' priority="1"').otherwise(' priority="2"'), escaped(note))).otherwise(""),
         "inline": F.when(told | F.col("_asks"), inline),
-    }).drop("_local", "_asks", *[f"_{n}" for n in wanted])
+    }).drop("_local", "_map", "_asks", *[f"_{n}" for n in wanted])
 
 
 def _events(rows: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def units(nodes: DataFrame, tu: Sequence[str], group: Sequence[str] = (), values
         said = values.where("value is not null").groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("said"))
         heads = heads.join(said, ["doc_id", "pre"], "left")
     full = F.col("size") > 1 + F.coalesce(F.size(F.map_keys("attrs")), F.lit(0))
-    dress = [c for c in ("on_unit", "on_source", "mark", "note", "inline", "own_id")]
+    dress = ["on_unit", "on_source", "mark", "note", "inline", "own_id"]
     heads = dressed(heads).withColumn("own_id", F.col("attrs")[f"{{{XML}}}id"])
     rest = rest.withColumns({c: F.lit(None).cast("string") for c in dress})
     goes = [*[c for c in _ROW if c not in ("attrs", "local_name", "ns_uri")], "unit", "depth", "aside", *dress, full.alias("full"), F.when(F.col("depth") == 0, F.col("box")).alias("box")]
