@@ -63,11 +63,11 @@ def nav_link_pointers(spark, sf_dir):
     return links.select("page_id", F.regexp_extract("t", 'href="([^"]*)"', 1).alias("href"), F.row_number().over(page.orderBy("pos")).cast("long").alias("match_pos"), F.count("*").over(page).alias("match_size"))
 
 
-def page_nodes(spark, sf_dir) -> DataFrame:
+def page_nodes(spark, sf_dir, doc_type: str = "html") -> DataFrame:
     from ..sources.shred import shred
 
     ship(spark)
-    return shred(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("doc_type"), F.col("html").alias("content")))
+    return shred(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(doc_type).alias("doc_type"), F.col("html").alias("content")))
 
 
 @query(_NAV)

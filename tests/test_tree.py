@@ -93,3 +93,14 @@ def test_setting_and_stripping_namespaces():
 def test_pretty_markup_keeps_text():
     doc = parse_xml('<r k="v"><a><b/><!--c--></a><d>t<e><f/></e></d></r>')
     assert pretty_xml(doc) == '<?xml version="1.0" encoding="utf-8"?>\n<r k="v">\n  <a>\n    <b/>\n    <!--c-->\n  </a>\n  <d>t<e><f/></e></d>\n</r>\n'
+
+
+def test_references_without_a_semicolon_stay_text_where_asked():
+    from tagloom.sources.html_tree import terminated
+    from tagloom.sources.tree import parse
+
+    html = "<p title='&amp'>a &amp; b&amp</p><script>x &amp y && z</script><!--&amp--><p>&copyx; &copy;&quot &#65; & c"
+    texts = lambda kind: [n.value for n in parse(html, kind).walk() if n.kind == "TXT"]
+    assert texts("html") == ["a & b&", "x &amp y && z", "©x; ©\" A & c"]
+    assert texts("html-terminated") == ["a & b&amp", "x &amp y && z", "&copyx; ©&quot A & c"]
+    assert terminated("<p title='&amp'>&amp;</p><!--&amp-->") == "<p title='&amp'>&amp;</p><!--&amp-->"
