@@ -128,3 +128,11 @@ def test_equal_names_of_two_folders(spark, tmp_path):
         (tmp_path / folder / "x.xml").write_text("<r/>")
     assert run(spark, options(["--xml2html", "-i", str(tmp_path / "*"), "-o", str(tmp_path / "out")])) == 0
     assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x-1.html", "x.html"]
+
+
+def test_long_string_values_are_put_together_from_pieces(spark):
+    text = "<r><p>" + "".join(f"<b>{i}é</b>" for i in range(1500)) + "</p><p/>" + "x" * 3000 + "</r>"
+    rows = shred(spark.createDataFrame([(1, "xml", text)], "doc_id long, doc_type string, content string")).cache()
+    assert sorted(r.text for r in string_values(rows, select(rows, "//p | /r")).collect()) == sorted(["", (t := "".join(f"{i}é" for i in range(1500))), t + "x" * 3000])
+    assert select(rows, "//b[string-length(.) > 4 and starts-with(., '14')]", texts=True).count() == 100
+    assert select(rows, "//*[string-length(b) = 2]", texts=True).count() == 1

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tagloom.operators.xpath_plan import string_values
+from tagloom.plans.structure import text_length
+from tagloom.plans.trees import axis_descendant
 from tagloom.sources.relational import customer_nodes
 from tagloom.sources.stored import store
 
@@ -18,3 +21,31 @@ def test_keyed_node_rows_are_numbered_by_one_sort(spark, sf_dir):
     plan = customer_nodes(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     # line items within orders, then all rows of a customer; nothing falls back from compiled code
     assert plan.count("Sort [") <= 2 and "map_filter" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_condition_on_keyed_node_rows_reads_one_sort_of_node(spark, sf_dir):
+    nodes = customer_nodes(spark, sf_dir)
+    assert plan_of(nodes.where("kind = 'ELT' and local_name = 'order'").select("doc_id", "pre")).count("Relation [") == 1
+    assert plan_of(nodes.where("kind = 'ATT' and local_name = 'flag'").select("doc_id", "value")).count("Relation [") == 1
+
+
+def test_string_values_are_cut_from_offsets_without_a_sweep(spark, sf_dir):
+    nodes = customer_nodes(spark, sf_dir)
+    assert "MapInArrow" not in plan_of(text_length(spark, sf_dir))
+    assert "MapInArrow" not in plan_of(string_values(nodes, nodes.where("kind = 'ELT'").select("doc_id", "pre", "size")))
+
+
+def test_a_sweep_takes_only_what_passes_the_test(spark, sf_dir):
+    plan = plan_of(axis_descendant(spark, sf_dir))
+    sweep = plan[plan.index("MapInArrow") :]
+    assert "TXT AS kind" not in sweep and "DOC AS kind" not in sweep
+
+
+def test_sessions_with_sizes_of_their_own_keep_them(spark):
+    store(spark.range(1))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(16 << 20)
