@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.xpath_plan import string_values
 from tagloom.plans.structure import text_length
-from tagloom.plans.trees import axis_descendant
+from tagloom.plans.trees import axis_descendant, false_inheritance_selectors
 from tagloom.sources.relational import customer_nodes
 from tagloom.sources.stored import store
 
@@ -49,3 +49,9 @@ def test_sessions_with_sizes_of_their_own_keep_them(spark):
     store(spark.range(1))
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(16 << 20)
+
+
+def test_nodes_are_not_shuffled_by_label(spark, sf_dir):
+    plan = false_inheritance_selectors(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # one sort of node is read, and one shuffle numbers the matches
+    assert "hashpartitioning(labels" not in plan and plan.count("FileScan") == 2
