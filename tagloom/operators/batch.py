@@ -10,10 +10,12 @@ operators leave out or pass over.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tree import Node, parse
+from ..sources.shred import dealt
 from . import convert
 from .match import match_all, merged, text_of
 from .paths import path
@@ -21,6 +23,8 @@ from .rules import Diagnostics, containers
 
 #: Text bytes of rule files that may be sent to every task.
 MAX_FILES_BYTES = 64 << 20
+#: Text bytes of documents whose results a task holds at once.
+SLICE_BYTES = 1 << 20
 _MATCH = "doc_id long, rule_seq int, rule_type string, match_pos int, match_size int, kind string, name string, path string, ptr array<struct<name:string,kind:string,path:string,value:string>>"
 _PTR = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("path", pa.string()), ("value", pa.string())]))
 
@@ -35,9 +39,22 @@ def load_files(files: DataFrame | None) -> dict[str, str]:
     return {r.uri: r.content for r in files.select("uri", "content").collect()}
 
 
-def _documents(df: DataFrame) -> DataFrame:
+def _documents(df: DataFrame, deal: bool = True) -> DataFrame:
     uri = F.col("uri") if "uri" in df.columns else F.lit("")
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_type", F.coalesce(uri, F.lit("")).alias("uri"), "content")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_type", F.coalesce(uri, F.lit("")).alias("uri"), "content")
+    return dealt(rows) if deal else rows
+
+
+def _slices(batch):
+    """A batch in parts that hold a bounded amount of text, whatever Spark puts into one, or one document."""
+    sizes, start, held = pc.binary_length(batch.column(3)).fill_null(0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > SLICE_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def _each(batch):
@@ -53,7 +70,7 @@ def match_documents(documents: DataFrame, files: DataFrame | None = None, rules:
     sent = documents.sparkSession.sparkContext.broadcast(load_files(files))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             out = []
             for doc_id, kind, uri, content in _each(batch):
                 try:
@@ -78,7 +95,7 @@ def effective_documents(documents: DataFrame, files: DataFrame | None = None) ->
     its = "http://www.w3.org/2005/11/its"
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             out = []
             for doc_id, kind, uri, content in _each(batch):
                 try:
@@ -113,7 +130,7 @@ def diagnostics(documents: DataFrame, files: DataFrame | None = None, rules: str
     sent = documents.sparkSession.sparkContext.broadcast(load_files(files))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             out = []
             for doc_id, kind, uri, content in _each(batch):
                 notes = Diagnostics()
@@ -137,14 +154,17 @@ CONVERTERS = {
 }
 
 
-def convert_documents(documents: DataFrame, task: str, files: DataFrame | None = None, **options) -> DataFrame:
-    """(doc_id, output, error, log): every document converted; a failure is that document's error."""
+def convert_documents(documents: DataFrame, task: str, files: DataFrame | None = None, deal: bool = True, **options) -> DataFrame:
+    """(doc_id, output, error, log): every document converted; a failure is that document's error.
+
+    Without ``deal`` documents stay in the tasks that they come in, as what another conversion made may.
+    """
     if task not in CONVERTERS:
         raise ValueError(f"no conversion {task}")
     sent = documents.sparkSession.sparkContext.broadcast(load_files(files))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids, texts, errors, logs = [], [], [], []
             for doc_id, _, uri, content in _each(batch):
                 text = error = None
@@ -158,4 +178,4 @@ def convert_documents(documents: DataFrame, task: str, files: DataFrame | None =
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array(logs, pa.list_(pa.string()))], names=["doc_id", "output", "error", "log"])
 
-    return _documents(documents).mapInArrow(run, "doc_id long, output string, error string, log array<string>")
+    return _documents(documents, deal).mapInArrow(run, "doc_id long, output string, error string, log array<string>")

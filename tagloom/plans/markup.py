@@ -294,7 +294,7 @@ def xliff_to_html(spark, sf_dir):
 
     ship(spark)
     x = convert_documents(_as_xml(spark, sf_dir), "xml2xliff").select("doc_id", F.lit("xml").alias("doc_type"), F.col("output").alias("content"))
-    return convert_documents(x, "xliff2html", labels=True).select("doc_id", "output", "error")
+    return convert_documents(x, "xliff2html", deal=False, labels=True).select("doc_id", "output", "error")
 
 
 @query(None)

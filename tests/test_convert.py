@@ -125,3 +125,24 @@ def test_batches_isolate_bad_documents(spark):
     assert ("translate", "yes") in {(r.name, r.value) for r in effective_documents(df).collect()}
     files = spark.createDataFrame([("u", "x")], "uri string, content string")
     assert convert_documents(df, "reduceHtml", files).count() == 3
+
+
+def test_conversions_hold_a_bounded_amount_of_text(spark):
+    import pyarrow as pa
+
+    from tagloom.operators import batch
+
+    texts = ["x" * (batch.SLICE_BYTES // 4)] * 10 + [None, "y" * (2 * batch.SLICE_BYTES), ""]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(13)), pa.array(["xml"] * 13), pa.array([""] * 13), pa.array(texts)], ["doc_id", "doc_type", "uri", "content"])
+    parts = list(batch._slices(rows))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(13))
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.column(3).to_pylist()) <= batch.SLICE_BYTES for p in parts)
+
+
+def test_documents_are_dealt_anew_before_they_are_parsed(spark):
+    from tagloom.operators.batch import convert_documents
+    from tagloom.sources.shred import shred
+
+    docs = spark.createDataFrame([(1, "xml", "<r/>")], "doc_id long, doc_type string, content string")
+    for df in (shred(docs), convert_documents(docs, "xml2html")):
+        assert "RebalancePartitions" in df._jdf.queryExecution().optimizedPlan().toString()
