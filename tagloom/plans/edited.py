@@ -47,7 +47,8 @@ def edited_customers(spark, sf_dir) -> DataFrame:
     """Returned line items move to the end of their customer, orders in process go, and urgent orders' status becomes an element before their line items."""
 
     def make() -> DataFrame:
-        nodes = node_table(spark, sf_dir)
+        # written out: its many uses would each bring the nine parts of the view into one plan
+        nodes = once(spark, f"customer nodes {sf_dir}", lambda: node_table(spark, sf_dir))
         none = F.lit(None)
         tail = [none.cast("string").alias("qname"), none.cast("string").alias("text"), none.cast("map<string,string>").alias("attrs")]
         found = lambda x: select(nodes, x, positions=False)
