@@ -86,7 +86,7 @@ def edited_trees(spark, sf_dir):
 
 @query(_EDITED + "SELECT doc_id, pre, value FROM e WHERE kind = 'TXT' AND level = 4 AND (SELECT count(*) FROM e x WHERE x.doc_id = e.doc_id AND x.pre = e.pre - 1 AND x.name = 'status') = 1")
 def edited_status(spark, sf_dir):
-    """``//order/status/text()`` of the edited trees: labels come back by doubling, and expressions run on the new rows."""
+    """``//order/status/text()`` of the edited trees: labels come back by one sweep, and expressions run on the new rows."""
     rows = once(spark, f"edited labels {sf_dir}", lambda: ancestry.labelled(edited_customers(spark, sf_dir)))
     return select(rows, "//order/status/text()", positions=False).select("doc_id", "pre", "value")
 
