@@ -6,7 +6,9 @@ that begin up to an event gives new numbers, sizes and text offsets. Where an
 event goes is a key made from old numbers alone: its own place, or the gap that
 its subtree is moved to and its place in the subtree. The order comes from
 Spark's range partitioning and a sort within the ranges, counts from sums in
-the ranges and over them, so no document and no gap is one task.
+the ranges and over them, so no document and no gap is one task. Documents
+whose numbers, and whose edits, are within one range (``RANGE``) need no joins:
+their nodes move once and :mod:`small_edits` applies the same keys there.
 
 ``edits`` has the columns ``doc_id``, ``op`` (delete, move or insert), ``pre``
 (the node that goes or moves), ``place`` (first or last in, before or after)
@@ -33,10 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.stored import store
-from .staircase import innermost
+from . import small_edits
+from .ancestry import labelled
+from .staircase import RANGE, innermost
 
 _KEY = ("gap", "turn", "deep", "closing", "seq", "edit")
+#: Columns that are numbered anew or left out.
+_GONE = {"pre", "size", "level", "parent", "post", "t_from", "t_to", "labels", "nth", "path", "sib_ord", "block"}
 _NEW = "doc_id long, op string, pre long, place string, target long, seq long, qname string, text string, attrs map<string,string>"
 
 
@@ -106,12 +113,43 @@ def rejected(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     return _judged(nodes, edits).where("reason is not null").select("doc_id", "op", "pre", "place", "target", "seq", "reason")
 
 
-def edited(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+def edited(nodes: DataFrame, edits: DataFrame, labels: bool = False) -> DataFrame:
     """Node rows of the edited trees, numbered anew; ``old_pre`` is the number that a node had, null for new ones.
 
-    Labels, places among siblings and paths are left out
-    (:func:`~tagloom.operators.ancestry.labelled` brings them back).
+    Labels, places among siblings and paths are left out; ``labels`` puts the first two in
+    (as :func:`~tagloom.operators.ancestry.labelled` does).
     """
+    ship(nodes.sparkSession)
+    edits = store(edits.select(*[c.split()[0] for c in _NEW.split(", ")]).where("doc_id is not null").withColumn("edit", F.monotonically_increasing_id()))
+    far = nodes.where(f"pre >= {RANGE} or pre < 0").select("doc_id")
+    large = store(far.unionByName(edits.groupBy("doc_id").count().where(f"count > {RANGE}").select("doc_id")).distinct())
+    found = _swept(nodes, edits, large, labels)
+    if large.isEmpty():
+        return found
+    rest = _joined(store(nodes.join(large, "doc_id", "left_semi")), edits.join(large, "doc_id", "left_semi"))
+    return found.unionByName(labelled(rest) if labels else rest)
+
+
+def _swept(nodes: DataFrame, edits: DataFrame, large: DataFrame, labels: bool) -> DataFrame:
+    """:func:`edited` for all documents but ``large`` ones: nodes and edits move once, to their document, and a batch of whole documents is edited together."""
+    rows = nodes.where(f"doc_id is not null and pre >= 0 and pre < {RANGE}")
+    keep = [c for c in rows.columns if c not in (_GONE - {"pre", "size", "level", "parent"})]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    # maps go as JSON: Spark measures a batch with every row, and walks over all null maps for that
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    rows = rows.select(*[text(F.col(c)).alias(c) if kinds[c].startswith("map") else c for c in keep])
+    asked = edits.select("doc_id", text(F.struct(*small_edits.EDIT.names)).alias("_e"))
+    skip = large.select("doc_id", F.lit(None).cast("string").alias("_e"), F.lit(True).alias("_skip"))
+    stream = rows.unionByName(asked.unionByName(skip, allowMissingColumns=True), allowMissingColumns=True)
+    stream = stream.repartition("doc_id").sortWithinPartitions("doc_id", "pre")
+    out = {c: kinds[c] for c in keep} | {"doc_id": "bigint", "pre": "bigint", "size": "bigint", "level": "int", "parent": "bigint", "t_from": "bigint", "t_to": "bigint", "old_pre": "bigint"}
+    out |= {"labels": "string", "nth": "int"} if labels else {}
+    found = stream.mapInArrow(small_edits.sweeper(out, labels), ", ".join(f"`{c}` {t}" for c, t in out.items()))
+    return found.withColumn("post", F.col("pre") + F.col("size") - 1 - F.col("level")).withColumn("sib_ord", F.col("pre"))
+
+
+def _joined(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """:func:`edited` without labels, for documents of any size."""
     valid = store(_judged(nodes, edits).where("reason is null"))
     roots = valid.where("op <> 'insert'")
     # nothing moves or goes: no node needs the sweep
@@ -161,8 +199,7 @@ def edited(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     above = numbers.where("leaf <= 0").select("doc_id", F.col("ref").alias("up"), F.col("pre").alias("parent"))
     numbers = numbers.join(above, ["doc_id", "up"], "left").drop("up")
 
-    gone = {"pre", "size", "level", "parent", "post", "t_from", "t_to", "labels", "nth", "path", "sib_ord", "block"}
-    payload = nodes.select("doc_id", F.col("pre").alias("ref"), *[c for c in nodes.columns if c != "doc_id" and c not in gone])
+    payload = nodes.select("doc_id", F.col("pre").alias("ref"), *[c for c in nodes.columns if c != "doc_id" and c not in _GONE])
     kept = numbers.where("leaf <= 0").join(payload, ["doc_id", "ref"]).withColumn("old_pre", F.col("ref")).drop("leaf", "ref")
     made = numbers.where("ref < 0").join(new.select("doc_id", ref.alias("ref"), "qname", "text", "attrs", "names"), ["doc_id", "ref"])
     is_att, is_elt = (F.col("leaf") > 0) & (F.col("leaf") <= F.size("names")), F.col("leaf") == 0
@@ -181,7 +218,11 @@ def edited(nodes: DataFrame, edits: DataFrame) -> DataFrame:
 
 def elements_for_attributes(nodes: DataFrame, found: DataFrame, qname: str | None = None) -> DataFrame:
     """Edits that turn attributes (``found``: doc_id, pre) into the first elements of their owners, in their order, named as they were or ``qname``; the value is the text."""
-    own = nodes.where("kind = 'ATT'").join(found.select("doc_id", "pre").distinct(), ["doc_id", "pre"])
+    told = ["doc_id", "pre", "parent", "kind", "qname", "value"]
+    if set(told) <= set(found.columns):  # what an expression found has all that is needed
+        own = found.select(*told).where("kind = 'ATT'").dropDuplicates(["doc_id", "pre"])
+    else:
+        own = nodes.where("kind = 'ATT'").join(found.select("doc_id", "pre").distinct(), ["doc_id", "pre"])
     none = F.lit(None)
     drop = own.select("doc_id", F.lit("delete").alias("op"), "pre", none.cast("string").alias("place"), none.cast("long").alias("target"), F.lit(0).cast("long").alias("seq"), none.cast("string").alias("qname"), none.cast("string").alias("text"), none.cast("map<string,string>").alias("attrs"))
     title = F.create_map(F.lit("title"), F.col("qname")) if qname else none.cast("map<string,string>")

@@ -47,14 +47,13 @@ def edited_customers(spark, sf_dir) -> DataFrame:
     """Returned line items move to the end of their customer, orders in process go, and urgent orders' status becomes an element before their line items."""
 
     def make() -> DataFrame:
-        # written out: its many uses would each bring the nine parts of the view into one plan
-        nodes = once(spark, f"customer nodes {sf_dir}", lambda: node_table(spark, sf_dir))
+        nodes = node_table(spark, sf_dir)
         none = F.lit(None)
         tail = [none.cast("string").alias("qname"), none.cast("string").alias("text"), none.cast("map<string,string>").alias("attrs")]
         found = lambda x: select(nodes, x, positions=False)
         move = found("//lineitem[@flag='R']").select("doc_id", F.lit("move").alias("op"), "pre", F.lit("last").alias("place"), F.lit(STRIDE).cast("long").alias("target"), F.col("pre").alias("seq"), *tail)
         drop = found("//order[@status='P']").select("doc_id", F.lit("delete").alias("op"), "pre", none.cast("string").alias("place"), none.cast("long").alias("target"), F.lit(0).cast("long").alias("seq"), *tail)
-        return edits.edited(nodes, edits.all_of([move, drop, edits.elements_for_attributes(nodes, found("//order[@priority='1-URGENT']/@status"))]))
+        return edits.edited(nodes, edits.all_of([move, drop, edits.elements_for_attributes(nodes, found("//order[@priority='1-URGENT']/@status"))]), labels=True)
 
     return once(spark, f"edited customers {sf_dir}", make)
 
@@ -86,9 +85,8 @@ def edited_trees(spark, sf_dir):
 
 @query(_EDITED + "SELECT doc_id, pre, value FROM e WHERE kind = 'TXT' AND level = 4 AND (SELECT count(*) FROM e x WHERE x.doc_id = e.doc_id AND x.pre = e.pre - 1 AND x.name = 'status') = 1")
 def edited_status(spark, sf_dir):
-    """``//order/status/text()`` of the edited trees: labels come back by one sweep, and expressions run on the new rows."""
-    rows = once(spark, f"edited labels {sf_dir}", lambda: ancestry.labelled(edited_customers(spark, sf_dir)))
-    return select(rows, "//order/status/text()", positions=False).select("doc_id", "pre", "value")
+    """``//order/status/text()`` of the edited trees: labels come with the new numbers, and expressions run on the new rows."""
+    return select(edited_customers(spark, sf_dir), "//order/status/text()", positions=False).select("doc_id", "pre", "value")
 
 
 @query(TREE + """, o AS (SELECT p.doc_id, p.pre, coalesce(p.a_priority = '1-URGENT', false) AS bdo, coalesce(bool_or(n.a_flag = 'R'), false) AS held FROM tree p LEFT JOIN tree n ON n.doc_id = p.doc_id AND n.parent = p.pre WHERE p.level = 2 GROUP BY p.doc_id, p.pre, p.a_priority)

@@ -234,6 +234,24 @@ def test_edited_rows_answer_expressions(spark, nodes):
     assert evaluate_nodes(out, "//e/m[.='2']").count() == found.count()
 
 
+def test_documents_in_one_range_are_edited_without_joins(spark, nodes, texts):
+    rnd = random.Random(8)
+    small = [i for i in texts if i not in (25, 26)]
+    mine = nodes.where(F.col("doc_id").isin(small))
+    own = [tuple(e.values()) for i in small for e in made_edits(rnd, parse_xml(texts[i]), i)]
+    # more edits than a range has numbers: that document goes by joins
+    many = [(27, "insert", None, "first", 1, k, "new", "t", None) for k in range(staircase.RANGE + 1)]
+    found = edits.edited(mine, spark.createDataFrame(own, EDIT), labels=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    want = store(ancestry.labelled(edits._joined(mine, spark.createDataFrame(own, EDIT))))
+    told = ["doc_id", "pre", "size", "level", "parent", "post", "kind", "qname", "value", "t_from", "t_to", "old_pre", "labels", "nth"]
+    rows = lambda df: sorted(df.select(*told, F.to_json("attrs").alias("a")).collect(), key=lambda r: (r.doc_id, r.pre))
+    assert [x for x in zip(rows(found), rows(want), strict=True) if x[0] != x[1]] == []
+    again = edits.edited(mine, spark.createDataFrame([e for e in own if e[0] != 27] + many, EDIT)).where("doc_id = 27")
+    assert again.count() == 2 * len(many) + mine.where("doc_id = 27").count()
+
+
 def plain_names(doc, bdo, inline):
     out = {}
 
