@@ -11,9 +11,14 @@ hash that subtrees meet by, two more the one that they are verified by.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..sources.stored import store
 from .staircase import RANGE, running
 
 #: Primes below 2**31, so that products of two remainders stay below 2**62, with a base for each.
@@ -40,8 +45,74 @@ def token() -> Column:
 
 
 def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, size, local_name, meet, verify): the hashes of every element's subtree."""
+    """(doc_id, pre, size, local_name, meet, verify): the hashes of every element's subtree.
+
+    Documents within one range of numbers move once and are summed up there, a
+    batch of whole documents at a time; larger ones by running sums.
+    """
+    ship(nodes.sparkSession)
     rows = nodes.where("kind not in ('ATT', 'DOC')").select("doc_id", "pre", "size", "kind", "local_name", "ns_uri", "value", "attrs")
+    large = store(rows.where(f"pre >= {RANGE} or pre < 0").select("doc_id").distinct())
+    near = rows.where(f"doc_id is not null and pre >= 0 and pre < {RANGE}").unionByName(large.select("doc_id", F.lit("").alias("kind")), allowMissingColumns=True)
+    # hashes are made behind the shuffle: texts and maps shrink there, hashes do not
+    near = near.repartition("doc_id").sortWithinPartitions("doc_id", "pre").withColumn("token", token())
+    near = near.select("doc_id", "pre", "size", "kind", "local_name", *[F.pmod(F.xxhash64(F.lit(k), "token"), F.lit(m)).alias(f"h{k}") for k, (m, _) in enumerate(MODULI)])
+    found = near.mapInArrow(_sums, "doc_id long, pre long, size long, local_name string, meet long, verify long")
+    found = found.select(*[F.col(c).cast(rows.schema[c].dataType) if c in rows.columns else F.col(c) for c in found.columns])
+    return found if large.isEmpty() else found.unionByName(_summed(rows.join(large, "doc_id", "left_semi")))
+
+
+def _tables(base: int, m: int) -> np.ndarray:
+    """Powers of ``base`` for all numbers of a range."""
+    out = np.ones(RANGE, np.int64)
+    for i in range(1, RANGE):
+        out[i] = int(out[i - 1]) * base % m
+    return out
+
+
+def _sums(batches):
+    """Rows of whole documents in order to hashes of elements; the last document of a batch waits for the next."""
+    powers = [(m, _tables(base, m), _tables(pow(base, -1, m), m)) for m, base in MODULI]
+    names = ["doc_id", "pre", "size", "local_name", "meet", "verify"]
+
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        skip = pc.equal(rows.column("kind"), "")
+        if pc.any(skip).as_py():
+            rows = rows.filter(pc.invert(pc.is_in(rows.column("doc_id"), rows.column("doc_id").filter(skip))))
+        doc, pre, size = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "pre", "size"))
+        new = np.zeros(len(doc), np.int64)
+        new[1:] = doc[1:] != doc[:-1]
+        key = np.cumsum(new) * RANGE + pre
+        own = np.flatnonzero(pc.equal(rows.column("kind"), "ELT").to_numpy(zero_copy_only=False))
+        end = np.searchsorted(key, key[own] - pre[own] + np.minimum(pre[own] + size[own], RANGE))
+        start = np.searchsorted(key, key[own])
+        hashes = []
+        for k, (m, power_, back) in enumerate(powers):
+            sums = np.concatenate([[0], np.cumsum(rows.column(f"h{k}").to_numpy(zero_copy_only=False).astype(np.int64) * power_[pre] % m)])
+            hashes.append((sums[end] - sums[start]) % m * back[pre[own]] % m)
+        told = [rows.column(c).take(pa.array(own)) for c in names[:4]]
+        return pa.RecordBatch.from_arrays([told[0].cast("int64"), told[1].cast("int64"), told[2].cast("int64"), told[3], *(pa.array(a << 31 | b) for a, b in (hashes[:2], hashes[2:]))], names)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        if held and held[-1].column("doc_id")[-1].as_py() != doc[0]:
+            yield whole(pa.concat_batches(held))
+            held = []
+        turns = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+        if len(turns):
+            yield whole(pa.concat_batches([*held, batch.slice(0, turns[-1])]))
+            held = [batch.slice(turns[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield whole(pa.concat_batches(held))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """:func:`fingerprints` by running sums, for documents of any size."""
     rows = rows.withColumn("token", token())
     for k, (m, base) in enumerate(MODULI):
         rows = rows.withColumn(f"c{k}", F.pmod(F.xxhash64(F.lit(k), "token"), F.lit(m)) * power(base, m, "pre") % m)

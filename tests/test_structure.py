@@ -232,6 +232,15 @@ def test_equal_subtrees(nodes, trees):
     assert got == want and len(want) > 20
 
 
+def test_subtrees_in_one_range_are_summed_without_joins(spark, nodes):
+    kept = nodes.where("pre < 4096").join(nodes.where("pre >= 4096").select("doc_id").distinct(), "doc_id", "left_anti")
+    found = subtrees.fingerprints(store(kept))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "Window" not in plan
+    want = subtrees._summed(kept.where("kind not in ('ATT', 'DOC')").select("doc_id", "pre", "size", "kind", "local_name", "ns_uri", "value", "attrs"))
+    assert found.count() == want.count() > 100 and found.exceptAll(want.select(*found.columns)).count() == 0
+
+
 def test_units_and_inheritance(spark):
     nodes = rows_of(spark, {1: "<a>one<b>two<i/></b>three<p>four<b>five</b></p> <p> </p>six</a>", 2: "<a/>"})
     named = lambda name: nodes.where((F.col("kind") == "ELT") & (F.col("local_name") == name)).select("doc_id", "pre")
