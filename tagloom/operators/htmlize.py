@@ -13,14 +13,16 @@ tag set has no body, and no row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.shred import OF, STEP
 from ..sources.stored import store
 from ..sources.tree import ITS, XML
 from . import blocks, edits, subtrees
-from .staircase import interval_join, subtree
 
 #: Class, flow and identifiers of elements that stand for attributes.
 ATT_CLASS, ID_PREFIX = "_ITS_ATT", "ITS_"
@@ -33,8 +35,9 @@ def _is_span() -> F.Column:
 
 def attribute_forms(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, parent, qname, value, form, name, text) of all attributes: ``form`` is keep (as ``name`` and ``text``), drop or element."""
-    owners = nodes.where("kind = 'ELT'").select("doc_id", F.col("pre").alias("parent"), _is_span().alias("on_span"))
-    rows = nodes.where("kind = 'ATT'").select("doc_id", "pre", "parent", "qname", "local_name", "ns_uri", "value").join(owners, ["doc_id", "parent"])
+    # the owner is the step before
+    on_span = F.col("labels").rlike(f"{STEP}span{OF}{re.escape(ITS)}{STEP}[^{STEP}]*$")
+    rows = nodes.where("kind = 'ATT'").select("doc_id", "pre", "parent", "qname", "local_name", "ns_uri", "value", on_span.alias("on_span"))
     ns, local, value = F.coalesce("ns_uri", F.lit("")), F.col("local_name"), F.col("value")
     own = (ns == ITS) | (F.col("on_span") & (ns == ""))
     kept = F.when(ns == XML, F.when(local.isin("id", "lang"), local)).when(own & (local != "version"), F.when(local.isin("translate", "dir"), local).otherwise(C.camel_to_dash(local)))
@@ -46,30 +49,32 @@ def attribute_forms(nodes: DataFrame) -> DataFrame:
 
 def bodies(nodes: DataFrame) -> DataFrame:
     """Node rows of the HTML bodies, rooted in the documents' nodes; ``old_pre`` is the number in ``nodes``."""
+    nodes = nodes.where(~_is_standoff())
     atts = store(attribute_forms(nodes))
-    lost = store(_standoff(nodes))
-    names = blocks.block_names(nodes.join(lost, ["doc_id", "pre"], "left_anti"), atts.where("override").select("doc_id", F.col("parent").alias("pre")), nodes.where("kind = 'ELT'").where(_is_span()))
+    names = blocks.block_names(nodes, atts.where("override").select("doc_id", F.col("parent").alias("pre")), nodes.where("kind = 'ELT'").where(_is_span()))
     none = F.lit(None)
     # identifiers count upwards from the leaves, by name in an element; in the element the last name comes first
-    asked = atts.where("form = 'element'").join(lost.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_anti")
-    asked = asked.join(nodes.where("kind = 'ELT'").select("doc_id", F.col("pre").alias("parent"), "post"), ["doc_id", "parent"])
+    asked = atts.where("form = 'element'").join(nodes.where("kind = 'ELT'").select("doc_id", F.col("pre").alias("parent"), "post"), ["doc_id", "parent"])
     asked = asked.select("doc_id", "parent", "qname", "value", "post", F.col("qname").alias("by_name"), F.col("pre").alias("by_pre"), F.lit(1).cast("long").alias("one"))
     asked = edits.ranked(asked, ["post", "by_name", "by_pre"], {"one": "n"})
     form = F.create_map(F.lit("title"), F.col("qname"), F.lit("class"), F.lit(ATT_CLASS), F.lit("its-within-text"), F.lit(WITHIN), F.lit("id"), F.concat(F.lit(ID_PREFIX), F.col("n").cast("string")))
     made = asked.select("doc_id", F.lit("insert").alias("op"), none.cast("long").alias("pre"), F.lit("first").alias("place"), F.col("parent").alias("target"), (-F.col("n")).alias("seq"), F.lit("span").alias("qname"), F.col("value").alias("text"), form.alias("attrs"))
     # rows without what goes: the numbers left are as good as dense ones for the edits
-    rest = nodes.where("kind not in ('ATT', 'PI')").join(lost, ["doc_id", "pre"], "left_anti").drop("attrs", "decls", "labels", "path")
+    rest = nodes.where("kind not in ('ATT', 'PI')").drop("attrs", "decls", "labels", "path")
     rows = edits.edited(rest.withColumn("attrs", none.cast("map<string,string>")), made)
     # attributes that stay come from the old element in their order, of equal names the last value, then its name as title
     held = atts.where("form = 'keep'").groupBy("doc_id", F.col("parent").alias("old_pre"), "name").agg(F.min("pre").alias("at"), F.max_by("text", "pre").alias("text"))
     held = held.groupBy("doc_id", "old_pre").agg(F.array_sort(F.collect_list(F.struct("at", "name", "text"))).alias("held"))
-    rows = rows.join(names.select("doc_id", F.col("pre").alias("old_pre"), F.col("name").alias("becomes")), ["doc_id", "old_pre"], "left").join(held, ["doc_id", "old_pre"], "left")
+    # texts stay where they are: only elements are joined
+    texts = rows.where("kind not in ('ATT', 'ELT')")
+    rows = rows.where("kind = 'ELT'").join(names.select("doc_id", F.col("pre").alias("old_pre"), F.col("name").alias("becomes")), ["doc_id", "old_pre"], "left").join(held, ["doc_id", "old_pre"], "left")
     pair = lambda n, v: F.struct(n.alias("name"), v.alias("text"))
     stays = F.coalesce(F.transform("held", lambda h: F.struct(h["name"].alias("name"), h["text"].alias("text"))), F.array().cast("array<struct<name:string,text:string>>"))
     new = F.transform(F.array(F.lit("title"), F.lit("class"), F.lit("its-within-text"), F.lit("id")), lambda n: pair(n, F.element_at("attrs", n)))
-    own = F.when(F.col("kind") == "ELT", F.when(F.col("becomes").isNotNull(), F.concat(stays, F.array(pair(F.lit("title"), F.col("qname"))))).otherwise(new))
-    rows = rows.where("kind <> 'ATT'").withColumn("own", own)
-    return rows.withColumns({"qname": F.coalesce("becomes", "qname"), "local_name": F.coalesce("becomes", "local_name"), "ns_uri": F.lit("")}).drop("becomes", "held", "decls", "prefix", "attrs")
+    own = F.when(F.col("becomes").isNotNull(), F.concat(stays, F.array(pair(F.lit("title"), F.col("qname"))))).otherwise(new)
+    rows = rows.withColumn("own", own).withColumns({"qname": F.coalesce("becomes", "qname"), "local_name": F.coalesce("becomes", "local_name")}).drop("becomes", "held")
+    rows = rows.unionByName(texts.withColumn("own", F.lit(None).cast(rows.schema["own"].dataType)))
+    return rows.withColumn("ns_uri", F.lit("")).drop("decls", "prefix", "attrs")
 
 
 def html_markup(rows: DataFrame) -> DataFrame:
@@ -85,8 +90,6 @@ def html_markup(rows: DataFrame) -> DataFrame:
     return subtrees.joined(inside.select("doc_id", F.explode(F.when(F.col("kind") == "ELT", element).otherwise(leaf)).alias("e")))
 
 
-def _standoff(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre) of all nodes in elements that are left out."""
-    tops = nodes.where((F.col("kind") == "ELT") & (F.col("ns_uri") == ITS) & ~_is_span()).select("doc_id", "pre", "size")
-    inside = interval_join(subtree(tops, inside=False).select("doc_id", "_lo", "_hi"), nodes.select("doc_id", "pre", F.col("pre").alias("_at")))
-    return inside.select("doc_id", "pre").distinct()
+def _is_standoff() -> F.Column:
+    """Whether a node is in an element that is left out: its labels name one."""
+    return F.col("labels").rlike(f"{STEP}(?!@|span{OF})[^{STEP}{OF}]*{OF}{re.escape(ITS)}({STEP}|$)")

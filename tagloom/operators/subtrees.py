@@ -142,8 +142,8 @@ def escaped(c: Column, attribute: bool = False) -> Column:
 
 
 def joined(events: DataFrame) -> DataFrame:
-    """(doc_id, markup) from events (doc_id, e: place, turn, order, text): ranges of a document first, then the document."""
-    ranges = events.groupBy("doc_id", F.floor(F.col("e.place") / RANGE).alias("range")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "").alias("piece"))
+    """(doc_id, markup) from events (doc_id, e: place, turn, order, text): they move once, to their document; its ranges are joined first, then the document."""
+    ranges = events.repartition("doc_id").groupBy("doc_id", F.floor(F.col("e.place") / RANGE).alias("range")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "").alias("piece"))
     return ranges.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "piece"))), lambda r: r["piece"]), "").alias("markup"))
 
 

@@ -62,3 +62,12 @@ def test_unique_paths_move_a_node_once(spark, sf_dir):
     plan = unique_paths(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     # to its range of numbers, and nowhere else
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_bodies_tell_what_goes_by_labels(spark):
+    from tagloom.operators import htmlize
+    from tagloom.sources.shred import shred
+
+    nodes = store(shred(spark.createDataFrame([(1, "xml", "<a k='1'>x<b/>y</a>")], "doc_id long, doc_type string, content string")))
+    plan = htmlize.html_markup(htmlize.bodies(nodes))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
